@@ -92,7 +92,7 @@ class Model:
     back: list[np.ndarray]
     mean: np.ndarray
     sigma: np.ndarray
-    slack: float = 1.0
+    slack: float = 2.0
     sigmas: float = 6.0
 
     def log_probs(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -190,7 +190,7 @@ def _sample(labelled: DataFrame, rows_per_lang: int) -> DataFrame:
     return labelled.filter(at < F.try_element_at(share, F.col("lang")))
 
 
-def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, slack: float = 1.0, sigmas: float = 6.0) -> Model | None:
+def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, slack: float = 2.0, sigmas: float = 6.0) -> Model | None:
     """A model from (doc_id, text, lang) rows; rows without language or letters teach nothing. None if nothing is left."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     if rows.isEmpty():
