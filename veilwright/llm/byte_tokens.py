@@ -141,7 +141,7 @@ class ByteTokens:
             if j is None or j >= len(right) or left[k] != right[j] or raw[b] & 0xC0 == 0x80:
                 continue
             place = right_at + len(raw[:b].decode("utf-8"))
-            if right_at < place < end and stable(text[place - 1], text[place]):
+            if right_at < place < end and stable(text[place - 1], text[place]) and SPECIAL not in text[max(0, place - len(SPECIAL) + 1) : place + len(SPECIAL) - 1]:
                 return k, j, place
         return None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_tokens, decontamination, exact_dedup, language_id, packing, sentencepiece_codec
+from . import byte_tokens, decontamination, exact_dedup, jaccard_join, language_id, packing, sentencepiece_codec
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file, as a parameter of the operators."""
     import public_tokenizers

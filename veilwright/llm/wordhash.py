@@ -106,12 +106,10 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    q = np.uint64(1)
     out = np.zeros(n, np.uint64)
     if length <= 4:
         for k in range(length):
-            out += hashes[k : k + n] * q
-            q = q * _Q
+            out += hashes[k : k + n] * np.uint64(pow(int(_Q), k, 2**64))
     else:
         up, down = powers(_Q, len(hashes) + 1)
         total = np.zeros(len(hashes) + 1, np.uint64)
