@@ -33,6 +33,15 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(t) AS text_sha256 FR
 """
 
 
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM r
+"""
+
 OP5 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -50,4 +59,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op5_ngram_jaccard_join": OP5}
+    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op3_warc": OP3, "op5_ngram_jaccard_join": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_tokens, decontamination, exact_dedup, jaccard_join, language_id, packing, sentencepiece_codec
+from . import byte_tokens, decontamination, exact_dedup, jaccard_join, language_id, packing, pii, sentencepiece_codec, warc
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _equals(k: int):
+    return lambda x: x == k
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    names = F.transform("base", lambda x: x["k"])
+    counts = [F.size(F.filter(names, _equals(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
+    plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(plain), 256).alias("base_sha256"), pii.listed(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"))
+
+
 def op9_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packs = packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern())
