@@ -1,3 +1,3 @@
 """Queries over the supplied tables, one module per group of operators."""
 
-from . import risk  # noqa: F401
+from . import anonymize, risk  # noqa: F401
