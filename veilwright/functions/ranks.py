@@ -24,3 +24,21 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     before = sizes.withColumn("_vw_off", F.coalesce(F.sum("_vw_n").over(Window.orderBy("_vw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_vw_n")
     out = dealt.withColumn("_vw_rn", F.row_number().over(local)).join(before, "_vw_part")
     return out.withColumn(name, F.col("_vw_rn") + F.col("_vw_off")).drop("_vw_part", "_vw_rn", "_vw_off", *keys)
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums {new: column} in ``order``, inclusive; rows of equal order are summed one by one in any order.
+
+    As ``global_rank``: sums within ranges, plus the totals of the ranges before.
+    """
+    keys = {f"_vw_o{i}": c for i, c in enumerate(order)}
+    asc = [F.col(k).asc_nulls_first() for k in keys]
+    dealt = materialise(df.withColumns(keys).repartitionByRange(*asc).withColumn("_vw_part", F.spark_partition_id()), "ranges")
+    local = Window.partitionBy("_vw_part").orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
+    totals = dealt.groupBy("_vw_part").agg(*(F.sum(c).alias(f"_vw_t{i}") for i, c in enumerate(sums.values())))
+    # One row per range partition.
+    before = Window.orderBy("_vw_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_vw_part", *(F.coalesce(F.sum(f"_vw_t{i}").over(before), F.lit(0)).alias(f"_vw_b{i}") for i in range(len(sums))))
+    out = dealt.join(totals, "_vw_part")
+    out = out.withColumns({n: F.sum(c).over(local) + F.col(f"_vw_b{i}") for i, (n, c) in enumerate(sums.items())})
+    return out.drop("_vw_part", *keys, *(f"_vw_b{i}" for i in range(len(sums))))
