@@ -80,3 +80,11 @@ def attack_label(score: Column) -> Column:
 def entropy_term(p: Column) -> Column:
     """-p log2 p, with the small shift that keeps it finite at 0."""
     return -p * F.log2(p + 1e-10)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows that have both; null, not an error, where either is constant."""
+    x, y = a.cast("double"), b.cast("double")
+    x, y = F.when(y.isNotNull() & ~F.isnan(y), x), F.when(x.isNotNull() & ~F.isnan(x), y)
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
-from ..functions.expressions import bin_right_closed
+from ..functions.expressions import bin_right_closed, correlation
 from ..functions.ranks import global_rank
 from ..functions.rng import laplace, uniform
 from .classes import equivalence_classes, null_safe, with_class_size
@@ -461,7 +461,7 @@ def sample(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42) -> Da
 def select_features(df: DataFrame, cols: list[str], limit: float = 0.95) -> DataFrame:
     """Of two columns with a correlation above ``limit`` the later goes; all pairs in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = df.agg(*(F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else {}
+    row = df.agg(*(correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else {}
     gone: set[str] = set()
     for i, (a, b) in enumerate(pairs):
         if a not in gone and row[str(i)] is not None and abs(row[str(i)]) > limit:

@@ -1,7 +1,8 @@
 """Generalisation hierarchies: per attribute a table (level, value, label), or arithmetic where labels are regular.
 
-Level 0 is the value itself and levels are monotone: each label of a level lies
-in one label of the next. Labels are attached by a join on the distinct values
+Level 0 is the value itself, and a level is never coarser than the next. Labels
+of a level lie in one label of the next, but for bands of 20 years, which those
+of 50 years cut. Labels are attached by a join on the distinct values
 of a column, so a hierarchy costs by its values, not by rows.
 """
 

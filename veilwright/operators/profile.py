@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
+from ..functions.expressions import correlation
 from .anonymize import NUMERIC, is_numeric
 
 # Patterns of personal data by category.
@@ -255,8 +256,8 @@ def entropy(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair, in one aggregate; undefined ones are null."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)))
-    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.col(str(i)), F.lit(None).cast("double")).alias("corr")) for i, (a, b) in enumerate(pairs)]
+    row = df.agg(*(correlation(F.col(a), F.col(b)).alias(str(i)) for i, (a, b) in enumerate(pairs)))
+    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("corr")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
