@@ -11,7 +11,7 @@ from veilwright.operators import anonymize as A
 from veilwright.operators import classes, classify, fusion, linkage, pareto, profile, risk, synthetic, utility
 from veilwright.operators import hierarchy as H
 from veilwright.plans import expert, narrate
-from veilwright.plans.facade import PrivacyContext
+from veilwright.plans.facade import PrivacyContext, pipeline_status
 from veilwright.sources import io
 from veilwright.streaming import monitor
 
@@ -254,3 +254,21 @@ def test_stream_of_classes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["t"], r["class_size"]) for r in got} == {("a", 6), ("b", 6)} and len(got) == 4
+
+
+def test_agents_and_status(people):
+    ctx = PrivacyContext(people, "employee_id").with_roles(QI, ["disease"])
+    said = expert.consult([expert.PrivacyAgent(), expert.UtilityAgent()], *ctx.analyze())
+    assert set(said) == {"PrivacyAgent", "UtilityAgent"} and said["PrivacyAgent"]["k_needed"] >= 2
+
+
+def test_attack_end_to_end(people):
+    aux = people.select(F.col("employee_id").alias("id"), *QI)
+    ctx = PrivacyContext(people, "employee_id").with_roles(QI, ["disease"])
+    report = ctx.attack(aux, "id", ["region", "gender"], folds=2)
+    assert all(pipeline_status(report).values()) and not any(pipeline_status(None).values())
+    assert 0 <= report.model.test["pr_auc"] <= 1 and report.vulnerable().count() >= 1
+    assert report.summary().filter("final_risk_level = 'all'").first()["n"] == report.final.count()
+    assert narrate.primary_columns(report.local).count() > 0
+    top = [r.asDict() for r in report.local.limit(2).collect()]
+    assert "Main reasons" in narrate.record_report(report.final.first().asDict(), top)

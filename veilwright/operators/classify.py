@@ -286,3 +286,27 @@ def recommend_strategy(df: DataFrame, qi: list[str], sensitive: list[str], direc
     epsilon = 0.6 if width > 40 else 0.8 if width > 20 else 1.0
     strategy = "synthetic" if level == "high" else "hybrid" if level == "medium" else "anonymize"
     return df.sparkSession.createDataFrame([(strategy, level, round(share, 6), epsilon, len(direct), len(qi), len(sensitive))], "strategy string, risk_level string, uniqueness_risk double, epsilon double, n_direct int, n_quasi int, n_sensitive int")
+
+
+GRANULARITY = ((50, "coarse"), (1000, "medium"))
+
+
+def semantic_roles(df: DataFrame) -> DataFrame:
+    """(column, qi_score, role, granularity): .4 for times, .35 for numbers with 2 to 85 % and for text with 1 to 60 % distinct values, .35 for a word of the name, .1 for at most 10 % nulls; a QI from .55 on, unless a word makes it sensitive."""
+    kinds = dict(df.dtypes)
+    flags = [(c, profile.dtype_group(kinds[c]), word_score(c, QUASI_WORDS)[0] > 0.3, word_score(c, SENSITIVE_WORDS)[0] > 0.3) for c in df.columns]
+    named = df.sparkSession.createDataFrame(flags, "column string, kind string, quasi_word boolean, sensitive_word boolean")
+    x = profile.profiling_stats(df).join(F.broadcast(named), "column")
+    u = F.coalesce(F.try_divide(F.col("n_unique"), F.col("total_rows") - F.col("missing")), F.lit(0.0))
+    base = F.when(F.col("kind") == "datetime", 0.4).when((F.col("kind") == "numeric") & u.between(0.02, 0.85), 0.35).when((F.col("kind") == "categorical") & u.between(0.01, 0.6), 0.35).otherwise(0.0)
+    score = base + F.when(F.col("quasi_word"), 0.35).otherwise(0.0) + F.when(F.col("missing_pct") <= 10, 0.1).otherwise(0.0)
+    role = F.when(F.col("sensitive_word"), SENSITIVE).when(score >= 0.55, QUASI).otherwise(NONE)
+    grain = F.when(F.col("n_unique") <= GRANULARITY[0][0], GRANULARITY[0][1]).when(F.col("n_unique") <= GRANULARITY[1][0], GRANULARITY[1][1]).otherwise("fine")
+    return x.select("column", score.alias("qi_score"), role.alias("role"), grain.alias("granularity"))
+
+
+def date_like(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Share of values that read as a time, and whether that is over 70 % or the name says so."""
+    row = df.agg(*(F.coalesce(F.avg(F.when(F.col(c).isNotNull(), F.try_to_timestamp(F.trim(F.col(c).cast("string"))).isNotNull().cast("double"))), F.lit(0.0)).alias(c) for c in cols))
+    named = [c for c in cols if tokens(c) & {"date", "dob", "time", "timestamp", "birthdate"}]
+    return row.unpivot([], cols, "column", "share").withColumn("date_like", (F.col("share") > 0.7) | F.col("column").isin(named))

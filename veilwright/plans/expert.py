@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from itertools import product
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,3 +286,24 @@ class KnowledgeBase:
         counts = Counter(m for r in self.history for m in r.methods)
         levels = [SEVERITY[r.severity] for r in self.history if r.severity]
         return {"recommendations": len(self.history), "methods": dict(counts), "average_level": sum(levels) / len(levels) if levels else None}
+
+
+@runtime_checkable
+class Agent(Protocol):
+    """Whatever looks at a profile and its recommendations, and adds to them."""
+
+    def analyze(self, profile: dict, recommended: RecommendationSet) -> dict: ...
+
+
+class PrivacyAgent:
+    def analyze(self, profile: dict, recommended: RecommendationSet) -> dict:
+        return {"overall_risk": profile.get("overall_risk"), "k_needed": max(2, 5 - int(_n(profile, "min_group_size", 0)) + 2)}
+
+
+class UtilityAgent:
+    def analyze(self, profile: dict, recommended: RecommendationSet) -> dict:
+        return {"mean_entropy": profile.get("mean_entropy"), "gentlest": next((m for m in recommended.methods if m not in ("suppression", "attribute_suppression")), None)}
+
+
+def consult(agents: list[Agent], profile: dict, recommended: RecommendationSet) -> dict[str, dict]:
+    return {type(a).__name__: a.analyze(profile, recommended) for a in agents}

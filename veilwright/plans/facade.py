@@ -124,3 +124,9 @@ class AttackReport:
 
     def summary(self) -> DataFrame:
         return fusion.level_summary(self.final, "final_risk_score", "final_risk_level")
+
+
+def pipeline_status(report: AttackReport | None) -> dict[str, bool]:
+    """Which results there are, and have rows."""
+    parts = ("pairs", "records", "internal", "final", "importance", "local", "columns")
+    return {p: report is not None and not getattr(report, p).isEmpty() for p in parts}

@@ -164,3 +164,20 @@ def c17(spark, d):
 @query("c18_role_counts")
 def c18(spark, d):
     return rounded(C.role_counts(c1(spark, d)))
+
+
+@query(
+    "p16_semantic_roles",
+    """WITH u AS (SELECT count(DISTINCT c_mktsegment) / count(*) AS m, count(DISTINCT c_nationkey) / count(*) AS n, count(DISTINCT c_acctbal) / count(*) AS b, count(DISTINCT c_nationkey) AS nn, count(DISTINCT c_acctbal) AS nb FROM customer)
+SELECT 'c_mktsegment' AS "column", round(CASE WHEN m BETWEEN 0.01 AND 0.6 THEN 0.35 ELSE 0 END + 0.45, 6)::DOUBLE AS qi_score, CASE WHEN m BETWEEN 0.01 AND 0.6 THEN 'QUASI_IDENTIFIER' ELSE 'NON_SENSITIVE' END AS role, 'coarse' AS granularity FROM u
+UNION ALL SELECT 'c_nationkey', round(CASE WHEN n BETWEEN 0.02 AND 0.85 THEN 0.35 ELSE 0 END + 0.45, 6)::DOUBLE, CASE WHEN n BETWEEN 0.02 AND 0.85 THEN 'QUASI_IDENTIFIER' ELSE 'NON_SENSITIVE' END, 'coarse' FROM u
+UNION ALL SELECT 'c_acctbal', round(CASE WHEN b BETWEEN 0.02 AND 0.85 THEN 0.35 ELSE 0 END + 0.1, 6)::DOUBLE, 'SENSITIVE', CASE WHEN nb <= 50 THEN 'coarse' WHEN nb <= 1000 THEN 'medium' ELSE 'fine' END FROM u""",
+)
+def p16(spark, d):
+    return rounded(C.semantic_roles(table(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")))
+
+
+@query("p28_date_like", "SELECT 'day' AS \"column\", 1.0::DOUBLE AS share, true AS date_like UNION ALL SELECT 'o_orderstatus', 0.0, false")
+def p28(spark, d):
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
+    return C.date_like(o, ["day", "o_orderstatus"])
