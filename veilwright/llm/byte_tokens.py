@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 #: Characters of a chunk, and of the first overlap.
 CHUNK, OVERLAP = 1 << 16, 512
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Spaces that aren't alone: there the text isn't cut into units.
 _MIXED = re.compile(r"\s \s*|^ | \s|\s\x20| $")
@@ -62,6 +62,7 @@ class ByteTokens:
             self.lengths[i] = len(token)
         self.lengths[SPECIAL_ID] = len(SPECIAL)
         self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         """Ids of a text in one piece, as unsigned 16-bit numbers."""
@@ -74,14 +75,16 @@ class ByteTokens:
         memory = self.memory
         got = list(map(memory.get, rest))
         if None in got:
-            if len(memory) > REMEMBERED:
-                memory.clear()
+            if len(memory) > REMEMBERED:  # what is in use moves from the old generation to the young one
+                self.old, self.memory = memory, {}
+                memory = self.memory
+            old = self.old
             for k, x in enumerate(got):
                 if x is None:
                     u = rest[k]
                     x = memory.get(u)
                     if x is None:
-                        x = self.plain(" " + u)
+                        x = old.get(u) or self.plain(" " + u)
                         if len(u) <= 64:
                             memory[u] = x
                     got[k] = x

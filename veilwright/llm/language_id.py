@@ -31,7 +31,7 @@ from .common import fresh_name, materialise
 
 ORDER = 4
 ROWS_PER_LANG = 2000
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
 _PAD = "\U0010ffff"
 #: Classes of characters: 0 for what is no letter, 1..253 the alphabet, 254 padding, 255 other letters.
 _PAD_CLASS, _OTHER = 254, 255

@@ -21,8 +21,8 @@ import re
 from array import array
 
 SPACE = "▁"
-#: Units remembered by one Python worker.
-REMEMBERED = 500_000
+#: Units, and piece pairs, that one Python worker remembers; units twice, in a young and an old generation.
+REMEMBERED, PAIRS = 100_000, 400_000
 
 
 class PieceTransducer:
@@ -46,6 +46,7 @@ class PieceTransducer:
         self._trie()
         self.pair_ok: dict[int, bool] = {}
         self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.unit = re.compile(" *[^ \n]+| +|\n" if "\n" not in self.ids and not any("\n" in p for p in self.ids) else " *[^ ]+| +")
 
     def _trie(self) -> None:
@@ -155,7 +156,7 @@ class PieceTransducer:
                     key = before << 20 | piece
                     good = ok.get(key)
                     if good is None:
-                        if len(ok) > 2_000_000:
+                        if len(ok) > PAIRS:
                             ok.clear()
                         good = ok[key] = self._pair(before, piece)
                     if not good:
@@ -199,13 +200,15 @@ class PieceTransducer:
         got = list(map(memory.get, units))
         if None in got:
             if len(memory) > REMEMBERED:
-                memory.clear()
+                self.old, self.memory = memory, {}
+                memory = self.memory
+            old = self.old
             for k, x in enumerate(got):
                 if x is None:
                     u = units[k]
                     x = memory.get(u)
                     if x is None:
-                        x = self._unit(u.replace(" ", SPACE))
+                        x = old.get(u) or self._unit(u.replace(" ", SPACE))
                         if len(u) <= 64:
                             memory[u] = x
                     got[k] = x
