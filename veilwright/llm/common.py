@@ -2,56 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six characters of [\x20\x09-\x0D].
-SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
+from ..functions.durable import materialise, shared_dir
 
-_local_dir: dict[str, str] = {}
+__all__ = ["SPACES", "fresh_name", "materialise", "shared_dir", "shared_path", "table", "without_spaces"]
 
+#: The six characters of [\x20\x09-\x0D].
+SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` of the session comes first. Where it is unset, a
-    local master gets a temporary folder, and a cluster its warehouse folder.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        app = spark.sparkContext.applicationId
-        if app not in _local_dir:
-            _local_dir[app] = tempfile.mkdtemp(prefix="spark-vw-", dir="/tmp")
-        return "file://" + _local_dir[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts"
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage durably: a lost executor costs nothing that is already
-    written, and names given inside ``df`` are the same for every later reader.
-    The read-back table carries no partitioning, so that joins on it shuffle
-    both sides and AQE may split a hot key.
-    """
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def without_spaces(text: Column) -> Column:
     """Delete every character of [\\x20\\x09-\\x0D], with JVM string replacement."""
     for c in SPACES:
