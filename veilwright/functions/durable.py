@@ -24,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` and read it back: computed once, the same for every reader, safe from lost executors."""
+    """Write ``df`` and read it back: computed once, the same for every reader, safe from lost executors.
+
+    What is read back carries no partitioning, so that joins on it shuffle both
+    sides and AQE may split a hot key.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

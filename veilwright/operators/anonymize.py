@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
 from ..functions.expressions import bin_right_closed, correlation
-from ..functions.ranks import global_rank
+from ..functions.ranks import global_rank, prefix_sums
 from ..functions.rng import laplace, uniform
 from .classes import equivalence_classes, null_safe, with_class_size
 
@@ -136,9 +136,9 @@ def equal_frequency(df: DataFrame, c: str, levels: int, by_row: bool = False) ->
         ranked = global_rank(df.withColumn("_null", F.col(c).isNull()), [F.col("_null"), x, F.col(c).cast("string"), F.xxhash64(*df.columns)], "_r").drop("_null").join(F.broadcast(total))
         return ranked.withColumn(c, F.when(F.col(c).isNotNull(), F.concat(F.lit("Level_"), frequency_level(F.col("_r"), F.col("_n"), levels).cast("string")))).drop("_r", "_n")
     counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # One row per value.
-    order = Window.orderBy(F.col("_v").cast("string").try_cast("double"), F.col("_v").cast("string"))
-    upto = counts.select("_v", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_r"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    total = counts.agg(F.sum("_c").alias("_n"))
+    order = [F.col("_v").cast("string").try_cast("double"), F.col("_v").cast("string")]
+    upto = prefix_sums(counts, order, {"_r": "_c"}).join(F.broadcast(total))
     labels = upto.select("_v", F.concat(F.lit("Level_"), frequency_level(F.col("_r"), F.col("_n"), levels).cast("string")).alias("_l"))
     return df.join(labels, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_l")).drop("_v", "_l")
 
@@ -336,9 +336,8 @@ def psu(df: DataFrame, psu_col: str, method: str = "aggregate", region: str | No
         return df.withColumn(psu_col, F.col(region).cast("string"))
     counts = df.groupBy(F.col(psu_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     if method == "aggregate":
-        # One row per unit.
-        number = F.dense_rank().over(Window.orderBy("_v")) - 1
-        big = counts.filter(F.col("_c") >= least).select("_v", F.concat(F.lit("REGION_"), number.cast("string")).alias("_l"))
+        ranked = global_rank(counts.filter(F.col("_c") >= least), [F.col("_v")], "_n")
+        big = ranked.select("_v", F.concat(F.lit("REGION_"), (F.col("_n") - 1).cast("string")).alias("_l"))
         label, other = big, "REGION_OTHER"
     elif method == "random_recode":
         n = df.count()

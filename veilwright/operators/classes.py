@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
+from ..functions.ranks import global_rank
 
 KEEP, DROP = "keep", "drop"
 
@@ -26,9 +27,9 @@ def equivalence_classes(df: DataFrame, qi: list[str], nulls: str = KEEP, sensiti
 
 
 def numbered_classes(df: DataFrame, qi: list[str], nulls: str = KEEP) -> DataFrame:
-    """Classes with an id from 0 in the order of their values; for reports, as the ids are given in one task over classes."""
-    order = Window.orderBy(*(F.col(c).asc_nulls_first() for c in qi))
-    return equivalence_classes(df, qi, nulls).withColumn("equivalence_class", F.row_number().over(order) - 1)
+    """Classes with an id from 0 in the order of their values."""
+    ranked = global_rank(equivalence_classes(df, qi, nulls), [F.col(c) for c in qi], "equivalence_class")
+    return ranked.withColumn("equivalence_class", F.col("equivalence_class") - 1)
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
