@@ -4,8 +4,9 @@
 text writer with the record separator as line separator, so archives land
 wherever Spark can write. Of equal payloads of at least ``REVISIT_FROM`` bytes
 the one with the largest page_id is a response; the others are revisit records
-that refer to it and hold its HTTP header only. Pages are dealt to archives of
-about ``ARCHIVE_BYTES`` by a hash of the record.
+that refer to it and hold its HTTP header only. Pages are written where they are
+read, without a shuffle; an archive has as many records as take about
+``ARCHIVE_BYTES`` on average. Offsets are those of the unpacked archive.
 
 *Reading.* Archives are read as binary files and parsed record by record by
 Content-Length; digests of payloads are computed again and compared.
@@ -19,6 +20,7 @@ by timestamp, so no range is larger than others.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -79,17 +81,17 @@ def _record(n: Column) -> Column:
     return F.concat(head, block)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record per row. A null html is an empty payload, a null url an empty one, a null page_id is 'none'.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, compression: str = "none") -> None:
+    """Write a record per row; archives are compressed as a whole with "gzip". A null html is an empty payload, a null url an empty one, a null page_id is 'none'.
 
     Of repeated rows with the largest page_id each is a response. An empty table
     gives a folder without records.
     """
     rows = classified(pages, id_col, url_col, html_col)
-    size = pages.agg(F.coalesce(F.sum(F.octet_length(html_col) + 700), F.lit(0))).first()[0]
-    files = max(1, -(-size // archive_bytes))
-    dealt = rows.repartition(files, F.xxhash64("page_id", "url", "sha1"))
-    dealt.select(_record(F.col("n")).alias("value")).write.option("lineSep", _CRLF * 2).text(path)
+    n, size = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(html_col)), F.lit(0))).first()
+    most = max(1, archive_bytes * n // max(1, size + 700 * n))
+    writer = rows.select(_record(F.col("n")).alias("value")).write.option("lineSep", _CRLF * 2)
+    writer.option("maxRecordsPerFile", most).option("compression", compression).text(path)
 
 
 def url_key(url: str) -> str:
@@ -145,7 +147,10 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, body in zip(b.column(0), b.column(1), strict=True):
                 rows = []
-                for offset, length, header, block in parse(memoryview(body.as_buffer())):
+                content = memoryview(body.as_buffer())
+                if bytes(content[:2]) == b"\x1f\x8b":  # an archive has about ARCHIVE_BYTES unpacked
+                    content = memoryview(gzip.decompress(content))
+                for offset, length, header, block in parse(content):
                     raw = bytes(block)
                     http, _, payload = raw.partition(b"\r\n\r\n")
                     n = int(http.rpartition(b"Content-Length: ")[2])
