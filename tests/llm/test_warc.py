@@ -32,7 +32,7 @@ def test_round_trip(spark):
 def test_global_order_over_ranges(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 7}.example.com/{k % 3}", "x" * (k % 40)) for k in range(500)], "page_id long, url string, html string")
     path = warc.shared_path(spark, "archives")
-    warc.write_archives(pages, path, archive_bytes=20_000)
+    warc.write_archives(pages, path, archive_bytes=20_000, compression="gzip")
     got = warc.merged_index(warc.runs(spark, path), range_rows=60).collect()
     keys = [(r.url_key, r.captured_at, r.page_id) for r in got]
     assert len(keys) == 500 and keys == sorted(keys)
