@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of each component of documents whose 5-word shingles are 80 % alike the one with the smallest doc_id stays."""
+    return jaccard_join.keep_one(docs, shingle=5, percent=80)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
