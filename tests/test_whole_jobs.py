@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwright.operators import utility
+from veilwright.operators import linkage, utility
 
 
 def test_nndr_is_of_all_rows(spark):
@@ -26,3 +26,32 @@ def test_nndr_is_of_all_rows(spark):
     few = spark.createDataFrame([(1.0,)], "a double")
     assert tuple(utility.nndr(few, few, ["a"]).first()) == (None, None, 0.0, 0.0, None)
     assert utility.nndr(few.filter(F.lit(False)), few, ["a"]).first()["synthetic_mean"] is None
+
+
+def test_matching_leaves_no_candidates(spark):
+    rng = random.Random(9)
+    # One tuple has a third of all rows on both sides, and a generalised value meets many different ones.
+    aux = [(i, "n", 50.0) if i % 3 == 0 else (i, rng.choice("nm"), float(rng.randint(20, 80))) for i in range(150)]
+    anon = [(i, "n", 50.0) if i % 3 == 0 else (i, "m", 40.0) if i % 3 == 1 else (i, rng.choice("nm"), float(rng.randint(20, 80))) for i in range(120)]
+    sides = [spark.createDataFrame(t, "id long, g string, v double") for t in (aux, anon)]
+    pairs = linkage.candidates(*sides, "id", "id", ["g", "v"], ["g"]).cache()
+    scores = {(r[0], r[1]): r[2] for r in pairs.select("aux_index", "anon_index", linkage.similarity(linkage.kinds(sides[0], ["g", "v"]))).collect()}
+    first = [{t[1:]: min(u[0] for u in rows if u[1:] == t[1:]) for t in rows} for rows in (aux, anon)]
+    ta, tb = ({t[0]: first[k][t[1:]] for t in rows} for k, rows in enumerate((aux, anon)))
+    free_a, free_b, want = set(ta), set(tb), {}
+    for (i, j), s in sorted(((k, s) for k, s in scores.items() if s >= 0.6), key=lambda x: (-x[1], ta[x[0][0]], tb[x[0][1]])):
+        if i in free_a and j in free_b:
+            free_a.remove(i)
+            free_b.remove(j)
+            want[ta[i], tb[j]] = want.get((ta[i], tb[j]), 0) + 1
+    assert max(want.values()) >= 40 and sum(want.values()) > 100
+    edges = {(ta[i], tb[j]) for (i, j), s in scores.items() if s >= 0.6}
+    for few in (500_000, len(edges) // 2):
+        got = linkage.best_matches(pairs, linkage.kinds(sides[0], ["g", "v"]), in_one_task=few).collect()
+        assert len({r.aux_index for r in got}) == len({r.anon_index for r in got}) == len(got)
+        assert all(r.similarity == scores[r.aux_index, r.anon_index] >= 0.6 for r in got)
+        found = {}
+        for r in got:
+            found[ta[r.aux_index], tb[r.anon_index]] = found.get((ta[r.aux_index], tb[r.anon_index]), 0) + 1
+        assert found == want
+    assert linkage.best_matches(pairs.filter(F.lit(False)), linkage.kinds(sides[0], ["g", "v"])).count() == 0
