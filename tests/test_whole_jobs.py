@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwright.operators import linkage, utility
+from veilwright.operators import attack, linkage, utility
 
 
 def test_nndr_is_of_all_rows(spark):
@@ -55,3 +55,18 @@ def test_matching_leaves_no_candidates(spark):
             found[ta[r.aux_index], tb[r.anon_index]] = found.get((ta[r.aux_index], tb[r.anon_index]), 0) + 1
         assert found == want
     assert linkage.best_matches(pairs.filter(F.lit(False)), linkage.kinds(sides[0], ["g", "v"])).count() == 0
+
+
+def test_every_pair_is_explained(spark):
+    rng = random.Random(2)
+    rows = [(i, i, i % 2, rng.random() + i % 2, rng.random()) for i in range(620)]
+    pairs = spark.createDataFrame(rows, "aux_index long, anon_index long, label int, x_match double, y_match double")
+    features = attack.features_of(pairs)
+    for name in ("logreg", "rf"):
+        model = attack._pipeline(attack.models(trees=3)[name], features).fit(attack.cleaned(pairs, features))
+        importance, local = attack.contributions(attack.Attack(name, model, features, (1.0, 0.0), {}, {}, {}), pairs)
+        got = local.collect()
+        assert {(r.aux_index, r.feature) for r in got} == {(i, f) for i in range(620) for f in features} and len(got) == 1240
+        mean = {f: sum(abs(r.contribution) for r in got if r.feature == f) / 620 for f in features}
+        assert {r.feature: r.importance for r in importance.collect()} == pytest.approx(mean)
+        assert mean["x_match"] > mean["y_match"]

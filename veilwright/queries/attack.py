@@ -134,7 +134,7 @@ def fused(spark, d):
     records = materialise(fusion.record_risk(a.score(p.filter("label = 1"))), "records")
     internal = materialise(fusion.internal_risk(two_sides(spark, d)[1], "c_custkey", BLOCK), "internal")
     final = materialise(fusion.final_risk(records, internal), "final")
-    importance, local = attack.contributions(a, p, rows=60, rounds=4)
+    importance, local = attack.contributions(a, p)
     return p, a, final, importance, local
 
 
@@ -158,7 +158,7 @@ def r30(spark, d):
 @query("m8_r35_top_features")
 def m8(spark, d):
     p, a = attacked(spark, d)
-    return rounded(attack.top_features(attack.contributions(a, p, rows=60, rounds=4)[1]))
+    return rounded(attack.top_features(attack.contributions(a, p)[1]))
 
 
 @query("x1_x5_recommendations")
