@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilwright.llm import pii
 from veilwright.operators import attack, linkage, utility
 
 
@@ -70,3 +71,11 @@ def test_every_pair_is_explained(spark):
         mean = {f: sum(abs(r.contribution) for r in got if r.feature == f) / 620 for f in features}
         assert {r.feature: r.importance for r in importance.collect()} == pytest.approx(mean)
         assert mean["x_match"] > mean["y_match"]
+
+
+def test_disclosing_words_anywhere_in_the_documents_of_a_value(spark):
+    rows = [(i, " ".join(f"common{(i + k) % 7}" for k in range(5))) for i in range(40)]
+    text = "Quirin common1 " + "common2 " * 40 + "quirin@host.example.net " + "common3 " * 40 + "Quirin"
+    got = {r.doc_id: [(x["start"], x["end"]) for x in r.terms] for r in pii.find(spark.createDataFrame([*rows, (40, text)], "doc_id long, text string")).collect()}
+    assert got[40] == [(0, 6), (len(text) - 6, len(text))]
+    assert not any(got[i] for i in range(40))

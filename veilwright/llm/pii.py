@@ -1,22 +1,21 @@
 """Personal data: base patterns, and terms that reveal who they belong to; DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers,
-found by pattern and proved by their digits. Around each of them the words within
-``REACH`` code points are looked at. For a value c (the entity to protect) and a
-word t near it, the corpus says how strongly t reveals c:
+found by pattern and proved by their digits. For a value c (the entity to protect)
+and a word t of a document that holds it, the corpus says how strongly t reveals c:
 
     PMI(c; t) = log2(n(c, t) * N / (n(c) * n(t))),   IC(c) = -log2(n(c) / N)
 
-with N documents, n(t) those that contain t anywhere, n(c) those with c, and
-n(c, t) those with t near c. A word is disclosing if PMI(c; t) >= IC(c) / ALPHA,
-at least ``SHARE`` of its documents are c's, and the pair is seen in
-``SUPPORT`` different surroundings, so that copies of one text are no evidence.
-Disclosing words near their value are spans of kind 'term'.
+with N documents, n(t) those that contain t, n(c) those with c, and n(c, t) those
+with both. A word is disclosing if PMI(c; t) >= IC(c) / ALPHA and at least
+``SHARE`` of its documents are c's. Every occurrence of it in the documents that
+hold the value is a span of kind 'term'.
 
 Scale: patterns run in the JVM behind cheap tests; positions come from the
-lengths between matches, in one pass. What is near base spans is a small part of
-the text; n(t) is counted over all words of all documents with map-side
-combination. All joins and groups are by value, word or document, combined first.
+lengths between matches, in one pass. n(t) is counted over all words of all
+documents with map-side combination. Words too common to pass for any n(c, t) are
+dropped before words and values of a document are paired. All joins and groups are
+by value, word or document.
 """
 
 from __future__ import annotations
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-REACH, ALPHA, SHARE, SUPPORT = 64, 1.25, 0.5, 2
+ALPHA, SHARE = 1.25, 0.5
+#: No limits: words of the whole document count, from one document on. Only the tests' brute force reads these.
+REACH, SUPPORT = 1 << 30, 1
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -40,6 +41,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{N}]+"
+#: Pieces of a text that end with whole words.
+PIECE = r"(?s).{1,512}[\p{L}\p{N}]*+"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -95,43 +98,62 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS[:4]))))
 
 
-def _near(text: Column, base: Column, reach: int) -> Column:
-    """array<struct<entity, around, term, start, end>>: whole words of three characters or more near each base span."""
+def _clear(base: Column, start: Column, end: Column) -> Column:
+    return ~F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
 
-    def words(x: Column, left: bool) -> Column:
-        lo = F.greatest(x["start"] - reach, F.lit(0)) if left else x["end"]
-        hi = x["start"] if left else F.least(x["end"] + reach, F.length(text))
-        ctx = F.substring(text, lo + 1, hi - lo)
-        # A word that the edge may have cut is left out.
-        whole = (lambda w: (w["start"] > 0) | (lo == 0)) if left else (lambda w: (w["end"] < hi - lo) | (hi == F.length(text)))
-        kept = F.filter(located(ctx, WORD), lambda w: whole(w) & (w["end"] - w["start"] >= 3))
-        return F.transform(kept, lambda w: F.struct(F.lower(w["m"]).alias("term"), (w["start"] + lo).alias("start"), (w["end"] + lo).alias("end")))
+
+def _words(text: Column, base: Column) -> Column:
+    """array<struct<term, start, end>>: the words of three characters or more outside base spans; piece by piece, as positions are found in steps of a list's length."""
+
+    def of(p: Column) -> Column:
+        long = F.filter(located(p["m"], WORD), lambda w: w["end"] - w["start"] >= 3)
+        return F.transform(long, lambda w: F.struct(F.lower(w["m"]).alias("term"), (w["start"] + p["start"]).alias("start"), (w["end"] + p["start"]).alias("end")))
+
+    return F.filter(F.flatten(F.transform(located(text, PIECE), of)), lambda w: _clear(base, w["start"], w["end"]))
+
+
+def _entity(x: Column) -> Column:
+    value = F.when(x["k"] == 0, F.lower(x["m"])).when(x["k"] == 1, x["m"]).otherwise(_digits(x["m"]))
+    return F.concat_ws(":", x["k"].cast("string"), value)
+
+
+def _touching(text: Column, base: Column) -> Column:
+    """array<struct<entity, term, start, end>>: what stands beside a base span without a gap is a word for this span only."""
 
     def one(x: Column) -> Column:
-        value = F.when(x["k"] == 0, F.lower(x["m"])).when(x["k"] == 1, x["m"]).otherwise(_digits(x["m"]))
-        lo = F.greatest(x["start"] - reach, F.lit(0))
-        around = F.xxhash64(F.substring(text, lo + 1, x["end"] + reach - lo))
-        clear = F.filter(F.concat(words(x, True), words(x, False)), lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.transform(clear, lambda w: F.struct(F.concat_ws(":", x["k"].cast("string"), value).alias("entity"), around.alias("around"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+        before = F.regexp_extract(F.substring(text, F.lit(1), x["start"]), WORD + r"\z", 0)
+        after = F.regexp_extract(F.substring(text, x["end"] + 1, F.length(text)), r"\A" + WORD, 0)
+        both = F.array(
+            F.struct(F.lower(before).alias("term"), (x["start"] - F.length(before)).alias("start"), x["start"].alias("end")),
+            F.struct(F.lower(after).alias("term"), x["end"].alias("start"), (x["end"] + F.length(after)).alias("end")),
+        )
+        # A word that reaches neither into the span nor beyond its own ends is among the others.
+        kept = F.filter(both, lambda w: (w["end"] - w["start"] >= 3) & _clear(base, w["start"], w["end"]))
+        return F.transform(kept, lambda w: F.struct(_entity(x).alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
     return F.flatten(F.transform(base, one))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, text_col: str, alpha: float, share: float, support: int) -> DataFrame:
-    """(entity, term) that are disclosing, from (doc_id, th, entity, around, term) and the whole corpus."""
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("support")).filter(F.col("support") >= support)
-    of_pair = near.select("entity", "term", "doc_id", "th").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    of_entity = near.select("entity", "doc_id", "th").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = materialise(pairs.join(of_pair, ["entity", "term"]).join(of_entity, "entity"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
-    of_term = words.filter(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+def disclosing(words: DataFrame, entities: DataFrame, touching: DataFrame, docs: DataFrame, text_col: str, alpha: float, share: float) -> DataFrame:
+    """(entity, term) that are disclosing, from distinct (d, h, term), (d, h, entity) and (d, h, entity, term) of documents d, h, and the whole corpus."""
     n = F.lit(float(max(1, docs.count())))
+    all_words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
+    of_term = all_words.filter(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    of_entity = materialise(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")), "pii-values")
     ic = -F.log2(F.col("n_c") / n)
     pmi = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
-    return pairs.join(of_term, "term").filter((F.col("n_ct") >= share * F.col("n_t")) & (pmi >= ic / alpha - 1e-9)).select("entity", "term")
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, alpha: float = ALPHA, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    # n_ct is n_c at most.
+    may = (F.col("n_c") >= share * F.col("n_t")) & (F.log2(n / F.col("n_t")) >= ic / alpha - 1e-6)
+    most = of_entity.agg(F.max("n_c").alias("most"))
+    rare = of_term.join(F.broadcast(most)).filter(F.col("most") >= share * F.col("n_t")).drop("most")
+    known = materialise(words.select("term").unionByName(touching.select("term")).distinct().join(rare, "term"), "pii-words")
+    seen = words.join(known, "term").join(entities.join(of_entity, "entity"), ["d", "h"]).filter(may).select("entity", "term", "n_c", "n_t")
+    seen = seen.unionByName(touching.select("entity", "term").join(known, "term").join(of_entity, "entity").select("entity", "term", "n_c", "n_t"))
+    counts = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_c").alias("n_c"), F.max("n_t").alias("n_t"))
+    return counts.filter((F.col("n_ct") >= share * F.col("n_t")) & (pmi >= ic / alpha - 1e-9)).select("entity", "term")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, share: float = SHARE) -> DataFrame:
     """(doc_id, th, base, terms) of each row; th is the xxhash64 of its text.
 
     base: array<struct<start, k, end, m>>, k a number of KINDS; terms:
@@ -141,14 +163,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", base_spans(F.col("text")).alias("base"))
-    none = F.array().cast("array<struct<entity:string,around:bigint,term:string,start:int,end:int>>")
-    rows = rows.withColumn("near", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"), reach)).otherwise(none)).drop("text")
-    rows = materialise(rows, "pii-spans")
-    near = rows.filter(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("w")).select("doc_id", "th", "w.*")
-    told = materialise(disclosing(near, docs, "text", alpha, share, support), "pii-terms")
-    spans = near.join(told, ["entity", "term"]).select("doc_id", "th", F.struct("start", F.lit(4).alias("k"), "end").alias("x")).distinct()
-    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_list("x")).alias("terms"))
-    rows = rows.drop("near").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    has = F.size("base") > 0
+    words = F.when(has, _words(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<struct<term:string,start:int,end:int>>"))
+    touching = F.when(has, _touching(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
+    rows = materialise(rows.withColumns({"words": words, "touching": touching}).drop("text"), "pii-spans")
+    held = rows.filter(has).select(F.coalesce(F.to_json(F.struct("doc_id")), F.lit("")).alias("d"), F.col("th").alias("h"), "base", "words", "touching")
+    in_words = held.select("d", "h", F.explode("words").alias("w")).select("d", "h", "w.*")
+    beside = held.select("d", "h", F.explode("touching").alias("w"), F.transform("words", lambda w: w["term"]).alias("t"))
+    # Beside a span only: not also a word of the document.
+    only = materialise(beside.filter(~F.array_contains("t", F.col("w.term"))).select("d", "h", "w.entity", "w.term").distinct(), "pii-touching")
+    near = F.transform(F.filter("base", lambda x: (F.size("words") > 0) | F.exists("touching", lambda w: w["entity"] == _entity(x))), _entity)
+    entities = materialise(held.select("d", "h", F.explode(F.array_distinct(near)).alias("entity")).distinct(), "pii-entities")
+    told = materialise(disclosing(in_words.select("d", "h", "term").distinct(), entities, only, docs, "text", alpha, share), "pii-terms")
+    marked = in_words.join(entities.join(told, "entity").select("d", "h", "term").distinct(), ["d", "h", "term"]).select("d", "h", "start", "end")
+    marked = marked.unionByName(beside.select("d", "h", "w.*").join(told, ["entity", "term"]).select("d", "h", "start", "end"))
+    spans = marked.select("d", "h", F.struct("start", F.lit(4).alias("k"), "end").alias("x")).distinct().groupBy("d", "h").agg(F.array_sort(F.collect_list("x")).alias("terms"))
+    rows = rows.drop("words", "touching").withColumn("_d", F.coalesce(F.to_json(F.struct("doc_id")), F.lit("")))
+    rows = rows.join(spans, (F.col("_d") == F.col("d")) & (F.col("th") == F.col("h")), "left")
     return rows.select("doc_id", "th", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,k:int,end:int>>")).alias("terms"))
 
 
