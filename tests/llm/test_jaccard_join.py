@@ -4,14 +4,15 @@ import numpy as np
 import pyarrow as pa
 
 from veilwright.llm import jaccard_join as J
+from veilwright.llm.components import components
 
 
-def brute(rows):
+def brute(rows, shingle=3, percent=90):
     """component by doc_id, from all pairs of word-shingle sets."""
     sets = {}
     for i, t in rows:
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")).split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else ({tuple(w)} if w else set())
     parent = {i: i for i in sets}
 
     def root(x):
@@ -23,7 +24,7 @@ def brute(rows):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -73,6 +74,15 @@ def test_signatures_lose_no_link():
     assert missed == 0
 
 
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(10**12), 400)
+    edges = [(names[k], names[k + 1]) for k in range(150)] + [(names[200], n) for n in names[200:300]] + [(names[k], names[k]) for k in range(300, 310)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: min(names[:151]) for n in names[:151]} | {n: min(names[200:300]) for n in names[200:300]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_empty_table_and_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert J.similarity_components(empty).count() == 0
@@ -81,6 +91,43 @@ def test_empty_table_and_repeats(spark):
     assert got == sorted([(1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 2, 1), (9, 0, 9)], key=str)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_of_regular_patterns_have_hashes_of_their_own():
+    # A polynomial modulo 2**64 gives such a word and its swap one hash, whatever its base.
+    texts = []
+    for n in (64, 1024, 2048, 4096):
+        w = thue_morse(n)
+        texts += [w, w.translate(str.maketrans("ab", "ba")), w[::-1], w + "a", "a" + w]
+    distinct = sorted(set(texts))
+    sets = [s.tolist() for s in J.sets_of(pa.array(distinct))]
+    assert len({x[0] for x in sets}) == len(distinct)
+
+
+def test_null_ids_in_a_chain_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda gone: " ".join(w for k, w in enumerate(words) if k not in gone)
+    a, b, c = near({5}), near({5, 59, 0}), near({5, 59, 0, 1, 58, 2, 57})
+    schema = "doc_id long, text string, c string, label string"
+    rows = [(1, a), (None, b), (2, c), (None, "p q r s"), (None, "p q r s"), (7, "one two three"), (7, "four five six"), (8, "Four five six")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+    got = sorted(((r.doc_id, r.component_id) for r in J.similarity_components(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (7, 7), (7, 7), (8, 7)], key=str)
+    # One of each component, and both texts of the id 7.
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (None, "p q r s"), (7, "one two three"), (7, "four five six")], key=str)
+    assert J.keep_one(docs).columns == docs.columns
+
+
+def test_string_ids_and_very_long_texts(spark):
+    long = " ".join(f"x{k}" for k in range(200_000))
+    rows = [("b", long), ("a", long + " y z"), ("c", long[: len(long) // 2]), ("d", "Q " * 300_000), ("e", "q q q")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similarity_components(spark.createDataFrame(rows, "doc_id string, text string"), tile_bytes=1000).collect()}
+    assert got["a"] == (200_000, "a") and got["b"] == (199_998, "a") and got["c"][1] == "c" and got["d"] == (1, "d") and got["e"] == (1, "d")
+
+
 def test_bitmaps_bound_the_overlap_from_above():
     rng = np.random.default_rng(7)
     for _ in range(200):

@@ -2,7 +2,8 @@
 
 1. *Sets.* Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the
    64-bit hashes of the distinct 3-word shingles, sorted. Equal sets form a
-   class, named by a 128-bit hash of the set; only classes are compared.
+   class, named by a 64-bit hash of the set that is proved to be of one set (by
+   a second hash and the size); only classes are compared.
 2. *Candidates.* Sets that link differ in at most k = (|x| + |y|) / 19 elements
    (from the threshold 90/100). Sizes are cut into bands; for a band the hash
    range is cut into m > k parts, so that linked sets have equal parts, and a
@@ -15,7 +16,7 @@
    of pairs linear in the size of their group.
 4. *Size-banded tiles.* Where a signature still holds classes of different
    components, its candidates are cut into tiles of one size band and at most
-   ``TILE`` members. Tiles of equal and adjacent bands meet (those of the largest
+   ``TILE`` members and about ``TILE_BYTES`` of sets. Tiles of equal and adjacent bands meet (those of the largest
    component of a group not among themselves); within a pair of tiles, hashed
    bitmaps bound the overlap of two sets from above by their differing bits,
    and what passes is intersected exactly as sorted arrays. Only links between
@@ -24,7 +25,7 @@
 Scale: 16 bytes per signature, about 0.17 signatures a word, shuffled twice;
 words and sets are never exploded. Joins are on tables read back from the
 shared folder, so AQE splits hot keys. Links are joined into components by
-stars over the edge table.
+contraction of the edge table.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash as W
 from .common import fresh_name, materialise
@@ -44,6 +47,8 @@ SHINGLE = 3
 #: Linked when PERCENT * union <= 100 * intersection.
 PERCENT = 90
 TILE = 256
+#: Bytes of the sets of a tile; a larger set is a tile of its own, as far as hashing deals them apart.
+TILE_BYTES = 32_000_000
 BAND_RATIO = 1.5
 
 
@@ -184,10 +189,12 @@ def tile_links(left: list[tuple], right: list[tuple] | None, percent: int = PERC
 
 
 def _shingled(docs: DataFrame, shingle: int, percent: int, seed: int) -> DataFrame:
+    """(doc_id, h1, h2, n, c, c2, sigs) of each row of ``docs`` (doc_id, h1, h2, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, one, two, sigs = [], [], [], []
-            for s in sets_of(b.column(1), shingle):
+            for s in sets_of(b.column(3), shingle):
                 n.append(len(s))
                 x = _class_hash(s, seed)
                 one.append(x[0])
@@ -195,21 +202,28 @@ def _shingled(docs: DataFrame, shingle: int, percent: int, seed: int) -> DataFra
                 sigs.append(signatures(s, percent))
             offs = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "n", "c", "c2", "sigs"])
+            made = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names=["doc_id", "h1", "h2", "n", "c", "c2", "sigs"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, c2 long, sigs array<long>")
+    longs = [T.StructField(x, T.LongType()) for x in ("h1", "h2", "n", "c", "c2")]
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *longs, T.StructField("sigs", T.ArrayType(T.LongType()))]))
 
 
-def _arrays(docs: DataFrame, classes: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(c, s): the set of each of ``classes`` (c, doc_id), as bytes, read again from the text of one of its documents."""
+def _arrays(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(c, s): the set of each of ``classes`` (c, doc_id, h1, h2), as bytes, read again from the text of the row that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # Rows that repeat a doc_id with another text are of another class.
-            got = [(c, s.tobytes()) for c, s in zip(b.column(0).to_pylist(), sets_of(b.column(1), shingle), strict=True) if len(s) and _class_hash(s, seed)[0] == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["c", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), shingle)], pa.binary())], names=["c", "s"])
+
+    key = classes.select("c", F.col("doc_id").alias("r"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+    found = docs.join(key, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r")))
+    # Rows that repeat both doc_id and text stand for a class once.
+    return found.select("c", "text").dropDuplicates(["c"]).mapInArrow(run, "c long, s binary")
 
-    return docs.join(classes.select("c", "doc_id"), "doc_id").select("c", "text").mapInArrow(run, "c long, s binary")
+
+def _as_set(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +231,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            at = [linked(_as_set(x), _as_set(y), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(at, pa.bool_()))
 
     x = arrays.select(F.col("c").alias("a"), F.col("s").alias("x"))
@@ -225,52 +239,51 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _tiled(members: DataFrame, arrays: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Links between the components of each group of ``members`` (g, c, n, label)."""
-    per_label = materialise(members.groupBy("g", "label").count(), "labels")
-    main = materialise(per_label.groupBy("g").agg(F.max(F.struct("count", "label")).alias("m")).select("g", F.col("m.label").alias("main")), "main-labels")
+def _tiled(members: DataFrame, arrays: DataFrame, percent: int, tile: int, tile_bytes: int) -> DataFrame:
+    """Links between the components of each group of ``members`` (g, c, n, label), as (label, label)."""
+    main = members.groupBy("g", "label").count().groupBy("g").agg(F.max(F.struct("count", "label")).alias("m"))
+    main = materialise(main.select("g", F.col("m.label").alias("main")), "main-labels")
     low = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
-    rows = materialise(members.join(main, "g").select("g", "c", "label", low.alias("band"), (F.col("label") == F.col("main")).cast("int").alias("big")), "members")
-    counts = rows.groupBy("g", "band", "big").count().withColumn("subs", F.ceil(F.col("count") / tile))
-    counts = materialise(counts, "tile-counts")
-    key = F.pmod(F.xxhash64("c"), F.col("subs"))
-    rows = rows.join(counts.drop("count"), ["g", "band", "big"]).withColumn("sub", key).drop("subs")
-    tiles = counts.select("g", "band", "big", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"))
-    tiles = materialise(tiles.withColumn("t", F.struct("band", "big", "sub")), "tiles")
-    a, b = tiles.select("g", F.col("t").alias("l")), tiles.select("g", F.col("t").alias("r"))
+    rows = members.join(main, "g").select("g", "c", "n", "label", low.alias("band"), (F.col("label") == F.col("main")).cast("int").alias("big"))
+    rows = materialise(rows, "members")
+    subs = F.ceil(F.greatest(F.count(F.lit(1)) / tile, 8 * F.sum("n") / tile_bytes)).alias("subs")
+    counts = materialise(rows.groupBy("g", "band", "big").agg(subs), "tile-counts")
+    tiles = counts.select("g", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1), lambda i: F.struct(F.col("band").alias("band"), F.col("big").alias("big"), i.alias("sub")))).alias("t"))
     near = (F.abs(F.col("l.band") - F.col("r.band")) <= 1) & (F.col("l.big") + F.col("r.big") < 2) & (F.col("l") <= F.col("r"))
-    pairs = materialise(a.join(b, "g").filter(near).withColumn("p", F.xxhash64("g", "l", "r")).withColumn("same", F.col("l") == F.col("r")), "tile-pairs")
-    rows = rows.withColumn("t", F.struct("band", "big", "sub")).select("g", "t", "c", "label")
-    placed = rows.join(pairs.select("g", F.col("l").alias("t"), "p", "l", "r", F.lit(True).alias("left")), ["g", "t"])
-    placed = placed.unionByName(rows.join(pairs.filter("NOT same").select("g", F.col("r").alias("t"), "p", "l", "r", F.lit(False).alias("left")), ["g", "t"]))
-    placed = placed.join(arrays, "c").select("p", "g", "l", "r", "left", "label", "c", "s")
+    pairs = tiles.select("g", F.col("t").alias("l")).join(tiles.select("g", F.col("t").alias("r")), "g").filter(near)
+    same = F.col("l") == F.col("r")
+    sides = F.array(F.struct(F.col("l").alias("t"), F.lit(True).alias("left")), F.when(~same, F.struct(F.col("r").alias("t"), F.lit(False).alias("left"))))
+    sides = pairs.select("g", F.xxhash64("g", "l", "r").alias("p"), "l", "r", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("side"))
+    sides = materialise(sides.select("g", "p", "l", "r", "side.t", "side.left"), "tile-pairs")
+    sub = F.pmod(F.xxhash64("c"), F.col("subs"))
+    placed = rows.join(counts, ["g", "band", "big"]).select("g", "c", "label", F.struct("band", "big", sub.alias("sub")).alias("t"))
+    placed = placed.join(sides, ["g", "t"]).join(arrays, "c").select("p", "g", "l", "r", "left", "label", "c", "s")
 
     def run(t: pa.Table) -> pa.Table:
-        out = []
-        d = t.select(["left", "label", "c", "s"]).to_pylist()
-        d.sort(key=lambda x: (not x["left"], x["c"]))
-        sides: tuple[list, list] = ([], [])
-        for x in d:
-            sides[not x["left"]].append((x["label"], np.frombuffer(x["s"], np.uint64)))
+        t = t.sort_by([("left", "descending"), ("c", "ascending")])
+        split = pc.sum(t.column("left")).as_py()
+        rows = [(x.as_py(), _as_set(s)) for x, s in zip(t.column("label"), t.column("s"), strict=True)]
         same = t.column("l")[0].as_py() == t.column("r")[0].as_py()
-        out = tile_links(sides[0], None if same else sides[1], percent)
+        out = tile_links(rows[:split], None if same else rows[split:], percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return placed.groupBy("p", "g", "l", "r").applyInArrow(run, "a long, b long")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: component_id is the smallest doc_id reachable by links.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h1, h2, text): a row is known by its id and 128 bits of its text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), text.alias("text"))
 
-    Null and empty texts have no set and are linked with nothing. Rows of equal
-    text link as any others. A null doc_id is never the name of a component
-    unless it is alone. An empty table gives no rows.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` as by ``_keyed``: the sets (doc_id, h1, h2, n, c), classes (c, size, rep) and labels (c, label) of the classes that are linked."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     for seed in range(1, 9):  # a name of 64 bits per class; another seed in the case that two classes share one
         sets = materialise(_shingled(docs, shingle, percent, seed), "shingle-sets")
-        classes = materialise(sets.filter("n > 0").groupBy("c", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size")), "classes")
-        if classes.groupBy("c").count().filter("count > 1").isEmpty():
+        classes = sets.filter("n > 0").groupBy("c").agg(F.min("n").alias("n"), F.max("n").alias("n_max"), F.min("c2").alias("c2"), F.max("c2").alias("c2_max"), F.min(first).alias("rep"), F.count(F.lit(1)).alias("size"))
+        classes = materialise(classes, "classes")
+        if classes.filter("n <> n_max OR c2 <> c2_max").isEmpty():
             break
     else:
         raise ValueError("no seed gives distinct names")
@@ -281,33 +294,66 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     star = materialise(held.filter("c > lo").select(F.col("c").alias("a"), F.col("lo").alias("b")).distinct(), "star-pairs")
 
     wanted = star.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    arrays = materialise(_arrays(docs, classes.join(wanted, "c"), shingle, seed).dropDuplicates(["c"]), "candidate-sets")
+    reps = materialise(classes.join(wanted, "c").select("c", "n", "rep.doc_id", "rep.h1", "rep.h2"), "compared-classes")
+    arrays = materialise(_arrays(docs, reps, shingle), "compared-sets")
     links = materialise(_verified(star, arrays, percent), "star-links")
-    labels = materialise(components(links), "labels-1")
+    labels = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
 
     # Signatures whose classes aren't all of one component yet.
-    named = held.join(labels, held["c"] == labels["node"], "left").select("sig", "c", F.coalesce("component", "c").alias("label"))
-    named = materialise(named, "named")
-    open_sigs = named.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("sig")
-    left = materialise(named.join(open_sigs, "sig"), "open")
-    if not left.isEmpty():
-        hubs = left.groupBy("sig").agg(F.min("c").alias("hub"))
-        groups = materialise(components(left.join(materialise(hubs, "hubs"), "sig").select(F.col("c").alias("a"), F.col("hub").alias("b"))), "groups")
-        members = left.select("c", "label").distinct().join(groups, F.col("c") == F.col("node")).join(classes.select("c", "n"), "c")
-        more = _tiled(materialise(members.select(F.col("component").alias("g"), "c", "n", "label"), "open-members"), arrays, percent, tile)
-        joined = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(materialise(more, "tile-links"))
-        labels = materialise(components(joined), "labels-2")
-    found = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "doc_id", F.coalesce("component", "c").alias("label"))
-    found = materialise(found, "labelled-classes")
-    smallest = materialise(found.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
-    found = materialise(found.join(smallest, "label").select("c", "component_id"), "class-components")
+    named = materialise(held.join(labels, "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label")), "named")
+    still = named.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("c").alias("hub")).filter("l1 < l2").select("sig", "hub")
+    left = materialise(named.join(still, "sig").select("c", "label", "hub").distinct(), "open")
+    if left.isEmpty():
+        return sets, classes, labels
+    groups = components(left, "c", "hub")
+    members = left.select("c", "label").distinct().join(groups, F.col("c") == F.col("node")).join(reps.select("c", "n"), "c")
+    more = _tiled(materialise(members.select(F.col("component").alias("g"), "c", "n", "label"), "open-members"), arrays, percent, tile, tile_bytes)
+    joined = components(materialise(more, "tile-links"))
+    # A label that is joined to others is a class too, so it has a row of its own unless it stands alone.
+    labels = labels.unionByName(left.select("c", "label").distinct().join(labels.select("c"), "c", "left_anti"))
+    labels = labels.join(joined, F.col("label") == F.col("node"), "left").select("c", F.coalesce("component", "label").alias("label"))
+    return sets, classes, materialise(labels, "labels")
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: component_id is the smallest doc_id reachable by links.
+
+    Null and empty texts have no set and are linked with nothing. Rows of equal
+    text link as any others, also where ids are repeated or null. A null doc_id
+    is never the name of a component unless all of its rows have none. Ids may
+    be of any type that has an order; columns of other names are not read. An
+    empty table gives no rows.
+    """
+    sets, classes, labels = _components(_keyed(docs, id_col, text_col), shingle, percent, tile, tile_bytes)
+    ids = classes.select("c", F.col("rep.doc_id").alias("low"))
+    named = labels.join(ids, "c")
+    named = materialise(named.groupBy("label").agg(F.min("low").alias("component_id")).join(labels, "label").select("c", "component_id", F.lit(True).alias("linked")), "component-names")
+    found = ids.join(named, "c", "left").select("c", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     out = sets.filter("n > 0").select("doc_id", "n", "c").join(found, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents that give their component its name, and those without a set; own columns."""
-    found = similarity_components(docs, id_col, text_col, **kw)
-    gone = fresh_name(docs, "_gone_id")
-    other = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(other, F.col(id_col) == F.col(gone), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, and all rows without a set; own columns.
+
+    A null doc_id comes after all others. Rows of one doc_id with other texts
+    are rows of their own; of those that repeat both, one stays.
+    """
+    sets, classes, labels = _components(_keyed(docs, id_col, text_col), shingle, percent, tile, tile_bytes)
+    rows = classes.select("c", "rep", "size").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    best = rows.groupBy("label").agg(F.min("rep").alias("rep"), F.sum("size").alias("size"))
+    # Only components of several rows lose any.
+    stay, gone, k1, k2, key = (fresh_name(docs, x) for x in ("_stay", "_gone", "_k1", "_k2", "_key"))
+    crowded = best.filter("size > 1").select("label", F.col("rep").alias("best"))
+    crowded = rows.join(crowded, "label").select("c", "best")
+    lost = sets.filter("n > 0").join(crowded, "c").groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias(gone), F.first("best").alias("best"))
+    is_best = (F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id"))
+    lost = lost.select(F.col("doc_id").alias(key), F.col("h1").alias(k1), F.col("h2").alias(k2), F.col(gone), is_best.alias(stay)).filter(f"NOT `{stay}` OR `{gone}` > 1")
+    lost = materialise(lost, "rows-to-drop")
+    text = F.col(text_col).cast("string")
+    same = (F.xxhash64(text) == F.col(k1)) & (F.xxhash64(F.lit("second"), text) == F.col(k2)) & F.col(id_col).eqNullSafe(F.col(key))
+    joined = docs.join(lost, same, "left")
+    clear = joined.filter(F.col(stay).isNull()).select(*[docs[c] for c in docs.columns])
+    # Repeated rows of which one stays.
+    again = joined.filter(F.col(stay)).select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col, text_col])
+    return clear.unionByName(again)

@@ -12,12 +12,11 @@ import pyarrow as pa
 #: Bytes of text that are worked on at a time; one longer text is worked on alone.
 SLICE_BYTES = 1 << 18
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOW_BYTE = _BYTE[_LOWER]
+#: Keeps the first 0..8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] of lower-cased text, and [^\x20\x09-\x0D].
 ALNUM = np.zeros(256, bool)
@@ -91,14 +90,26 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z."""
+    """A 64-bit hash of each word, A-Z as a-z.
+
+    A word is read as pieces of eight bytes. Each piece is mixed with its number
+    before the pieces are summed up, so no pattern of bytes cancels out as it
+    does in a polynomial modulo 2**64; words of up to eight bytes and equal
+    length never share a hash.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(_P, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOW_BYTE[data] * up[:-1], out=total[1:])
-    # The length goes in too, so that no byte can stand for nothing.
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    lengths = ends - starts
+    pieces = (lengths + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    word = np.repeat(np.arange(len(starts)), pieces)
+    skip = (np.arange(len(word)) - first[word]) << 3
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    x = eight[starts[word] + skip] & _FIRST[np.minimum(lengths[word] - skip, 8)]
+    x = mix(x ^ mix(skip.astype(np.uint64) * _P + _Q))
+    return mix(np.add.reduceat(x, first) + lengths.astype(np.uint64) * _P)
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -107,7 +118,7 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    if length <= 4:
+    if length <= 8:
         for k in range(length):
             out += hashes[k : k + n] * np.uint64(pow(int(_Q), k, 2**64))
     else:
