@@ -23,7 +23,7 @@ def test_stages_and_run(spark):
     assert len(rows) > 190
     stay = {k for k, _ in grouped(rows).values()}
     rows = [r for r in rows if r[0] in stay]
-    component = brute(rows)
+    component = brute(rows, 5, 80)
     rows = [r for r in rows if component[r[0]][1] == r[0]]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hits = hits_of(rows, items)
