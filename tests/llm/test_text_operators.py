@@ -112,6 +112,38 @@ def test_token_ids_equal_the_library(tokens):
     assert list(tokens.encode(long)) == lib.encode(long, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [40_000])
+def test_token_ids_of_long_unbroken_texts(tokens, n):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    cases = [
+        "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n)),
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)),
+        "a" * n, "ab" * n, "abc" * n, "世" * n, "\u0378" * 5000, " " * n, "\n" * n, "!" * n, "" + "'" * n, "😀" * n, "7" * n, byte_tokens.SPECIAL * (n // 13), "'s" * n,
+        "".join(rng.choices("!'#-", k=n)),
+        "".join(rng.choices(["'s", "a", "1", " ", "x" * 3000, "世" * 2000, "\n\n", byte_tokens.SPECIAL, " " * 1500], k=n // 800)),
+    ]
+    for x in cases:
+        want = lib.encode(x, add_special_tokens=False).ids
+        assert tokens.encode(x).tolist() == want, x[:20]
+        assert tokens.encode(x[:3000], 64, 8).tolist() == lib.encode(x[:3000], add_special_tokens=False).ids, x[:20]
+    for _ in range(1500):  # runs of one kind, cut inside
+        x = "".join(rng.choice(["ab", "b", "'", "''", "1", "世", "!", "'s", "'re", " ", "\n"]) * rng.randint(1, 9) for _ in range(rng.randint(1, 12)))
+        assert tokens.encode(x, 16, 4).tolist() == lib.encode(x, add_special_tokens=False).ids, x
+
+
+def test_counts_and_packs_of_odd_rows(spark):
+    rows = [(None, "a b c", "x"), (None, "a b c", "y"), (None, "d " * 700, "z"), ("k", None, ""), ("k", "", ""), ("k", "e" * 9, "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, ids string")
+    packs = packing.pack(docs, RANKS, P.PATTERN, seq_len=16).collect()
+    assert sum(r.n_tokens for r in packs) == sum(r.n_tokens for r in byte_tokens.count_tokens(docs, RANKS, P.PATTERN).collect())
+    assert sorted(d or "" for r in packs for d, p in zip(r.doc_ids, r.parts, strict=True) if p == 0) == ["", "", "", "k"]
+    counted = byte_tokens.count_tokens(docs.limit(0), RANKS, P.PATTERN)
+    assert counted.count() == 0 and counted.columns == ["doc_id", "text", "ids", "n_bytes", "n_tokens"]
+
+
 def test_token_counts_of_the_table(spark):
     from tokenizers import Tokenizer
 
@@ -132,7 +164,7 @@ def test_packing_is_lossless_and_best_fit(spark, tokens):
         for k, (d, p) in enumerate(zip(r.doc_ids, r.parts, strict=True)):
             parts[d][p] = ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
     for r in docs.collect():
-        assert sum((parts[r.doc_id][p] for p in sorted(parts[r.doc_id])), []) == list(tokens.encode(r.text))
+        assert sum((parts[r.doc_id][p] for p in sorted(parts[r.doc_id])), []) == tokens.encode(r.text).tolist()
     rng = random.Random(1)
     for _ in range(200):
         cap = rng.randint(1, 40)

@@ -2,15 +2,16 @@
 
 Documents are tokenised in a map; one with more than ``seq_len`` tokens is cut
 into consecutive segments, so that nothing is lost. Segments are dealt to shards
-by a hash of document and segment number; the number of shards follows the
+by a hash of document, segment number and tokens; the number of shards follows the
 bytes of the corpus, so a shard is of bounded size however many documents there
-are, and no key makes one larger than others. Within a shard, segments are
+are, and neither a repeated id nor a repeated text makes one larger than others
+(rows that repeat both are dealt to one shard). Within a shard, segments are
 taken by decreasing length and each goes to the row with the least room that is
 enough, which a segment tree over room finds in log(seq_len) steps.
 
-Scale: token ids are shuffled once, two bytes each. A shard is packed by one
-task from about ``SHARD_BYTES`` of text. Packing by shard costs less than one
-part-filled row a shard compared with packing all at once.
+Scale: token ids are shuffled once, two bytes each, to as many partitions as there
+are shards. A shard is packed by one task from about ``SHARD_BYTES`` of text. On
+the table of 0.1 GB, FILL of the cells of the rows hold a token.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_tokens import SPECIAL_ID, loaded
 
 SEQ_LEN = 2048
 SHARD_BYTES = 16_000_000
+#: Tokens of segments that are handed on at a time.
+BATCH_TOKENS = 4_000_000
 
 
 class RoomTree:
@@ -80,19 +84,34 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 def segments(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
     """(doc_id, part, n, ids): token ids as unsigned 16-bit little-endian bytes. Null and empty texts have no segment."""
 
+    def made(doc: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(x) for x in ids], np.int64)
+        parts = -(-n // seq_len)
+        row = np.repeat(np.arange(len(ids)), parts)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(seq_len, n[row] - part * seq_len)
+        # The segments of a batch follow each other in its ids.
+        ends = np.concatenate(([0], 2 * np.cumsum(size))).astype(np.int32)
+        data = pa.py_buffer(np.concatenate([np.zeros(0, np.uint16), *ids]))
+        cells = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), data])
+        return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32)), cells], names=["doc_id", "part", "n", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(ranks_path, pattern)
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                raw = tokens.encode(text.as_py()).tobytes()
-                for part, at in enumerate(range(0, len(raw), 2 * seq_len)):
-                    piece = raw[at : at + 2 * seq_len]
-                    rows.append((doc.as_py(), part, len(piece) // 2, piece))
-            cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "part", "n", "ids"])
+            ids: list[np.ndarray] = []
+            first = size = 0
+            for k, text in enumerate(b.column(1)):
+                ids.append(tokens.encode(text.as_py()))
+                size += len(ids[-1])
+                if size > BATCH_TOKENS:
+                    yield made(b.column(0)[first : k + 1], ids)
+                    ids, first, size = [], k + 1, 0
+            yield made(b.column(0)[first:], ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, part int, n int, ids binary")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    more = [T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *more]))
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_bytes: int = SHARD_BYTES, pad_id: int = SPECIAL_ID) -> DataFrame:
@@ -120,12 +139,14 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             raw += array("H", [pad_id] * (seq_len - len(raw) // 2)).tobytes()
             for k, v in zip(out, (r, int(cu[-1]), raw, cu, [doc[k] for k in members], [part[k] for k in members]), strict=True):
                 out[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(table.schema.field("doc_id").type), pa.list_(pa.int32()))
         return pa.table({"shard": pa.array([shard] * len(out["row"]), pa.int64()), **{k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)}})
 
-    dealt = segments(docs, ranks_path, pattern, id_col, text_col, seq_len).withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("long"))
-    schema = "shard long, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, doc_ids array<long>, parts array<int>"
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    dealt = segments(docs, ranks_path, pattern, id_col, text_col, seq_len).withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "ids"), F.lit(shards)).cast("long"))
+    ints = T.ArrayType(T.IntegerType())
+    fields = {"shard": T.LongType(), "row": T.IntegerType(), "n_tokens": T.IntegerType(), "input_ids": T.BinaryType(), "cu_seqlens": ints, "doc_ids": T.ArrayType(dealt.schema["doc_id"].dataType), "parts": ints}
+    schema = T.StructType([T.StructField(k, v) for k, v in fields.items()])
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, schema)
 
 
 def position_ids(cu_seqlens: Column) -> Column:
