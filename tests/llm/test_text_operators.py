@@ -92,6 +92,14 @@ def test_exact_dedup(spark, collide):
         assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_dedup_of_space_variants_under_one_id(spark):
+    rows = [(1, "a b", 0), (1, " ab", 1), (1, "ab", 2), (2, "ab", 3), (None, "c", 4), (None, "c ", 5), (None, " c", 6), (3, None, 7), (3, "", 8), (4, " \t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha string")
+    got = exact_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, re.sub(r"\s", "", r.text), len(r.text)) for r in got.collect()), key=str) == [(1, "ab", 3), (4, "", 2), (None, "c", 2)]
+
+
 @pytest.fixture(scope="module")
 def tokens():
     return byte_tokens.ByteTokens(RANKS, P.PATTERN)

@@ -98,7 +98,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
+    """The rows of ``docs`` that stay, with their own columns: one of each text, white space left aside.
+
+    Where rows of one doc_id have texts that are equal so and of one length, any
+    one of them stays. Other columns may have any name. Null and empty texts are
+    one text; a null doc_id comes after all others.
+    """
     groups = exact_groups(docs, id_col, text_col)
     gone, times, chars, sha = (fresh_name(docs, x) for x in ("_gone", "_times", "_chars", "_sha"))
     stay = groups.groupBy("doc_id", "n_chars", "text_sha256").agg(F.sum((~F.col("kept")).cast("long")).alias(gone), F.count(F.lit(1)).alias(times)).filter(f"{gone} > 0")
@@ -108,7 +113,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The SHA-256 of a text tells rows of one doc_id and length apart; it is taken of those alone that match so far.
     joined = docs.join(stay, same & (F.sha2(without_spaces(text), 256) == stay[sha]), "left")
     clear = joined.filter(F.col(gone).isNull()).select(*[docs[c] for c in docs.columns])
-    # Repeated rows of which one stays: few, and one of each is taken.
-    again = joined.filter(F.col(gone) < F.col(times)).select(*[docs[c] for c in docs.columns])
-    again = again.dropDuplicates([id_col, text_col])
-    return clear.unionByName(again)
+    # Rows that are alike in id, length and normalised text, of which one stays.
+    again = joined.filter(F.col(gone) < F.col(times)).dropDuplicates([id_col, chars, sha])
+    return clear.unionByName(again.select(*docs.columns))
