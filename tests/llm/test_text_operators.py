@@ -64,6 +64,23 @@ def test_span_removal_and_empty_tables(spark):
     assert decontamination.remove_spans(d, b.limit(0)).count() == 3 and decontamination.remove_spans(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_long_texts_ties_and_clashing_names(spark):
+    rng = random.Random(8)
+    item = [f"q{k}" for k in range(20)]
+    words = [rng.choice("abcdef") for _ in range(300_000)]
+    words[150_000:150_000] = item
+    rows = [(1, " ".join(words), 1, "x"), (2, "Q0 " + " ".join(item), 2, "y"), (2, "Q0 " + " ".join(item), 2, "y"), (None, " ".join(item[:12]), 3, None), (5, "é" * 500_000, 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items int, n_hit string")
+    items = spark.createDataFrame([(k, " ".join(item)) for k in range(3)], "item_id long, text string")
+    for block_chars in (10**6, 10):
+        out, names = decontamination.contamination(docs, items, block_chars=block_chars)
+        got = sorted(((r["doc_id"], r[names["n_words"]], r[names["n_hit"]], r[names["items"]], r[names["contaminated"]]) for r in out.collect()), key=str)
+        ids = ["0", "1", "2"]
+        assert got == sorted([(1, 300_020, 20, ids, False), (2, 21, 20, ids, True), (2, 21, 20, ids, True), (None, 12, 0, [], False), (5, 1, 0, [], False)], key=str)
+        assert out.columns[:4] == docs.columns
+        assert decontamination.drop_contaminated(docs, items, block_chars=block_chars).count() == 3
+
+
 def grouped(rows):
     by = defaultdict(list)
     for i, t in rows:
