@@ -50,6 +50,8 @@ TILE = 256
 #: Bytes of the sets of a tile; a larger set is a tile of its own, as far as hashing deals them apart.
 TILE_BYTES = 32_000_000
 BAND_RATIO = 1.5
+#: Classes of text hashes by which texts are sorted out before a shuffle.
+SLOTS = 1 << 22
 
 
 def bands(up_to: int) -> list[int]:
@@ -217,7 +219,9 @@ def _arrays(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), shingle)], pa.binary())], names=["c", "s"])
 
     key = classes.select("c", F.col("doc_id").alias("r"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    found = docs.join(key, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r")))
+    # At most SLOTS rows are broadcast, so that few other texts are shuffled where few classes are compared.
+    slots = key.select(F.pmod("r1", F.lit(SLOTS)).alias("slot")).distinct()
+    found = docs.join(F.broadcast(slots), F.pmod("h1", F.lit(SLOTS)) == F.col("slot"), "left_semi").join(key, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r")))
     # Rows that repeat both doc_id and text stand for a class once.
     return found.select("c", "text").dropDuplicates(["c"]).mapInArrow(run, "c long, s binary")
 
