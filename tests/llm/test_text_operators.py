@@ -232,10 +232,12 @@ def test_pieces_equal_the_library(spark):
 def test_kneser_ney_sums_to_one_and_tells_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    ctx = np.uint32(model.keys[4][1000] >> np.uint32(8))
-    keys = np.array([(int(ctx) << 8) | c for c in range(len(model.alphabet) + 1)] + [(int(ctx) << 8) | 255], np.uint32)
-    assert np.allclose(np.exp2(model.log_probs(keys).astype(float)).sum(axis=0), 1, atol=1e-3)
-    assert all((np.diff(k.astype(np.int64)) > 0).all() for k in model.keys[1:])
+    for ctx in model.contexts[4][[0, 1000, len(model.contexts[4]) - 1]]:
+        last = np.array([0, *map(ord, model.alphabet), language_id._OTHER], np.uint64)
+        context = np.full(len(last), ctx)
+        grams = [(language_id.key_of(x, last, k), x) for k in range(1, 5) for x in [context & np.uint64((1 << 21 * (k - 1)) - 1)]]
+        assert np.allclose(np.exp2(model.log_probs(grams).astype(float)).sum(axis=0), 1, atol=1e-3)
+    assert all((k[1:] > k[:-1]).all() for k in model.keys[1:])
     out, names = language_id.predict(docs, model)
     right = out.filter(language_id.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col(names["lang_pred"])).cast("double"))).first()[0]
     assert right > 0.99
@@ -243,3 +245,58 @@ def test_kneser_ney_sums_to_one_and_tells_languages(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in language_id.predict(odd, model)[0].collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0, True) and got[4][2]
     assert language_id.identify(docs.limit(0))[0].count() == 0
+
+
+def brute_kneser_ney(texts, alphabet):
+    """log2 P(c | up to three characters before) by plain counting; texts are lists of names, 0 for gaps."""
+    order = 4
+    grams = [defaultdict(int) for _ in range(order + 1)]
+    for t in texts:
+        padded = [0] * (order - 1) + t
+        for i in range(order - 1, len(padded)):
+            grams[order][tuple(padded[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+    discount = [0.0]
+    for k in range(1, order + 1):
+        n1, n2 = sum(v == 1 for v in grams[k].values()), sum(v == 2 for v in grams[k].values())
+        discount.append(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+
+    def p(ctx, c):
+        if ctx is None:
+            return 1 / (len(alphabet) + 2)
+        k = len(ctx) + 1
+        low = p(ctx[1:] if ctx else None, c)
+        own = {g: v for g, v in grams[k].items() if g[:-1] == ctx}
+        total = sum(own.values())
+        if not total:
+            return low
+        return max(own.get((*ctx, c), 0) - discount[k], 0) / total + discount[k] * len(own) / total * low
+
+    return p
+
+
+def test_kneser_ney_equals_plain_counting(spark):
+    rng = random.Random(6)
+    letters = {"aa": "abcdéж世界", "bb": "abxyz𐐨ß"}
+    rows = [(i, "".join(rng.choices(letters[x] + " .", k=rng.randint(0, 60))), x) for i, x in enumerate(rng.choices(["aa", "bb"], k=80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    part = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)).alias("p")).collect()}
+    table = language_id._table(model.alphabet)
+    taught = {x: [language_id.codes_of([t], table)[0][3:].astype(int).tolist() for i, t, y in rows if y == x and part[i] > 0] for x in letters}
+    assert sorted(model.alphabet) == sorted(set("".join(t.lower() for _, t, _ in rows)) - set(" ."))
+    tried = ["abcd жé", "xyz世界ab", "qqq q", "a", "𐐀𐐨ß"]
+    bits, n, _ = model.cross_entropies(tried, table)
+    for j, lang in enumerate(model.languages):
+        p = brute_kneser_ney(taught[lang], model.alphabet)
+        for r, t in enumerate(tried):
+            c = [0, 0, 0, *language_id.codes_of([t], table)[0][3:].astype(int).tolist()]
+            want = -sum(np.log2(p(tuple(c[i - 3 : i]), c[i])) for i in range(3, len(c))) / (len(c) - 3)
+            assert n[r] == len(c) - 3 and abs(bits[r, j] - want) < 1e-4
+    long = "abcd " * 200_000
+    odd = spark.createDataFrame([(1, long, "s"), (1, long, "s"), (None, "xyz xyz xyz", None)], "doc_id long, text string, score string")
+    out, names = language_id.predict(odd, model)
+    got = [(r["lang_pred"], round(r[names["score"]], 6)) for r in out.collect()]
+    assert got[0] == got[1] and got[0][0] == "aa" and got[2][0] == "bb" and names["score"] == "_score"
