@@ -44,6 +44,31 @@ def test_odd_pages():
     assert H.main_text("<div>" * 3000 + "<p>Deep down there is a paragraph with more than twelve words in all of it.")
 
 
+PROSE = "This is a paragraph of prose that has more than twelve words in it, and ends."
+
+
+def test_names_that_only_hint():
+    for page, want in (
+        (f'<article><div class="entry-header"><h1>Title of it</h1></div><p>{PROSE}</p></article>', ["Title of it", PROSE]),
+        (f'<main><div class="article-header"><h1>Title of it</h1></div><p>{PROSE}</p></main>', ["Title of it", PROSE]),
+        (f'<main><div class="related-work"><h2>Related work</h2><p>{PROSE}</p></div></main>', ["Related work", PROSE]),
+        (f'<article id="a"><section id="share-price-analysis"><p>{PROSE}</p><p>Short.</p></section></article>', [PROSE, "Short."]),
+        (f'<div class="share-price-analysis"><p>{PROSE}</p><p>{PROSE}</p></div>', [PROSE, PROSE]),
+        (f'<article><p>{PROSE}</p><div class="related-posts"><p>{PROSE}</p></div><div class="share-buttons">Share it</div><div class="post-comments"><p>{PROSE}</p></div></article>', [PROSE]),
+        (f'<div class="site-header"><p>{PROSE}</p></div><article><p>{PROSE}</p></article>', [PROSE]),
+    ):
+        assert H.main_text(page).split("\n") == want, page
+
+
+def test_unclosed_and_unread_elements():
+    for tag in ("object", "select", "video", "audio", "textarea", "canvas", "svg", "iframe", "noscript"):
+        assert H.main_text(f"<article><p>One.<{tag} x=y>two</p><p>Three.</article>") == "One.two\nThree.", tag
+        assert H.main_text(f"<article><p>One.<{tag} x=y>two</{tag}></p><p>Three.</article>") == "One.\nThree.", tag
+    assert H.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</article>") == "So x=2 holds."
+    assert H.main_text("<article><p>One.<script>two</p><p>Three.</article>") == "One."
+    assert len(H.main_text("<article>" + "<object><p>word" * 30_000)) == 5 * 30_000 - 1
+
+
 def test_minimum_cut_equals_all_cuts():
     rng = random.Random(2)
     for _ in range(300):
@@ -63,3 +88,5 @@ def test_dataframe(spark):
     got = {r.page_id: r for r in H.extract(rows).collect()}
     assert got[1].text.startswith("Head <line>\n") and got[1].n_chars == 7 and got[2].text == ""
     assert H.extract(rows.limit(0)).count() == 0
+    twice = rows.unionByName(rows).withColumnRenamed("n_chars", "text")
+    assert sorted(r.text[:4] for r in H.extract(twice).collect()) == ["", "", "Head", "Head"]
