@@ -186,8 +186,8 @@ def cm3(real: DataFrame, synthetic: DataFrame, cols: list[str]) -> dict:
     x, y = materialise(filled(real, "x"), "cm3-real"), materialise(filled(synthetic, "y"), "cm3-synthetic")
     cm2 = {}
     for c in cols:
-        a = global_rank(x, [F.col(f"x_{c}"), F.xxhash64(*x.columns)], "_r")
-        b = global_rank(y, [F.col(f"y_{c}"), F.xxhash64(*y.columns)], "_r")
+        # Ties by the other columns; rows that are equal in all may change places.
+        a, b = (global_rank(t, [F.col(f"{side}_{k}") for k in [c, *(x for x in cols if x != c)]], "_r") for t, side in ((x, "x"), (y, "y")))
         rho = canonical_correlations(a.join(b, "_r"), x.columns, y.columns)
         cm2[c] = float(reduce(lambda p, r: p * (1 - r * r), rho, 1.0))
     low = min(cm2, key=lambda k: (cm2[k], k))

@@ -84,18 +84,95 @@ def a7(spark, d):
     return A.k_anonymity(table(spark, d, "customer").select("c_custkey", *QI), QI, 8)
 
 
-@query("a7_k_anonymity_by_suppression")
+def _generalised(src: str, keep: str, qi: list[str], numeric: list[str], level: float) -> str:
+    """A5 in SQL: numbers in equal ranges, rare values of others together."""
+    share = 0.2 - 0.15 * level
+    cols = [f"{_bin(c, A.level_bins(level), 'Range_', src)} AS {c}" if c in numeric else f"CASE WHEN count(*) OVER (PARTITION BY {c}) < greatest(1, {share!r}::DOUBLE * count({c}) OVER ()) THEN 'Other' ELSE CAST({c} AS VARCHAR) END AS {c}" for c in qi]
+    return f"SELECT {keep}, {', '.join(cols)} FROM {src}"
+
+
+def _first_good(name: str, src: str, keep: str, qi: list[str], numeric: list[str], levels: tuple[float, ...], good, rest: str) -> str:
+    """CTEs that end with ``name``: src as text or the first of its generalisations that is good, else ``rest`` (CTEs {name}_x from {name}_{n} on) of the last."""
+    n = len(levels)
+    ctes = [f"{name}_0 AS (SELECT {keep}, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in qi)} FROM {src})"]
+    ctes += [f"{name}_{i} AS ({_generalised(src, keep, qi, numeric, g)})" for i, g in enumerate(levels, 1)]
+    pick = " ".join(f"WHEN {good(f'{name}_{i}')} THEN {i}" for i in range(n + 1))
+    ctes.append(f"{name}_pick AS (SELECT CASE {pick} ELSE {n + 1} END AS pick)")
+    ctes.append(rest.replace("{last}", f"{name}_{n}").replace("{name}", name))
+    cols = f"{keep}, {', '.join(qi)}"
+    every = [f"SELECT {cols} FROM {name}_{i}, {name}_pick WHERE pick = {i}" for i in range(n + 1)] + [f"SELECT {cols} FROM {name}_x, {name}_pick WHERE pick = {n + 1}"]
+    return ", ".join([*ctes, f"{name} AS ({' UNION ALL '.join(every)})"])
+
+
+def _list(cols: list[str]) -> str:
+    return ", ".join(cols)
+
+
+def _star(cols: list[str], when: str) -> str:
+    return ", ".join(f"CASE WHEN {when} THEN '*' ELSE {c} END AS {c}" for c in cols)
+
+
+def _first_of(qi: list[str], value: str, good: str, otherwise: str) -> str:
+    """CASE: -1 if all of the class is good, else the first QI without which it is, as a number."""
+    return f"CASE WHEN {value} {good} THEN -1 " + " ".join(f"WHEN m{i} {good} THEN {i}" for i in range(len(qi))) + f" ELSE {otherwise} END"
+
+
+def _k_anonymous(name: str, src: str, keep: str, qi: list[str], numeric: list[str], k: int, levels: tuple[float, ...] = (0.25, 0.5, 0.75)) -> str:
+    less = ", ".join(f"count(*) OVER (PARTITION BY {_list([x for x in qi if x != c]) or '1'}) AS m{i}" for i, c in enumerate(qi))
+    local = ", ".join(f"CASE WHEN p = {i} THEN '*' ELSE {c} END AS {c}" for i, c in enumerate(qi))
+    rest = (
+        f"{{name}}_s AS (SELECT *, count(*) OVER (PARTITION BY {_list(qi)}) AS s, {less} FROM {{last}}), {{name}}_l AS (SELECT {keep}, {local} FROM (SELECT *, {_first_of(qi, 's', f'>= {k}', '-1')} AS p FROM {{name}}_s)), "
+        f"{{name}}_x AS (SELECT {keep}, {_star(qi, f's < {k}')} FROM (SELECT *, count(*) OVER (PARTITION BY {_list(qi)}) AS s FROM {{name}}_l))"
+    )
+    return _first_good(name, src, keep, qi, numeric, levels, lambda t: f"(SELECT min(n) FROM (SELECT count(*) AS n FROM {t} GROUP BY {_list(qi)})) >= {k}", rest)
+
+
+def _distinct(v: str, qi: list[str], t: str, name: str) -> str:
+    """A table of the number of distinct v by some QIs."""
+    return f"(SELECT {_list(qi)}, count(DISTINCT {v}) AS {name} FROM {t} GROUP BY {_list(qi)})" if qi else f"(SELECT count(DISTINCT {v}) AS {name} FROM {t})"
+
+
+def _l_diverse(name: str, src: str, keep: str, qi: list[str], numeric: list[str], v: str, l: int) -> str:  # noqa: E741
+    joins = f"{{last}} JOIN {_distinct(v, qi, '{last}', 'd')} USING ({_list(qi)})"
+    for i, c in enumerate(qi):
+        left = [x for x in qi if x != c]
+        joins += f" JOIN {_distinct(v, left, '{last}', f'm{i}')} USING ({_list(left)})" if left else f" CROSS JOIN {_distinct(v, left, '{last}', f'm{i}')}"
+    some = ", ".join(f"CASE WHEN p = {i} OR p = {len(qi)} THEN '*' ELSE {c} END AS {c}" for i, c in enumerate(qi))
+    rest = (
+        f"{{name}}_s AS (SELECT {keep}, {some} FROM (SELECT *, {_first_of(qi, 'd', f'>= {l}', str(len(qi)))} AS p FROM {joins})), "
+        f"{{name}}_x AS (SELECT {keep}, {_star(qi, f'd < {l}')} FROM {{name}}_s JOIN {_distinct(v, qi, '{name}_s', 'd')} USING ({_list(qi)}))"
+    )
+    return _first_good(name, src, keep, qi, numeric, (0.3, 0.5, 0.7), lambda t: f"(SELECT min(d) FROM {_distinct(v, qi, t, 'd')}) >= {l}", rest)
+
+
+def _tvd(v: str, qi: list[str], t: str) -> str:
+    q = _list(qi)
+    return (
+        f"(SELECT {q}, 0.5 * sum(abs(coalesce(c, 0) / s - g)) AS d FROM (SELECT {q}, count(*) AS s FROM {t} GROUP BY {q}) CROSS JOIN (SELECT {v}, count(*) / (SELECT count(*) FROM {t}) AS g FROM {t} GROUP BY {v}) "
+        f"LEFT JOIN (SELECT {q}, {v}, count(*) AS c FROM {t} GROUP BY {q}, {v}) USING ({q}, {v}) GROUP BY {q})"
+    )
+
+
+def _t_close(name: str, src: str, keep: str, qi: list[str], numeric: list[str], v: str, t: float) -> str:
+    rest = f"{{name}}_x AS (SELECT {keep}, {_star(qi, f'd > {t} + 1e-12')} FROM {{last}} JOIN {_tvd(v, qi, '{last}')} USING ({_list(qi)}))"
+    return _first_good(name, src, keep, qi, numeric, (0.3, 0.5, 0.7), lambda x: f"(SELECT max(d) FROM {_tvd(v, qi, x)}) <= {t} + 1e-12", rest)
+
+
+_A8 = ["o_orderstatus", "c_nationkey", "o_custkey"]
+_KEEP = "o_orderkey, o_orderpriority"
+
+
+@query("a7_k_anonymity_by_suppression", f"WITH {_k_anonymous('k', 'part', 'p_partkey', _L, ['p_size'], 5)} SELECT * FROM k")
 def a7s(spark, d):
     return A.k_anonymity(table(spark, d, "part").select("p_partkey", *_L), _L, 5)
 
 
-@query("a8_l_diversity")
+@query("a8_l_diversity", f"WITH oc AS ({OC}), {_l_diverse('l', 'oc', _KEEP, _A8, _A8[1:], 'o_orderpriority', 4)} SELECT * FROM l")
 def a8(spark, d):
-    qi = ["o_orderstatus", "c_nationkey", "o_custkey"]
-    return A.l_diversity(ordered(spark, d).select("o_orderkey", *qi, "o_orderpriority"), qi, "o_orderpriority", 4)
+    return A.l_diversity(ordered(spark, d).select("o_orderkey", *_A8, "o_orderpriority"), _A8, "o_orderpriority", 4)
 
 
-@query("a9_t_closeness")
+@query("a9_t_closeness", f"WITH oc AS ({OC}), {_t_close('t', 'oc', _KEEP, QI, QI[:1], 'o_orderpriority', 0.05)} SELECT * FROM t")
 def a9(spark, d):
     return A.t_closeness(ordered(spark, d).select("o_orderkey", *QI, "o_orderpriority"), QI, "o_orderpriority", 0.05)
 
@@ -130,7 +207,10 @@ def a13(spark, d):
     return A.pram_matrix(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", matrix)
 
 
-@query("a14_hybrid")
+@query(
+    "a14_hybrid",
+    f"WITH oc AS ({OC}), g AS ({_generalised('oc', _KEEP, QI, QI[:1], 0.5)}), {_k_anonymous('k', 'g', _KEEP, QI, [], 8)}, {_l_diverse('l', 'k', _KEEP, QI, [], 'o_orderpriority', 3)}, {_t_close('t', 'l', _KEEP, QI, [], 'o_orderpriority', 0.2)} SELECT * FROM t",
+)
 def a14(spark, d):
     return A.hybrid(ordered(spark, d).select("o_orderkey", *QI, "o_orderpriority"), QI, ["o_orderpriority"], 8, 3, 0.2)
 

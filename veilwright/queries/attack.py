@@ -34,14 +34,18 @@ def d7(spark, d):
     return linkage.candidates(aux, anon, "c_custkey", "c_custkey", LINK, BLOCK).groupBy("level").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("aux_index").alias("rows"))
 
 
-@query(
-    "d8_best_matches",
-    f"""{_CAND}, g AS (SELECT i, j, sim FROM s WHERE sim >= 0.6), r1 AS (SELECT i, arg_max(j, (sim, -j)) AS j, max(sim) AS sim FROM g GROUP BY i), m1 AS (SELECT arg_max(i, (sim, -i)) AS i, j, max(sim) AS sim FROM r1 GROUP BY j)
-SELECT i AS aux_index, j AS anon_index, round(sim, 6) AS similarity FROM m1""",
-)
+# Greedy one-to-one matching by rounds: a pair that is the best of both its rows is one, and ends what else its rows could have.
+_GREEDY = """r(i, j, sim, m) AS (SELECT i, j, sim, false FROM s WHERE sim >= 0.6 UNION ALL
+SELECT i, j, sim, m FROM (SELECT *, bool_or(m) OVER (PARTITION BY i) OR bool_or(m) OVER (PARTITION BY j) AS gone FROM (
+  SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) = 1 AS m FROM r WHERE NOT m)) WHERE m OR NOT gone),
+best AS (SELECT i, j, sim FROM r WHERE m)"""
+_BEST = f"{_CAND.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_GREEDY}"
+
+
+@query("d8_best_matches", f"{_BEST} SELECT i AS aux_index, j AS anon_index, round(sim, 6) AS similarity FROM best")
 def d8(spark, d):
     aux, anon = two_sides(spark, d)
-    return rounded(linkage.best_matches(linkage.candidates(aux, anon, "c_custkey", "c_custkey", LINK, BLOCK), linkage.kinds(aux, LINK), rounds=1))
+    return rounded(linkage.best_matches(linkage.candidates(aux, anon, "c_custkey", "c_custkey", LINK, BLOCK), linkage.kinds(aux, LINK)))
 
 
 def pairs(spark, d):
@@ -49,18 +53,45 @@ def pairs(spark, d):
     return materialise(linkage.pair_dataset(aux, anon, "c_custkey", "c_custkey", LINK, BLOCK), "pairs")
 
 
-@query("d9_m1_pair_dataset")
+def _features(std_n: str, std_x: str) -> str:
+    """M1 of the columns n, m, x of one row and bn, bm, y of the other."""
+    out = []
+    for c, a, b, std in (("c_nationkey", "n", "bn", std_n), ("c_acctbal", "x", "y", std_x)):
+        out.append(f"round(abs({a} - {b}) / greatest(abs({a}), abs({b}), 1.0), 6)::DOUBLE AS {c}_diff, round({a} / nullif({b}, 0)::DOUBLE, 6) AS {c}_ratio, CASE WHEN abs({a} - {b}) <= 0.05 * {std} THEN 1 ELSE 0 END AS {c}_close")
+    return f"{out[0]}, CASE WHEN lower(m) = lower(bm) THEN 1 ELSE 0 END AS c_mktsegment_match, 0 AS c_mktsegment_both_missing, {out[1]}"
+
+
+_SIM = "(greatest(0.0, 1 - abs(n - bn) / greatest(abs(n), abs(bn), 1.0)) + CASE WHEN m = bm THEN 1.0 ELSE 0.0 END + greatest(0.0, 1 - abs(x - y) / greatest(abs(x), abs(y), 1.0))) / 3"
+_PAIR = "concat_ws('-', i, j)"
+_D9 = f"""{_BEST}, want AS (SELECT count(*) AS w FROM best),
+hard AS (SELECT i, j FROM s ANTI JOIN best USING (i, j) WHERE sim >= 0.4 AND sim < 0.8 ORDER BY {U('hard', _PAIR)}, i, j LIMIT (SELECT w // 2 FROM want)),
+ra AS (SELECT i, row_number() OVER (ORDER BY {U('neg-aux', 'i')}, i) AS r FROM a), rb AS (SELECT j, row_number() OVER (ORDER BY {U('neg-anon', 'j')}, j) AS r FROM b),
+rest AS (SELECT i, j FROM (SELECT i, j, r FROM ra JOIN rb USING (r)) ANTI JOIN best USING (i, j) ANTI JOIN hard USING (i, j) ORDER BY r LIMIT (SELECT greatest(0, w - (SELECT count(*) FROM hard)) FROM want)),
+labelled AS (SELECT i, j, 1 AS label FROM best UNION ALL SELECT i, j, 0 FROM hard UNION ALL SELECT i, j, 0 FROM rest),
+sd AS (SELECT stddev_samp(n) AS sn, stddev_samp(x) AS sx FROM (SELECT n, x FROM a UNION ALL SELECT bn, y FROM b))"""
+
+
+@query("d9_m1_pair_dataset", f"{_D9} SELECT i AS aux_index, j AS anon_index, label, {_features('sn', 'sx')}, round({_SIM}, 6)::DOUBLE AS overall_similarity FROM labelled JOIN a USING (i) JOIN b USING (j), sd")
 def d9(spark, d):
     return rounded(pairs(spark, d))
 
 
-@query("d10_fallback_pairs")
+@query(
+    "d10_fallback_pairs",
+    f"""WITH {_SIDES}, fa AS (SELECT *, row_number() OVER (ORDER BY i) AS r FROM (SELECT * FROM a ORDER BY i LIMIT 2000)), b2 AS (SELECT * FROM b ORDER BY j LIMIT 2000),
+fb AS (SELECT *, row_number() OVER (ORDER BY j) AS r, 1 AS label FROM b2 UNION ALL SELECT *, row_number() OVER (ORDER BY {U('fallback', 'j')}, j), 0 FROM b2)
+SELECT i AS aux_index, j AS anon_index, label, {_features('1.0', '1.0')}, round({_SIM}, 6)::DOUBLE AS similarity_score FROM fa JOIN fb USING (r)""",
+)
 def d10(spark, d):
     aux, anon = two_sides(spark, d)
     return rounded(linkage.fallback_pairs(aux, anon, "c_custkey", "c_custkey", LINK))
 
 
-@query("d11_matched_rows")
+@query(
+    "d11_matched_rows",
+    f"""{_BEST} SELECT i AS aux_index, j AS anon_index, round(sim, 6)::DOUBLE AS overall_similarity, i AS aux_c_custkey, n AS aux_c_nationkey, m AS aux_c_mktsegment, x AS aux_c_acctbal, j AS anon_c_custkey, bn AS anon_c_nationkey, bm AS anon_c_mktsegment, y AS anon_c_acctbal
+FROM best JOIN a USING (i) JOIN b USING (j) ORDER BY sim DESC, i, j LIMIT 50""",
+)
 def d11(spark, d):
     aux, anon = two_sides(spark, d)
     return rounded(linkage.matched_rows(pairs(spark, d), aux, anon, "c_custkey", "c_custkey"))

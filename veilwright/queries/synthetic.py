@@ -47,7 +47,20 @@ def made(spark, d):
     return real, synthetic.generate(real, ["c_mktsegment", "c_acctbal"], ["c_nationkey"], key="c_custkey")
 
 
-@query("y6_generate")
+# The whole of Y6 for the two columns and the one that is taken from real rows.
+_MADE = f"""sc AS (SELECT c_mktsegment AS value, greatest(0.0, count(*) + {_lap('dp-c_mktsegment', 'c_mktsegment')}) AS noisy FROM customer GROUP BY 1),
+sp AS (SELECT value, noisy / (SELECT sum(noisy) FROM sc) AS p FROM sc), sr AS (SELECT value, p, sum(p) OVER (ORDER BY value) AS upto FROM sp WHERE p > 0),
+be AS (SELECT CAST(min(c_acctbal) AS DOUBLE) AS a, CAST(max(c_acctbal) AS DOUBLE) AS b FROM customer),
+bc AS (SELECT least(19, CAST(floor((CAST(c_acctbal AS DOUBLE) - a) / ((b - a) / 20)) AS INTEGER)) AS bin, count(*) AS c FROM customer, be GROUP BY 1),
+bn AS (SELECT CAST(i AS INTEGER) AS bin, a + (b - a) / 20 * i AS lo, a + (b - a) / 20 * (i + 1) AS hi, greatest(0.0, coalesce(c, 0) + {_lap('dp-c_acctbal', 'i')}) AS noisy FROM be, range(20) r(i) LEFT JOIN bc ON bc.bin = i),
+bp AS (SELECT *, noisy / (SELECT sum(noisy) FROM bn) AS p FROM bn), br AS (SELECT lo, hi, p, sum(p) OVER (ORDER BY bin) AS upto FROM bp WHERE p > 0),
+ids AS (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS id),
+us AS (SELECT id, {U('sample-c_mktsegment', 'id')} * (1 - 1e-12) AS us, {U('sample-c_acctbal', 'id')} * (1 - 1e-12) AS ub, {U('within-c_acctbal', 'id')} AS uw FROM ids),
+nk AS (SELECT c_nationkey, row_number() OVER (ORDER BY {U('resample', 'c_custkey')}, c_custkey) - 1 AS id FROM customer),
+syn AS (SELECT id, value AS c_mktsegment, lo + uw * (hi - lo) AS c_acctbal, c_nationkey FROM us JOIN sr ON us >= sr.upto - sr.p AND us < sr.upto JOIN br ON ub >= br.upto - br.p AND ub < br.upto JOIN nk USING (id))"""
+
+
+@query("y6_generate", f"WITH {_MADE} SELECT id, c_mktsegment, round(c_acctbal, 6) AS c_acctbal, c_nationkey FROM syn")
 def y6(spark, d):
     return rounded(made(spark, d)[1])
 
@@ -76,17 +89,38 @@ def y12(spark, d):
     return rounded(utility.propensity(real, syn, ["c_mktsegment", "c_acctbal", "c_nationkey"])["histogram"])
 
 
-@query("y13_nndr")
+@query(
+    "y13_nndr",
+    f"""WITH {_MADE}, st AS (SELECT avg(CAST(c_acctbal AS DOUBLE)) AS ma, stddev_pop(CAST(c_acctbal AS DOUBLE)) AS sa, avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn FROM customer),
+re AS (SELECT c_custkey AS k, (CAST(c_acctbal AS DOUBLE) - ma) / sa AS p, (c_nationkey - mn) / sn AS q FROM customer, st), sy AS (SELECT id AS k, (c_acctbal - ma) / sa AS p, (c_nationkey - mn) / sn AS q FROM syn, st),
+dr AS (SELECT x.k, min(sqrt((x.p - y.p) * (x.p - y.p) + (x.q - y.q) * (x.q - y.q))) AS d FROM re x JOIN re y ON x.k <> y.k GROUP BY 1),
+ds AS (SELECT x.k, min(sqrt((x.p - y.p) * (x.p - y.p) + (x.q - y.q) * (x.q - y.q))) AS d FROM sy x, re y GROUP BY 1),
+o AS (SELECT (SELECT avg(d) FROM dr) AS rm, (SELECT min(d) FROM dr) AS rl, (SELECT avg(d) FROM ds) AS sm, (SELECT min(d) FROM ds) AS sl)
+SELECT round(rm, 6) AS real_mean, round(rl, 6) AS real_least, round(sm, 6) AS synthetic_mean, round(sl, 6) AS synthetic_least, round(sm / rm, 6) AS ratio FROM o""",
+)
 def y13(spark, d):
     real, syn = made(spark, d)
     return rounded(utility.nndr(real, syn, ["c_acctbal", "c_nationkey"]))
 
 
-@query("y14_cm3")
+def _cm2(column: str, first: str, second: str) -> str:
+    """The product of 1 - rho^2 of two and two columns, as a quotient of determinants of their covariances."""
+    cov = ", ".join(f"covar_pop({x}, {y}) AS {n}" for n, x, y in (("a", "x1", "x1"), ("b", "x1", "x2"), ("d", "x2", "x2"), ("f", "y1", "y1"), ("g", "y1", "y2"), ("h", "y2", "y2"), ("p", "x1", "y1"), ("q", "x1", "y2"), ("r", "x2", "y1"), ("s", "x2", "y2")))
+    m11, m12, m22 = "(d*p*p - 2*b*p*r + a*r*r) / (a*d - b*b)", "(d*p*q - b*(p*s + q*r) + a*r*s) / (a*d - b*b)", "(d*q*q - 2*b*q*s + a*s*s) / (a*d - b*b)"
+    side = f"row_number() OVER (ORDER BY {first}, {second}) AS k"
+    return f"""SELECT '{column}' AS "column", ((f - {m11}) * (h - {m22}) - (g - {m12}) * (g - {m12})) / (f*h - g*g) AS cm2 FROM (SELECT {cov} FROM
+(SELECT c_acctbal AS x1, c_nationkey AS x2, {side} FROM re) JOIN (SELECT c_acctbal AS y1, c_nationkey AS y2, {side} FROM syn) USING (k))"""
+
+
+@query(
+    "y14_cm3",
+    f"""WITH {_MADE}, re AS (SELECT CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_nationkey FROM customer), m AS ({_cm2('c_acctbal', 'c_acctbal', 'c_nationkey')} UNION ALL {_cm2('c_nationkey', 'c_nationkey', 'c_acctbal')})
+SELECT "column", round(cm2, 6) AS cm2, cm2 = (SELECT min(cm2) FROM m) AS is_min, (SELECT CASE WHEN min(cm2) >= 0.75 THEN 'high' WHEN min(cm2) >= 0.4 THEN 'medium' ELSE 'low' END FROM m) AS band FROM m""",
+)
 def y14(spark, d):
     real, syn = made(spark, d)
     r = utility.cm3(real, syn, ["c_acctbal", "c_nationkey"])
-    return spark.createDataFrame([(c, x, c == r["min_column"], r["band"]) for c, x in r["cm2"].items()], "column string, cm2 double, is_min boolean, band string")
+    return rounded(spark.createDataFrame([(c, x, c == r["min_column"], r["band"]) for c, x in r["cm2"].items()], "column string, cm2 double, is_min boolean, band string"))
 
 
 @query("x12_pareto_front", "WITH p AS (SELECT p_partkey, p_size, CAST(p_retailprice AS DOUBLE) AS price FROM part) SELECT p_partkey, p_size, price FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_size <= a.p_size AND b.price <= a.price AND (b.p_size < a.p_size OR b.price < a.price))")
