@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwright.llm import pii
-from veilwright.operators import attack, linkage, utility
+from veilwright.functions.ranks import quantiles, value_ranks
+from veilwright.operators import attack, linkage, risk, utility
 
 
 def test_nndr_is_of_all_rows(spark):
@@ -73,9 +73,27 @@ def test_every_pair_is_explained(spark):
         assert mean["x_match"] > mean["y_match"]
 
 
-def test_disclosing_words_anywhere_in_the_documents_of_a_value(spark):
-    rows = [(i, " ".join(f"common{(i + k) % 7}" for k in range(5))) for i in range(40)]
-    text = "Quirin common1 " + "common2 " * 40 + "quirin@host.example.net " + "common3 " * 40 + "Quirin"
-    got = {r.doc_id: [(x["start"], x["end"]) for x in r.terms] for r in pii.find(spark.createDataFrame([*rows, (40, text)], "doc_id long, text string")).collect()}
-    assert got[40] == [(0, 6), (len(text) - 6, len(text))]
-    assert not any(got[i] for i in range(40))
+def test_emd_equals_a_walk_along_all_values(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([1, 2]), rng.choice([3.0, -1.5, 20.0, 7.0, 0.25, 100.0]) if rng.random() < 0.9 else None) for _ in range(300)]
+    rows += [("lone", 1, 7.0), ("odd", 9, None)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    got = {(r.g, r.h): r.distance for r in risk.class_distances(df, ["g", "h"], "v", "emd").collect()}
+    values = sorted({v for _, _, v in rows if v is not None})
+    known = [(g, h, v) for g, h, v in rows if v is not None]
+    want = {}
+    for key in {(g, h) for g, h, _ in known}:
+        own = [v for g, h, v in known if (g, h) == key]
+        total = sum(abs(sum(x <= v for x in own) / len(own) - sum(x[2] <= v for x in known) / len(known)) for v in values)
+        want[key] = min(1.0, total / (2 * (len(values) - 1)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = random.Random(5)
+    data = {k: [rng.choice([rng.random(), 0.5, 2.0]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 101), ("d", 400))}
+    rows = spark.createDataFrame([(k, v) for k, vs in data.items() for v in [*vs, None]], "key string, x double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r.key: list(r)[1:] for r in quantiles(value_ranks(rows), shares).collect()}
+    assert all(np.allclose(got[k], np.quantile(vs, shares)) for k, vs in data.items()) and len(got) == 4
+    assert quantiles(value_ranks(rows.limit(0)), [0.5]).count() == 0

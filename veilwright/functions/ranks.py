@@ -42,3 +42,34 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Dat
     out = dealt.join(totals, "_vw_part")
     out = out.withColumns({n: F.sum(c).over(local) + F.col(f"_vw_b{i}") for i, (n, c) in enumerate(sums.items())})
     return out.drop("_vw_part", *keys, *(f"_vw_b{i}" for i in range(len(sums))))
+
+
+def value_ranks(rows: DataFrame) -> DataFrame:
+    """(key, x, n, upto) of ``rows`` (key, x): how often each value of a key occurs, and the rows of the key up to it; nulls are left out.
+
+    Equal values are counted before the shuffle; what is sorted are the distinct
+    values, by ranges of key and value.
+    """
+    counts = rows.filter("key IS NOT NULL AND x IS NOT NULL").groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"))
+    run = materialise(prefix_sums(counts, [F.col("key"), F.col("x")], {"_to": "n"}), "value-ranks")
+    start = run.groupBy("key").agg(F.min(F.col("_to") - F.col("n")).alias("_start"))
+    return run.join(start, "key").select("key", "x", "n", (F.col("_to") - F.col("_start")).alias("upto"))
+
+
+def quantiles(ranks: DataFrame, shares: list[float]) -> DataFrame:
+    """(key, q0, q1, ...): exact quantiles of each key, linear between neighbours, from ``value_ranks``."""
+    total = ranks.groupBy("key").agg(F.max("upto").alias("_all"))
+    x = ranks.join(total, "key")
+    aggs = []
+    for i, p in enumerate(shares):
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((F.col("upto") - F.col("n") <= pos) & (pos < F.col("upto")), F.col("x"))).alias(f"{side}{i}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"part{i}"))
+    got = x.groupBy("key").agg(*aggs)
+    return got.select("key", *((F.col(f"lo{i}") * (1 - F.col(f"part{i}")) + F.col(f"hi{i}") * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(shares))))
+
+
+def column_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(key, x): the values of numeric columns under the columns' names."""
+    return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("x")) for c in cols))).alias("_r")).select("_r.*")

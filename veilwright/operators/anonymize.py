@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
 from ..functions.expressions import bin_right_closed, correlation
-from ..functions.ranks import global_rank, prefix_sums
+from ..functions.ranks import column_values, global_rank, prefix_sums, quantiles, value_ranks
 from ..functions.rng import laplace, uniform
 from .classes import equivalence_classes, null_safe, with_class_size
 
@@ -275,29 +275,22 @@ def _group_means(ranked: DataFrame, c: str) -> DataFrame:
     return ranked.join(means, F.col("_g") == F.col("_h"), "left").withColumn(c, F.col("_mean")).drop("_r", "_g", "_h", "_mean")
 
 
-def _categories(df: DataFrame, c: str, most: int = 1_000_000) -> list[str]:
-    """The sorted values of a categorical column; bounded, as they travel with every row's choice."""
-    rows = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{c} has more than {most} categories")
-    return sorted(r["v"] for r in rows)
-
-
 @transform("pram")
 def pram(df: DataFrame, cols: list[str], key: str, rate: float = 0.1, seed: int = 42) -> DataFrame:
     """A value stays with 1 - rate (rate within .01 and .5), else any other category, alike; nulls and single categories stay."""
     rate = min(0.5, max(0.01, rate))
     for c in cols:
-        values = _categories(df, c)
-        if len(values) < 2:
+        values = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("_v")).distinct()
+        ranked = materialise(global_rank(values, [F.col("_v")], "_own").select("_v", (F.col("_own") - 1).alias("_own")), "categories")
+        m = ranked.count()
+        if m < 2:
             continue
-        m = len(values)
-        all_values = F.array(*(F.lit(v) for v in values))
+        # Rows that change look up the number of their category, and the category of the new number.
         u, w = uniform(seed, f"pram-keep-{c}", F.col(key)), uniform(seed, f"pram-pick-{c}", F.col(key))
-        own = F.array_position(all_values, F.col(c).cast("string"))
-        step = F.floor(w * (m - 1)).cast("int") + 1
-        other = F.element_at(all_values, ((own - 1 + step) % m + 1).cast("int"))
-        df = df.withColumn(c, F.when(F.col(c).isNull() | (u < 1 - rate), F.col(c).cast("string")).otherwise(other))
+        moved = df.withColumn("_from", F.when(u >= 1 - rate, F.col(c).cast("string"))).join(ranked, F.col("_from") == F.col("_v"), "left")
+        moved = moved.withColumn("_at", (F.col("_own") + F.floor(w * (m - 1)) + 1) % m).drop("_v", "_own")
+        moved = moved.join(ranked.select(F.col("_v").alias("_to"), F.col("_own").alias("_n")), F.col("_at") == F.col("_n"), "left")
+        df = moved.withColumn(c, F.coalesce("_to", F.col(c).cast("string"))).drop("_from", "_at", "_to", "_n")
     return df
 
 
@@ -401,7 +394,8 @@ def mask(c: Column) -> Column:
 @transform("top_bottom_coding")
 def top_bottom(df: DataFrame, cols: list[str], low: float = 5, high: float = 95) -> DataFrame:
     """Values beyond the percentiles become the percentiles."""
-    edges = df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(p / 100)).alias(f"_{n}_{c}") for c in cols for n, p in (("lo", low), ("hi", high))))
+    cut = quantiles(value_ranks(column_values(df, cols)), [low / 100, high / 100])
+    edges = cut.agg(*(F.max(F.when(F.col("key") == c, F.col(q))).alias(f"_{n}_{c}") for c in cols for n, q in (("lo", "q0"), ("hi", "q1"))))
     out = df.join(F.broadcast(edges))
     out = out.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))) for c in cols})
     return out.drop(*edges.columns)

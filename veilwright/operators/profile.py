@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
 from ..functions.expressions import correlation
+from ..functions.ranks import column_values, quantiles, value_ranks
 from .anonymize import NUMERIC, is_numeric
 
 # Patterns of personal data by category.
@@ -137,28 +138,26 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column null share, extremes, moments, quartiles, outliers beyond 1.5 and 3 interquartile ranges.
 
-    Quartiles are exact; outliers are counted in a second pass, with the fences as one broadcast row.
+    Quartiles are exact, from the distinct values in ranges of their order; outliers
+    are counted over the same distinct values.
     """
     cols = cols or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(F.lit(1)).alias(f"n_{i}"), F.count(x).alias(f"present_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}")]
-        aggs += [F.percentile(x, F.lit(p)).alias(f"{name}_{i}") for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    row = materialise(df.agg(*aggs), "numeric-summary")
-    fences = row.select(*(F.col(f"{q}_{i}") for i in range(len(cols)) for q in ("q1", "q3")))
-    both = df.select(*cols).join(F.broadcast(fences))
-    outs = []
-    for i, c in enumerate(cols):
-        x, q1, q3 = F.col(c).cast("double"), F.col(f"q1_{i}"), F.col(f"q3_{i}")
-        for name, w in (("outliers", 1.5), ("extreme", 3.0)):
-            outs.append(F.count_if((x < q1 - w * (q3 - q1)) | (x > q3 + w * (q3 - q1))).alias(f"{name}_{i}"))
-    fields = {"n": "long", "present": "long", "min": "double", "max": "double", "mean": "double", "std": "double", "q1": "double", "median": "double", "q3": "double"}
-    a = _stack(row, cols, fields)
-    b = _stack(both.agg(*outs), cols, {"outliers": "long", "extreme": "long"})
-    out = a.join(b, "column")
+    fields = {"n": "long", "present": "long", "min": "double", "max": "double", "mean": "double", "std": "double"}
+    a = _stack(df.agg(*aggs), cols, fields)
+    ranks = value_ranks(column_values(df, cols))
+    q = materialise(quantiles(ranks, [0.25, 0.5, 0.75]).select(F.col("key").alias("column"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")), "quartiles")
+    x, iqr = F.col("x"), F.col("q3") - F.col("q1")
+    outs = [F.sum(F.when((x < F.col("q1") - w * iqr) | (x > F.col("q3") + w * iqr), F.col("r.n")).otherwise(0)).alias(name) for name, w in (("outliers", 1.5), ("extreme", 3.0))]
+    # One row a column on the other side.
+    b = ranks.alias("r").join(F.broadcast(q), F.col("key") == F.col("column")).groupBy("column", "q1", "median", "q3").agg(*outs)
+    none = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("outliers", "extreme")]
+    a = a.join(b, "column", "left").select("column", *fields, "q1", "median", "q3", *none)
     pct = F.coalesce(F.try_divide(100.0 * F.col("outliers"), F.col("present")), F.lit(0.0))
-    return out.select("*", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("max") - F.col("min")).alias("range"), F.round(100 - F.coalesce(F.try_divide(100.0 * F.col("present"), F.col("n")), F.lit(0.0)), 4).alias("null_pct"), F.round(pct, 4).alias("outlier_pct"))
+    return a.select("*", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("max") - F.col("min")).alias("range"), F.round(100 - F.coalesce(F.try_divide(100.0 * F.col("present"), F.col("n")), F.lit(0.0)), 4).alias("null_pct"), F.round(pct, 4).alias("outlier_pct"))
 
 
 def anomalies(df: DataFrame, identifiers: tuple[str, ...] = ()) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import materialise
+from ..functions.ranks import prefix_sums
 from .classes import DROP, KEEP, equivalence_classes, null_safe, usable
 
 def _s() -> Column:
@@ -133,19 +135,13 @@ def constraint_checks(df: DataFrame, qi: list[str], sensitive: str | None = None
     return out
 
 
-#: Ordered sensitive values whose distribution is sent along for the EMD; beyond that the column has to be binned first.
-MAX_ORDERED_VALUES = 1_000_000
-
-
 def class_distances(df: DataFrame, qi: list[str], sensitive: str, kind: str = "tvd", nulls: str = KEEP) -> DataFrame:
     """(qi..., class_size, distance) of each class's sensitive distribution to that of all rows; null values don't count.
 
     tvd: half the sum of |p - q|. A class is joined to the values that it has;
     those it lacks add their q, in all 1 less the sum of q over those it has.
     emd: the sum of |P - Q| over the ordered values (numbers by size, others by
-    name), divided by 2 (m - 1), by 2 if m is 1, at most 1. The m values of Q
-    travel as one array and each class walks along it, so no grid of classes
-    and values is made.
+    name), divided by 2 (m - 1), by 2 if m is 1, at most 1; see ``_emd``.
     """
     rows = usable(df, qi, nulls).filter(F.col(sensitive).isNotNull())
     cells = rows.groupBy(*qi, F.col(sensitive).alias("_v")).agg(F.count(F.lit(1)).alias("c"))
@@ -159,22 +155,46 @@ def class_distances(df: DataFrame, qi: list[str], sensitive: str, kind: str = "t
         q = values.join(F.broadcast(total)).select("_w", (F.col("g") / F.col("n")).alias("q"))
         x = cells.join(q, F.col("_v") == F.col("_w"))
         return x.groupBy(*qi, "class_size").agg((0.5 * (F.sum(F.abs(p - F.col("q"))) + 1 - F.sum("q"))).alias("distance"))
-    if (m := values.count()) > MAX_ORDERED_VALUES:
-        raise ValueError(f"{sensitive} has {m} values; bin it to {MAX_ORDERED_VALUES} at most")
-    order = Window.orderBy(F.coalesce(F.col("_w").cast("string").try_cast("double"), F.lit(0.0)), F.col("_w").cast("string"))
-    ranked = values.join(F.broadcast(total)).select("_w", F.row_number().over(order).alias("r"), (F.sum("g").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("n")).alias("Q"))
-    x = cells.join(ranked.select("_w", "r"), F.col("_v") == F.col("_w")).groupBy(*qi, "class_size")
-    own = x.agg(F.array_sort(F.collect_list(F.struct("r", "c"))).alias("own"))
-    grid = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "Q"))), lambda z: z["Q"]).alias("qs"))
-    walk = F.expr("""aggregate(qs, struct(1 as r, 1 as i, 0L as done, 0D as total),
-        (s, q) -> named_struct(
-            'r', s.r + 1,
-            'i', s.i + if(s.i <= size(own) and try_element_at(own, s.i).r = s.r, 1, 0),
-            'done', s.done + if(s.i <= size(own) and try_element_at(own, s.i).r = s.r, try_element_at(own, s.i).c, 0L),
-            'total', s.total + abs((s.done + if(s.i <= size(own) and try_element_at(own, s.i).r = s.r, try_element_at(own, s.i).c, 0L)) / class_size - q)),
-        s -> s.total)""")
-    out = own.join(F.broadcast(grid))
-    return out.select(*qi, "class_size", F.least(F.lit(1.0), walk / (2 * F.greatest(F.lit(1), F.size("qs") - 1))).alias("distance"))
+    return _emd(cells, values.join(F.broadcast(total)), qi)
+
+
+def _emd(cells: DataFrame, values: DataFrame, qi: list[str]) -> DataFrame:
+    """(qi..., class_size, distance) from (qi..., _v, c, class_size) and (_w, g, n).
+
+    Between two values that a class has next to each other its own share P is
+    constant, while Q, the share of all rows up to a value, rises. So the sum of
+    |P - Q| over the values between is known from the running sum of Q at both ends
+    and at the place where Q passes P, which a merge of all P and Q in ranges of
+    their order finds. Work and shuffles follow the number of (class, value)
+    cells; nothing is sent along with every class.
+    """
+    order = [F.coalesce(F.col("_w").cast("string").try_cast("double"), F.lit(0.0)), F.col("_w").cast("string")]
+    ranked = prefix_sums(values.withColumn("_one", F.lit(1).cast("long")), order, {"_G": "g", "r": "_one"})
+    ranked = materialise(ranked.select("_w", "r", (F.col("_G") / F.col("n")).alias("Q")), "emd-values")
+    ranked = materialise(prefix_sums(ranked, [F.col("r")], {"A": "Q"}), "emd-sums")
+    ends = ranked.agg(F.coalesce(F.max("r"), F.lit(0)).alias("m"), F.coalesce(F.max("A"), F.lit(0.0)).alias("all")).first()
+    x = cells.join(ranked, F.col("_v") == F.col("_w")).drop("_v", "_w").withColumn("_one", F.lit(1).cast("long"))
+    x = materialise(prefix_sums(x, [*(F.col(c) for c in qi), F.col("r")], {"_cum": "c", "_pos": "_one"}), "emd-cells")
+    keys = [f"_k{i}" for i in range(len(qi))]
+    first = x.groupBy(*(F.col(c).alias(k) for c, k in zip(qi, keys, strict=True))).agg(F.min(F.col("_cum") - F.col("c")).alias("_start"), F.min(F.struct("r", (F.col("A") - F.col("Q")).alias("before"))).alias("_first"))
+    first = materialise(first, "emd-classes")
+    later = x.select((F.col("_pos") - 1).alias("_p"), (F.col("r") - 1).alias("_to"), (F.col("A") - F.col("Q")).alias("_A_to"), *(F.col(c).alias(f"_n{i}") for i, c in enumerate(qi)))
+    y = x.join(first, null_safe(x, first, list(zip(qi, keys, strict=True)))).drop(*keys, "_first")
+    y = y.join(later, (F.col("_pos") == F.col("_p")) & null_safe(y, later, [(c, f"_n{i}") for i, c in enumerate(qi)]), "left")
+    y = y.select(
+        *qi, "class_size", (F.col("r") - 1).alias("_from"), (F.col("A") - F.col("Q")).alias("_A_from"), F.coalesce("_to", F.lit(ends["m"])).alias("_to"), F.coalesce("_A_to", F.lit(ends["all"])).alias("_A_to"),
+        ((F.col("_cum") - F.col("_start")) / F.col("class_size")).alias("_at"), F.lit(0).cast("long").alias("_q"), F.lit(0.0).alias("_share"),
+    )
+    points = ranked.select(F.col("Q").alias("_at"), F.lit(1).cast("long").alias("_q"), F.col("Q").alias("_share"))
+    merged = prefix_sums(y.unionByName(points, allowMissingColumns=True), [F.col("_at"), F.col("_q")], {"_x": "_q", "_A_x": "_share"}).filter("_q = 0")
+    low, high, p = F.col("_from"), F.col("_to"), F.col("_at")
+    split = F.least(F.greatest(F.col("_x"), low), high)
+    at_split = F.when(F.col("_x") <= low, F.col("_A_from")).when(F.col("_x") >= high, F.col("_A_to")).otherwise(F.col("_A_x"))
+    part = p * (split - low) - (at_split - F.col("_A_from")) + (F.col("_A_to") - at_split) - p * (high - split)
+    sums = merged.groupBy(*qi, "class_size").agg(F.sum(part).alias("_sum"))
+    out = sums.join(first, null_safe(sums, first, list(zip(qi, keys, strict=True))))
+    total = F.col("_sum") + F.col("_first.before")
+    return out.select(*qi, "class_size", F.least(F.lit(1.0), total / (2 * max(1, ends["m"] - 1))).alias("distance"))
 
 
 def suppression_ratio(df: DataFrame, qi: list[str], star: str = "*") -> DataFrame:
