@@ -21,9 +21,17 @@ def _each(cols, sql: str) -> str:
     return " UNION ALL ".join(sql.format(c=c) for c in cols)
 
 
-@query("p2_infer_types", "SELECT * FROM (VALUES ('p_partkey', 'integer'), ('p_brand', 'string'), ('p_type', 'string'), ('p_size', 'integer')) t(\"column\", logical_type)")
+_TYPED = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+_T = "trim(CAST({c} AS VARCHAR))"
+_P2 = f"""SELECT '{{c}}' AS "column", CASE WHEN count({{c}}) = 0 THEN 'all_null' WHEN count(*) FILTER (TRY_CAST({_T} AS DOUBLE) = floor(TRY_CAST({_T} AS DOUBLE))) = count({{c}}) THEN 'integer'
+ WHEN count(TRY_CAST({_T} AS DOUBLE)) = count({{c}}) THEN 'float' WHEN count(TRY_CAST({_T} AS TIMESTAMP)) >= 0.9 * count({{c}}) THEN 'datetime'
+ WHEN count(*) FILTER (lower({_T}) IN ('true', 'false', 'yes', 'no', '0', '1')) >= 0.95 * count({{c}}) THEN 'boolean' ELSE 'string' END AS logical_type FROM """
+
+
+@query("p2_infer_types", _each(_TYPED, _P2 + "lineitem") + " UNION ALL " + _each(["yes_no", "nothing"], _P2 + "(SELECT CASE WHEN l_linestatus = 'F' THEN 'Yes' ELSE 'no' END AS yes_no, CAST(NULL AS VARCHAR) AS nothing FROM lineitem)"))
 def p2(spark, d):
-    return P.infer_types(part(spark, d))
+    x = table(spark, d, "lineitem")
+    return P.infer_types(x.select(*_TYPED, F.when(F.col("l_linestatus") == "F", "Yes").otherwise("no").alias("yes_no"), F.lit(None).cast("string").alias("nothing")))
 
 
 @query("p3_profiling_stats", _each(PART, "SELECT '{c}' AS \"column\", count(*) AS total_rows, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct, count(DISTINCT {c}) AS n_unique FROM part"))
@@ -71,9 +79,15 @@ def p9(spark, d):
     return rounded(P.string_lengths(part(spark, d), _CAT))
 
 
-@query("p14_anomalies", "SELECT 'p_type' AS \"column\", 'rare_categories' AS kind, count(*) AS n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1) WHERE n < 0.01 * (SELECT count(*) FROM part) HAVING count(*) > 0")
+_CATEGORY = """SELECT '{c}' AS "column", 'high_cardinality' AS kind, count(DISTINCT {c}) AS n FROM customer HAVING count(DISTINCT {c}) > 0.95 * count({c})
+UNION ALL SELECT '{c}', 'rare_categories', count(*) FROM (SELECT count(*) AS k FROM customer WHERE {c} IS NOT NULL GROUP BY {c}) WHERE k < 0.01 * (SELECT count({c}) FROM customer) HAVING count(*) > 0"""
+_EXTREME = """SELECT '{c}' AS "column", 'extreme_values' AS kind, count(*) AS n FROM {t}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS a, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS b FROM {t}) WHERE b > a AND ({c} < a - 3 * (b - a) OR {c} > b + 3 * (b - a)) HAVING count(*) > 0"""
+
+
+@query("p14_anomalies", f"{_EXTREME.format(c='n_chars', t='documents')} UNION ALL {_EXTREME.format(c='c_acctbal', t='customer')} UNION ALL {_each(['c_name', 'c_mktsegment'], _CATEGORY)}")
 def p14(spark, d):
-    return P.anomalies(part(spark, d), ("p_partkey",))
+    customers = P.anomalies(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), ("c_custkey",))
+    return customers.unionByName(P.anomalies(table(spark, d, "documents").select("doc_id", "n_chars"), ("doc_id",)))
 
 
 @query("p15_fallback_inspection", _each(["c_custkey"], "SELECT '{c}' AS \"column\", 'high_cardinality' AS kind, count(DISTINCT {c}) AS n FROM customer"))
@@ -111,7 +125,16 @@ def p24(spark, d):
     return rounded(P.value_overlap(table(spark, d, "lineitem"), "l_returnflag", table(spark, d, "orders"), "o_orderstatus"))
 
 
-_RATE = " UNION ALL ".join(f"SELECT 'text' AS \"column\", '{k}' AS category, round(avg(CASE WHEN regexp_matches(text, '{p}') THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate FROM documents" for k, p in P.PII_PATTERNS.items())
+# Written out here, so that the SQL doesn't take its patterns from what it proves.
+_WHOLE = {
+    "ssn": r"^\d{3}-\d{2}-\d{4}$",
+    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
+    "phone": r"^\+?\d[\d\s().-]{7,}\d$",
+    "ip": r"^\d{1,3}(\.\d{1,3}){3}$",
+    "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+}
+_WITHIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "phone": r"\+?\d[\d\s().-]{7,}\d", "nic": r"\b\d{9}[vVxX]\b|\b\d{12}\b", "passport": r"\b[A-Z]\d{7}\b"}
+_RATE = " UNION ALL ".join(f"SELECT 'text' AS \"column\", '{k}' AS category, round(avg(CASE WHEN regexp_matches(text, '{p}') THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate FROM documents" for k, p in _WHOLE.items())
 
 
 @query("p26_pattern_rates", f"SELECT *, CASE WHEN rate > 0.8 THEN 0.9 WHEN rate > 0.5 THEN 0.7 WHEN rate > 0.2 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence FROM ({_RATE})")
@@ -119,7 +142,7 @@ def p26(spark, d):
     return rounded(P.pattern_rates(table(spark, d, "documents"), ["text"]))
 
 
-_HAS = " UNION ALL ".join(f"SELECT 'text' AS \"column\", '{k}' AS category, bool_or(regexp_matches(text, '{p}')) AS present FROM documents" for k, p in P.PII_WITHIN.items())
+_HAS = " UNION ALL ".join(f"SELECT 'text' AS \"column\", '{k}' AS category, bool_or(regexp_matches(text, '{p}')) AS present FROM documents" for k, p in _WITHIN.items())
 
 
 @query("p27_pattern_presence", f"{_HAS} UNION ALL SELECT 'text', 'address_like', bool_or(length(text) > 60) FROM documents")
@@ -150,10 +173,17 @@ def c8(spark, d):
     return spark.createDataFrame(C.heuristic_roles(table(spark, d, "orders")), "column string, role string, action string")
 
 
-@query("c15_mapping_suggestions", "SELECT 'l_returnflag' AS left_column, 'x' AS right_column, 1.0::DOUBLE AS overlap")
+_LEFT, _RIGHT = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority"}, {"state": "CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE lower(o_orderstatus) END", "rank": "' ' || upper(o_orderpriority)", "year": "CAST(year(o_orderdate) AS VARCHAR)"}
+_SETS = ", ".join(f"{n} AS (SELECT DISTINCT lower(trim({e})) AS v FROM orders WHERE {e} IS NOT NULL)" for side in (_LEFT, _RIGHT) for n, e in ((f"s_{k}", x) for k, x in side.items()))
+_OVER = " UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, (SELECT count(*) FROM s_{a} JOIN s_{b} USING (v)) / least((SELECT count(*) FROM s_{a}), (SELECT count(*) FROM s_{b}))::DOUBLE AS overlap" for a in _LEFT for b in _RIGHT)
+
+
+@query("c15_mapping_suggestions", f"WITH {_SETS} SELECT * FROM ({_OVER}) WHERE overlap >= 0.6")
 def c15(spark, d):
-    a = table(spark, d, "lineitem").select("l_returnflag")
-    return C.suggest_mappings(a, a.select(F.lower("l_returnflag").alias("x")))
+    o = table(spark, d, "orders")
+    state = F.when(F.col("o_orderstatus") == "P", "other").otherwise(F.lower("o_orderstatus"))
+    right = o.select(state.alias("state"), F.concat(F.lit(" "), F.upper("o_orderpriority")).alias("rank"), F.year("o_orderdate").cast("string").alias("year"))
+    return C.suggest_mappings(o.select(*_LEFT), right, overlap=0.6)
 
 
 @query("c17_strategy", "SELECT CASE WHEN r >= 0.6 THEN 'synthetic' WHEN r >= 0.3 THEN 'hybrid' ELSE 'anonymize' END AS strategy, CASE WHEN r >= 0.6 THEN 'high' WHEN r >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level, round(r, 6) AS uniqueness_risk, 1.0::DOUBLE AS epsilon, 1 AS n_direct, 3 AS n_quasi, 0 AS n_sensitive FROM (SELECT (SELECT count(*) FROM (SELECT 1 FROM part GROUP BY p_brand, p_size, p_type HAVING count(*) = 1)) / (SELECT count(*) FROM part) AS r)")
@@ -177,7 +207,13 @@ def p16(spark, d):
     return rounded(C.semantic_roles(table(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")))
 
 
-@query("p28_date_like", "SELECT 'day' AS \"column\", 1.0::DOUBLE AS share, true AS date_like UNION ALL SELECT 'o_orderstatus', 0.0, false")
+_LIKE = """SELECT '{c}' AS "column", round(count(TRY_CAST(trim({c}) AS TIMESTAMP)) / count({c}), 6)::DOUBLE AS share, count(TRY_CAST(trim({c}) AS TIMESTAMP)) > 0.7 * count({c}) AS date_like
+FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'none' END AS half FROM orders)"""
+
+
+@query("p28_date_like", _each(["day", "o_orderstatus", "half"], _LIKE))
 def p28(spark, d):
-    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
-    return C.date_like(o, ["day", "o_orderstatus"])
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    o = table(spark, d, "orders").select(day.alias("day"), "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, day).otherwise("none").alias("half"))
+    return rounded(C.date_like(o, ["day", "o_orderstatus", "half"]))
+
