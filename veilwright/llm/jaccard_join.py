@@ -10,8 +10,8 @@
    signature of each part is emitted. As many parts as may be empty are added,
    and a set with still more empty parts says so by extra signatures, so no
    link is lost. Pairs across a band's border have signatures of their own.
-3. *Stars.* Each class with a common signature is paired with the smallest
-   class of that signature, found by a combined minimum and a join; these pairs
+3. *Stars.* Each class is paired with one other, the smallest class of most of
+   its common signatures, found by a combined minimum and a join; these pairs
    are verified. Copies and near copies of one text are linked here, by a number
    of pairs linear in the size of their group.
 4. *Size-banded tiles.* Where a signature still holds classes of different
@@ -295,9 +295,11 @@ def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_byt
     shared = emitted.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig", "lo")
     shared = materialise(shared, "shared-signatures")
     held = materialise(emitted.join(shared, "sig").select("sig", "c", "lo").distinct(), "held-signatures")
-    star = materialise(held.filter("c > lo").select(F.col("c").alias("a"), F.col("lo").alias("b")).distinct(), "star-pairs")
+    # The smallest class with which a class shares most signatures; what else it may link with is left to the tiles.
+    star = held.filter("c > lo").groupBy("c", "lo").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "lo")).alias("m"))
+    star = materialise(star.select(F.col("c").alias("a"), F.col("m.lo").alias("b")), "star-pairs")
 
-    wanted = star.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = held.select("c").distinct()
     reps = materialise(classes.join(wanted, "c").select("c", "n", "rep.doc_id", "rep.h1", "rep.h2"), "compared-classes")
     arrays = materialise(_arrays(docs, reps, shingle), "compared-sets")
     links = materialise(_verified(star, arrays, percent), "star-links")
