@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,12 +24,48 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts"
 
 
+def cuts_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables, in the shared one."""
+    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, tag: str) -> str:
+    """Where ``df`` is written: a folder of its own. Its shuffle files, which nobody reads again, go when it is written."""
+    spark = df.sparkSession
+    path = f"{cuts_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` and read it back: computed once, the same for every reader, safe from lost executors.
 
     What is read back carries no partitioning, so that joins on it shuffle both
     sides and AQE may split a hot key.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, tag))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote; only when all that reads it has itself been written."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/cuts-{df.sparkSession.sparkContext.applicationId}/" in folder:
+            _delete(df.sparkSession, folder)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the tables that this application has written so far; call it when their results have been stored."""
+    _delete(spark, cuts_dir(spark))
