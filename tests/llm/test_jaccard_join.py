@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from veilwright.llm import jaccard_join as J
 from veilwright.llm.components import components
@@ -60,6 +61,27 @@ def test_components_equal_brute_force(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_have_enough_signatures_in_common(percent):
+    rng = np.random.default_rng(percent)
+    tried = 0
+    for _ in range(6000):
+        n = int(rng.integers(1, 900))
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        cut = int(rng.integers(0, n // (100 // (100 - percent)) + 1))
+        x = np.delete(s, rng.permutation(len(s))[:cut])
+        # New elements, up to what the threshold leaves.
+        room = max(0, int((100 * len(x) - percent * len(s)) / percent))
+        y = np.union1d(s, rng.integers(0, 2**64, int(rng.integers(room // 2, room + 1)), dtype=np.uint64)) if room else s
+        if len(x) and J.linked(x, y, percent) and not np.array_equal(x, y):
+            tried += 1
+            common = sorted(set(J.signatures(x, percent).tolist()) & set(J.signatures(y, percent).tolist()))
+            by = {k: sum(1 for c in common if c & J.KIND == k) for k in range(4)}
+            a, b = J.least_shared(len(x), percent), J.least_shared(len(y), percent)
+            assert any(k in b and by[k] >= a[k] and by[k] >= b[k] for k in a), (len(x), len(y))
+    assert tried > 2000
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(5)
     missed = 0

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import materialise, shared_dir
+from ..functions.durable import drop_cut, materialise, shared_dir
 
-__all__ = ["SPACES", "fresh_name", "materialise", "shared_dir", "shared_path", "table", "without_spaces"]
+__all__ = ["SPACES", "drop_cut", "fresh_name", "materialise", "shared_dir", "shared_path", "table", "without_spaces"]
 
 #: The six characters of [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")

@@ -7,7 +7,9 @@
 2. *Candidates.* Sets that link differ in at most k = (|x| + |y|) / 19 elements
    (from the threshold 90/100). Sizes are cut into bands; for a band the hash
    range is cut into m > k parts, so that linked sets have equal parts, and a
-   signature of each part is emitted. As many parts as may be empty are added,
+   signature of each part is emitted. Smaller sets of a band differ in fewer
+   elements, so they have several signatures in common with what they link with;
+   classes with fewer common ones go. As many parts as may be empty are added,
    and a set with still more empty parts says so by extra signatures, so no
    link is lost. Pairs across a band's border have signatures of their own.
 3. *Stars.* Each class is paired with one other, the smallest class of most of
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash as W
-from .common import fresh_name, materialise
+from .common import drop_cut, fresh_name, materialise
 from .components import components
 
 SHINGLE = 3
@@ -50,6 +52,8 @@ TILE = 256
 #: Bytes of the sets of a tile; a larger set is a tile of its own, as far as hashing deals them apart.
 TILE_BYTES = 32_000_000
 BAND_RATIO = 1.5
+#: The low bits of a signature: the three tags of a set differ in them.
+KIND = 3
 #: Classes of text hashes by which texts are sorted out before a shuffle.
 SLOTS = 1 << 22
 
@@ -87,25 +91,42 @@ def signature_plan(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]
     return out
 
 
-_plans: dict[int, list[tuple[int, int, int]]] = {}
+def least_shared(n: int, percent: int = PERCENT) -> dict[int, int]:
+    """By the low bits of a tag, how many signatures a set of n elements has in common with any set that it links with by this tag.
+
+    At most d parts differ where d elements do. Of the equal parts, those that are
+    empty may not be told, but then they are ``spare`` at most.
+    """
+    i = int(np.searchsorted(_BANDS, n, "right")) - 1
+    low, high = int(_BANDS[i]), int(_BANDS[i + 1]) - 1
+    out = {}
+    for tag, m, spare in signature_plan(n, percent):
+        # The largest partner: within the band, below its first size, or above its last.
+        other = min(high, 100 * n // percent) if tag == 2 * i else low - 1 if tag < 2 * i else 100 * n // percent
+        out[tag & KIND] = max(1, m - spare - (n + other) * (100 - percent) // (100 + percent))
+    return out
+
+
+_plans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
 
 
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a sorted set."""
+    """Signatures of a sorted set; their low bits are those of the tag."""
     n = len(s)
-    if n not in _plans:
-        _plans[n] = signature_plan(n, percent)
+    if (n, percent) not in _plans:
+        _plans[n, percent] = signature_plan(n, percent)
     out, spread, high = [], None, None
-    for tag, m, spare in _plans[n]:
+    for tag, m, spare in _plans[n, percent]:
         if spread is None:
             spread, high = W.mix(s), s >> np.uint64(32)
         cuts = np.searchsorted(high, (np.arange(m, dtype=np.uint64) << np.uint64(32)) // np.uint64(m) + np.uint64(0), "left")
         full = np.diff(np.append(cuts, n)) > 0
         name = W.mix(np.arange(m, dtype=np.uint64) + np.uint64(tag << 40))
         sums = np.add.reduceat(spread, cuts[full])
-        out.append(W.mix(sums ^ name[full]))
+        own = [W.mix(sums ^ name[full])]
         if m - len(sums) > spare:
-            out.append(W.mix(name[~full] + np.uint64(0x5BD1E995)))
+            own.append(W.mix(name[~full] + np.uint64(0x5BD1E995)))
+        out += [(x & ~np.uint64(KIND)) | np.uint64(tag & KIND) for x in own]
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -230,6 +251,21 @@ def _as_set(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), np.uint64)
 
 
+def _with_enough(counts: DataFrame, percent: int) -> DataFrame:
+    """(c, kind) of those of (c, kind, k, n) that have as many common signatures as a link takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, dict[int, int]] = {}
+        for b in batches:
+            kind, k, n = (b.column(i).to_pylist() for i in (1, 2, 3))
+            for size in set(n) - known.keys():
+                known[size] = least_shared(size, percent)
+            enough = pa.array([have >= known[size][t] for t, have, size in zip(kind, k, n, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["c", "kind"]).filter(enough)
+
+    return counts.select("c", "kind", "k", "n").mapInArrow(run, "c long, kind long")
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` that link."""
 
@@ -281,7 +317,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``docs`` as by ``_keyed``: the sets (doc_id, h1, h2, n, c), classes (c, size, rep) and labels (c, label) of the classes that are linked."""
+    """Of ``docs`` as by ``_keyed``: the rows (doc_id, h1, h2, n, c), classes (c, size, rep) and labels (c, label) of the classes that are linked."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     for seed in range(1, 9):  # a name of 64 bits per class; another seed in the case that two classes share one
         sets = materialise(_shingled(docs, shingle, percent, seed), "shingle-sets")
@@ -291,10 +327,18 @@ def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_byt
             break
     else:
         raise ValueError("no seed gives distinct names")
+    rows = materialise(sets.drop("sigs"), "rows")
     emitted = sets.select(F.explode("sigs").alias("sig"), "c")
-    shared = emitted.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig", "lo")
+    shared = emitted.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
     shared = materialise(shared, "shared-signatures")
-    held = materialise(emitted.join(shared, "sig").select("sig", "c", "lo").distinct(), "held-signatures")
+    kind = F.col("sig").bitwiseAND(F.lit(KIND).cast("long"))
+    some = materialise(emitted.join(shared, "sig").select("sig", "c", kind.alias("kind")).distinct(), "common-signatures")
+    drop_cut(sets)
+    enough = some.groupBy("c", "kind").agg(F.count(F.lit(1)).alias("k")).join(classes.select("c", "n"), "c")
+    enough = materialise(_with_enough(enough, percent), "classes-with-enough")
+    some = some.join(enough, ["c", "kind"]).select("sig", "c")
+    shared = some.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig", "lo")
+    held = materialise(some.join(materialise(shared, "shared-by-enough"), "sig").select("sig", "c", "lo"), "held-signatures")
     # The smallest class with which a class shares most signatures; what else it may link with is left to the tiles.
     star = held.filter("c > lo").groupBy("c", "lo").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "lo")).alias("m"))
     star = materialise(star.select(F.col("c").alias("a"), F.col("m.lo").alias("b")), "star-pairs")
@@ -310,7 +354,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_byt
     still = named.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("c").alias("hub")).filter("l1 < l2").select("sig", "hub")
     left = materialise(named.join(still, "sig").select("c", "label", "hub").distinct(), "open")
     if left.isEmpty():
-        return sets, classes, labels
+        return rows, classes, labels
     groups = components(left, "c", "hub")
     members = left.select("c", "label").distinct().join(groups, F.col("c") == F.col("node")).join(reps.select("c", "n"), "c")
     more = _tiled(materialise(members.select(F.col("component").alias("g"), "c", "n", "label"), "open-members"), arrays, percent, tile, tile_bytes)
@@ -318,7 +362,8 @@ def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_byt
     # A label that is joined to others is a class too, so it has a row of its own unless it stands alone.
     labels = labels.unionByName(left.select("c", "label").distinct().join(labels.select("c"), "c", "left_anti"))
     labels = labels.join(joined, F.col("label") == F.col("node"), "left").select("c", F.coalesce("component", "label").alias("label"))
-    return sets, classes, materialise(labels, "labels")
+    drop_cut(arrays)
+    return rows, classes, materialise(labels, "labels")
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
