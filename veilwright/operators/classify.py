@@ -18,37 +18,53 @@ from .classes import equivalence_classes
 
 DIRECT, QUASI, SENSITIVE, NONE = "DIRECT_IDENTIFIER", "QUASI_IDENTIFIER", "SENSITIVE", "NON_SENSITIVE"
 
-# Names and words of names by role.
-DIRECT_NAMES = {"name", "email", "ssn", "phone", "passport", "nic", "full_name", "national_id"}
-DIRECT_WORDS = {"name", "email", "mail", "ssn", "phone", "mobile", "telephone", "fax", "passport", "nic", "id", "identifier", "address", "account", "license", "ip", "url", "custkey", "orderkey", "uuid", "username", "comment"}
+# Names that decide a role, and words of names by category.
+DIRECT_NAMES = ("district", "psu", "snumber", "hhno", "person_serial_no", "person_serial_number", "household_number", "household_no")
+QUASI_NAMES = ("age", "sex", "education", "marital_status", "maritalstatus", "occupation", "industry", "sector", "residence", "residence_type", "urban_rural", "urbanrural", "rural_urban")
+SENSITIVE_NAMES = ("religion", "ethnicity", "ethnic")
+DIRECT_WORDS = {
+    "id": ("id", "identifier", "uuid", "guid", "ssn", "social security"),
+    "name": ("name", "firstname", "lastname", "fullname", "surname", "given name"),
+    "email": ("email", "e-mail", "mail"),
+    "phone": ("phone", "telephone", "mobile", "cell", "contact"),
+    "address": ("address", "street", "postal", "zip", "postcode"),
+    "ip": ("ip", "ip address", "ipaddress"),
+    "mac": ("mac address", "macaddress"),
+    "passport": ("passport", "passport number", "passportno"),
+    "license": ("license", "driving license", "license number", "licenseno"),
+    "account": ("account", "account number", "accountno", "bank account"),
+}
 QUASI_WORDS = {
-    "age": {"age", "dob", "birth", "birthdate", "birthday"},
-    "gender": {"gender", "sex"},
-    "geography": {"zip", "zipcode", "postal", "city", "district", "province", "region", "country", "state", "nation", "nationkey", "location", "address", "sector"},
-    "occupation": {"occupation", "job", "profession", "employment", "industry", "title"},
-    "education": {"education", "degree", "qualification", "school"},
-    "marital": {"marital", "married", "spouse"},
-    "date": {"date", "year", "month", "day", "time"},
-    "household": {"household", "family", "children", "size"},
-    "segment": {"segment", "mktsegment", "brand", "type", "category", "status", "priority"},
+    "age": ("age", "dob", "date of birth", "birthdate", "birth date", "year of birth", "yob"),
+    "gender": ("gender", "sex", "male", "female"),
+    "location": ("location", "city", "town", "village", "ward", "region", "province", "state", "county"),
+    "education": ("education", "edu", "qualification", "degree", "school", "university"),
+    "occupation": ("occupation", "job", "profession", "employment", "work"),
+    "marital": ("marital", "marriage", "married", "single", "divorced", "widowed"),
+    "industry": ("industry", "sector", "economic sector"),
+    "residence": ("residence", "residence_type", "urban", "rural", "urban_rural"),
+    "race": ("race", "ethnicity", "ethnic"),
+    "language": ("language", "lang", "mother tongue"),
+    "postcode": ("postcode", "postal code", "zip code", "zip"),
+    "coordinates": ("latitude", "longitude", "lat", "lon", "coord"),
 }
 SENSITIVE_WORDS = {
-    "income": {"income", "salary", "wage", "earnings", "acctbal", "balance", "totalprice", "price", "expenditure"},
-    "health": {"disease", "diagnosis", "illness", "health", "medical", "disability", "condition", "treatment"},
-    "religion": {"religion", "faith"},
-    "ethnicity": {"ethnicity", "race", "ethnic"},
-    "politics": {"politics", "political", "party", "vote"},
-    "crime": {"crime", "criminal", "conviction"},
-    "finance": {"debt", "loan", "credit", "score"},
+    "health": ("health", "medical", "disease", "illness", "diagnosis", "treatment", "hospital", "clinic", "disability"),
+    "income": ("income", "salary", "wage", "earnings", "revenue", "pay"),
+    "financial": ("financial", "bank", "credit", "debt", "loan", "mortgage", "asset", "wealth"),
+    "religion": ("religion", "religious", "faith", "belief", "denomination"),
+    "ethnicity": ("ethnicity", "ethnic", "race", "tribal", "caste"),
+    "political": ("political", "party", "vote", "voting", "election"),
+    "sexual": ("sexual", "orientation", "lgbt", "lgbtq"),
+    "criminal": ("criminal", "crime", "arrest", "conviction", "felony", "misdemeanor"),
+    "genetic": ("genetic", "dna", "genome", "biometric"),
 }
-HIGH_SENSITIVE = {"salary", "income", "disease", "diagnosis", "religion"}
-HIGH_QUASI = {"age", "gender", "sex", "zipcode", "zip", "birthdate", "dob"}
 STRATA = {"district", "sector", "region", "province"}
 ORDINAL_SCALES = [["low", "medium", "high"], ["none", "primary", "secondary", "tertiary"], ["poor", "fair", "good", "excellent"], ["never", "rarely", "sometimes", "often", "always"], ["strongly disagree", "disagree", "neutral", "agree", "strongly agree"], ["small", "medium", "large"], ["child", "teen", "adult", "senior"]]
 KIND_WORDS = {
     "age": {"age"},
     "zipcode": {"zip", "zipcode", "postal", "postcode"},
-    "date": {"date", "dob", "birthdate", "orderdate", "shipdate"},
+    "date": {"date", "dob", "birthdate"},
     "income": {"income", "salary", "wage"},
     "occupation": {"occupation", "job", "profession"},
     "education": {"education", "degree", "qualification"},
@@ -65,6 +81,35 @@ def tokens(name: str, prefixes: bool = True) -> set[str]:
     return set(parts)
 
 
+def name_words(name: str) -> str:
+    """The words of a name in order, with spaces around each."""
+    return " " + " ".join(p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()) if p) + " "
+
+
+def has(name: str, phrases) -> bool:
+    """Whether one of some words or phrases stands in the name as whole words."""
+    own = name_words(name)
+    return any(name_words(p) in own for p in phrases)
+
+
+def is_named(name: str, names) -> bool:
+    """Whether the name, without the prefix of its table, is one of ``names``."""
+    return any(x == name_words(n).strip() for n in names for x in (name_words(name).strip(), name_words(name).strip().split(" ", 1)[-1] if re.match(r"^[a-z]{1,2}_", name.lower()) else ""))
+
+
+@dataclass
+class Words:
+    """The words by which columns get a role; ``more`` words of a data set are added to categories of their own or known ones."""
+
+    direct: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(DIRECT_WORDS))
+    quasi: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(QUASI_WORDS))
+    sensitive: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(SENSITIVE_WORDS))
+
+    def more(self, **extra: dict[str, tuple[str, ...]]) -> Words:
+        """``more(quasi={"segment": ("mktsegment",)})``."""
+        return Words(**{k: {c: (*getattr(self, k).get(c, ()), *extra.get(k, {}).get(c, ())) for c in {**getattr(self, k), **extra.get(k, {})}} for k in ("direct", "quasi", "sensitive")})
+
+
 @dataclass
 class Role:
     column: str
@@ -86,16 +131,13 @@ def _stats(df: DataFrame) -> dict[str, dict]:
     return s
 
 
-def direct_score(name: str, x: dict, substring: bool = False) -> tuple[float, list[str]]:
-    """C1."""
-    low, words = name.lower(), tokens(name)
-    if low in DIRECT_NAMES or words & DIRECT_NAMES and len(words) == 1:
+def direct_score(name: str, x: dict, words: Words) -> tuple[float, list[str]]:
+    """A name of the list 1, a whole word .95, the rate of values that look like personal data; nearly unique values add .1, or make a code of .8."""
+    if is_named(name, DIRECT_NAMES):
         return 1.0, ["name of a direct identifier"]
     score, why = 0.0, []
-    if words & DIRECT_WORDS:
+    if any(has(name, w) for w in words.direct.values()):
         score, why = 0.95, ["word of the name"]
-    elif substring and any(w in low for w in DIRECT_WORDS):
-        score, why = 0.75, ["part of the name"]
     if x["pii"][0] > score:
         score = x["pii"][0]
         why.append(f"values look like {x['pii'][1]}")
@@ -103,51 +145,50 @@ def direct_score(name: str, x: dict, substring: bool = False) -> tuple[float, li
         if score:
             score = min(1.0, score + 0.1)
             why.append("nearly unique")
-        elif {"id", "key", "code"} & words:
+        elif {"id", "key", "code"} & tokens(name):
             score, why = 0.8, ["nearly unique, and a code"]
     elif score and x["u"] < 0.5 and not x["pii"][0]:
         score = 0.0  # a name alone is no evidence if most values repeat
     return score, why
 
 
-def word_score(name: str, words: dict[str, set[str]]) -> tuple[float, str]:
-    """Jaccard similarity of the name's words to a category's, + .3 if any is among them; the best category."""
+def word_score(name: str, words: dict[str, tuple[str, ...]]) -> tuple[float, str]:
+    """Jaccard similarity of the name's words to a category's, + .3 if any stands in it; the best category."""
     own = tokens(name)
     best = (0.0, "")
-    for k, ws in words.items():
-        hit = own & ws
-        best = max(best, (len(hit) / len(own | ws) + (0.3 if hit else 0.0), k))
+    for k, phrases in words.items():
+        ws = {w for p in phrases for w in name_words(p).split()}
+        best = max(best, (len(own & ws) / len(own | ws) + (0.3 if has(name, phrases) else 0.0), k))
     return best
 
 
-def quasi_score(name: str, x: dict) -> float:
+def quasi_score(name: str, x: dict, words: Words) -> float:
     """C2."""
-    s, kind = word_score(name, QUASI_WORDS)
+    s, kind = word_score(name, words.quasi)
     if s <= 0.3:
         return 0.0
     return min(1.0, 1.2 * s + (0.1 if 0.1 < x["u"] < 0.9 else 0) + (0.15 if kind == "age" and x["numeric"] else 0))
 
 
-def sensitive_score(name: str, x: dict) -> float:
+def sensitive_score(name: str, x: dict, words: Words) -> float:
     """C3."""
-    s, kind = word_score(name, SENSITIVE_WORDS)
+    s, kind = word_score(name, words.sensitive)
     if s <= 0.25:
         return 0.0
     return min(1.0, 1.3 * s + (0.2 if kind == "income" and x["numeric"] else 0) + (0.15 if kind in ("religion", "ethnicity") and 1 < x["n_unique"] < 50 else 0))
 
 
-def detect_roles(df: DataFrame) -> list[Role]:
-    """The role of every column, in order of name; direct identifiers first, then high-priority names, then the better score."""
-    out = []
+def detect_roles(df: DataFrame, words: Words | None = None) -> list[Role]:
+    """The role of every column, in order of name; direct identifiers first, then names of the lists, then the better score."""
+    words, out = words or Words(), []
     for name, x in sorted(_stats(df).items()):
-        d, why = direct_score(name, x)
-        q, s = quasi_score(name, x), sensitive_score(name, x)
-        words = tokens(name)
+        d, why = direct_score(name, x, words)
+        q, s = quasi_score(name, x, words), sensitive_score(name, x, words)
         if d >= 0.5:
             out.append(Role(name, DIRECT, round(d, 4), why))
-        elif words & HIGH_SENSITIVE:
+        elif is_named(name, SENSITIVE_NAMES):
             out.append(Role(name, SENSITIVE, max(0.9, round(s, 4)), ["name of a sensitive attribute"]))
-        elif words & HIGH_QUASI:
+        elif is_named(name, QUASI_NAMES):
             out.append(Role(name, QUASI, max(0.9, round(q, 4)), ["name of a quasi-identifier"]))
         elif q > s and q > 0.3:
             out.append(Role(name, QUASI, round(q, 4), ["words of the name"]))
@@ -176,16 +217,15 @@ def role_counts(roles: DataFrame) -> DataFrame:
     return roles.groupBy("role").agg(F.count(F.lit(1)).alias("n_columns"), F.avg("confidence").alias("avg_confidence"))
 
 
-def heuristic_roles(df: DataFrame) -> list[tuple[str, str, str]]:
+def heuristic_roles(df: DataFrame, words: Words | None = None) -> list[tuple[str, str, str]]:
     """(column, role, action) by words of the name and uniqueness."""
-    out = []
+    words, out = words or Words(), []
     for c, x in _stats(df).items():
-        words = tokens(c)
-        if words & (DIRECT_NAMES | {"id", "email", "phone", "nic", "passport"}) or x["u"] > 0.9 and not x["numeric"]:
+        if has(c, ("id", "name", "email", "phone", "nic", "passport")) or x["u"] > 0.9 and not x["numeric"]:
             out.append((c, "Direct Identifier", "drop"))
-        elif word_score(c, SENSITIVE_WORDS)[0] > 0.25:
+        elif word_score(c, words.sensitive)[0] > 0.25:
             out.append((c, "Sensitive", "synthesize"))
-        elif word_score(c, QUASI_WORDS)[0] > 0.3:
+        elif word_score(c, words.quasi)[0] > 0.3:
             out.append((c, "Quasi-identifier", "synthesize"))
         else:
             out.append((c, "Non-sensitive", "resample"))
@@ -214,8 +254,10 @@ def is_ordinal(df: DataFrame, c: str) -> bool:
     r = df.agg(F.avg(F.when(F.col(c).isNotNull(), F.col(c).cast("string").try_cast("double").isNotNull().cast("double"))).alias("num")).first()
     if (r["num"] or 0) > 0.8:
         return True
-    values = {v["v"] for v in df.select(F.lower(F.trim(F.col(c).cast("string"))).alias("v")).filter("v IS NOT NULL").distinct().limit(101).collect()}
-    return 0 < len(values) <= 100 and any(len(values & set(s)) >= 0.6 * len(values) for s in ORDINAL_SCALES)
+    values = df.select(F.lower(F.trim(F.col(c).cast("string"))).alias("v")).filter("v IS NOT NULL").distinct()
+    # One row: how many values there are, and how many of each scale.
+    found = values.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("v").isin(*s)).alias(f"s{i}") for i, s in enumerate(ORDINAL_SCALES))).first()
+    return found["n"] > 0 and any(found[f"s{i}"] >= 0.6 * found["n"] for i in range(len(ORDINAL_SCALES)))
 
 
 def attribute_kind(df: DataFrame, c: str) -> str:
@@ -291,10 +333,11 @@ def recommend_strategy(df: DataFrame, qi: list[str], sensitive: list[str], direc
 GRANULARITY = ((50, "coarse"), (1000, "medium"))
 
 
-def semantic_roles(df: DataFrame) -> DataFrame:
+def semantic_roles(df: DataFrame, words: Words | None = None) -> DataFrame:
     """(column, qi_score, role, granularity): .4 for times, .35 for numbers with 2 to 85 % and for text with 1 to 60 % distinct values, .35 for a word of the name, .1 for at most 10 % nulls; a QI from .55 on, unless a word makes it sensitive."""
     kinds = dict(df.dtypes)
-    flags = [(c, profile.dtype_group(kinds[c]), word_score(c, QUASI_WORDS)[0] > 0.3, word_score(c, SENSITIVE_WORDS)[0] > 0.3) for c in df.columns]
+    words = words or Words()
+    flags = [(c, profile.dtype_group(kinds[c]), word_score(c, words.quasi)[0] > 0.3, word_score(c, words.sensitive)[0] > 0.3) for c in df.columns]
     named = df.sparkSession.createDataFrame(flags, "column string, kind string, quasi_word boolean, sensitive_word boolean")
     x = profile.profiling_stats(df).join(F.broadcast(named), "column")
     u = F.coalesce(F.try_divide(F.col("n_unique"), F.col("total_rows") - F.col("missing")), F.lit(0.0))

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import materialise
+from ..functions.durable import materialise, written
+from ..functions.ranks import prefix_sums
 from .anonymize import NUMERIC, STAR, suppress_small
 from .classes import equivalence_classes
 
@@ -38,8 +39,32 @@ EDUCATION = [
     {"Educated": ["Below tertiary", "Tertiary", "Postgraduate level"]},
 ]
 GENDER = [{"Male": ["m", "male", "man", "1"], "Female": ["f", "female", "woman", "2"], "Other": ["o", "other", "non-binary", "x"]}, {"Person": ["Male", "Female", "Other"]}]
-CONTINENTS = {"Africa": ["ALGERIA", "ETHIOPIA", "KENYA", "MOROCCO", "MOZAMBIQUE", "EGYPT"], "America": ["ARGENTINA", "BRAZIL", "CANADA", "PERU", "UNITED STATES"], "Asia": ["CHINA", "INDIA", "INDONESIA", "JAPAN", "VIETNAM", "IRAN", "IRAQ", "JORDAN", "SAUDI ARABIA"], "Europe": ["FRANCE", "GERMANY", "ROMANIA", "RUSSIA", "UNITED KINGDOM"]}
-GEOGRAPHY = [CONTINENTS, {"World": list(CONTINENTS)}]
+GEOGRAPHY = [
+    {
+        "Colombo": [f"Colombo {n}" for n in range(1, 16)],
+        "Kandy": ["Kandy", "Kandy North", "Kandy South"],
+        "Galle": ["Galle", "Galle North", "Galle South"],
+        "Jaffna": ["Jaffna", "Jaffna North", "Jaffna South"],
+        "Kurunegala": ["Kurunegala", "Kurunegala North", "Kurunegala South"],
+        "Anuradhapura": ["Anuradhapura", "Anuradhapura East", "Anuradhapura West"],
+        "Ratnapura": ["Ratnapura", "Ratnapura North", "Ratnapura South"],
+        "Matale": ["Matale", "Matale North", "Matale South"],
+        "Nuwara Eliya": ["Nuwara Eliya", "Nuwara Eliya West", "Nuwara Eliya East"],
+        "Gampaha": ["Gampaha", "Gampaha North", "Gampaha South", "Negombo", "Katana"],
+    },
+    {
+        "Western Province": ["Colombo", "Gampaha", "Kalutara"],
+        "Central Province": ["Kandy", "Matale", "Nuwara Eliya"],
+        "Southern Province": ["Galle", "Matara", "Hambantota"],
+        "Northern Province": ["Jaffna", "Kilinochchi", "Mannar", "Mullaitivu", "Vanni"],
+        "Eastern Province": ["Batticaloa", "Trincomalee", "Ampara"],
+        "North Central Province": ["Anuradhapura", "Polonnaruwa"],
+        "Sabaragamuwa Province": ["Ratnapura", "Kegalle"],
+        "Uva Province": ["Badulla", "Moneragala"],
+        "North Western Province": ["Kurunegala", "Puttalam"],
+    },
+]
+GEOGRAPHY += [{"Sri Lanka": list(GEOGRAPHY[1])}, {"Asia": ["Sri Lanka"]}]
 
 
 def _band(x: Column, width: int) -> Column:
@@ -100,16 +125,19 @@ TABLES = {"geography": GEOGRAPHY, "occupation": OCCUPATION, "education": EDUCATI
 
 @dataclass
 class Hierarchy:
-    """levels[i] maps a label of level i + 1 to its members on level i; an expression takes the place of the maps for regular labels."""
+    """levels[i] maps a label of level i + 1 to its members on level i; an expression takes the place of the maps for regular labels, a written table (value) that of the one level at which its values are '*'."""
 
     attribute: str
     levels: list[dict[str, list[str]]] = field(default_factory=list)
     kind: str | None = None
     numeric: tuple[float, float, int] | None = None
     current: int = 0
+    starred: str | None = None
 
     @property
     def max_level(self) -> int:
+        if self.starred:
+            return 2
         if self.kind:
             return EXPRESSIONS[self.kind][1]
         return self.numeric[2] + 1 if self.numeric else len(self.levels) + 1
@@ -127,11 +155,11 @@ class Hierarchy:
         return self.current
 
     def leaves(self, level: int) -> dict[str, str]:
-        """value -> label at ``level``; values without a label aren't listed."""
+        """value -> label at ``level``; a value may be a label of a lower level already; values without a label aren't listed."""
         now: dict[str, str] = {}
         for i, members in enumerate(self.levels[:level]):
             up = {m.lower() if i == 0 else m: label for label, ms in members.items() for m in ms}
-            now = dict(up) if i == 0 else {v: up.get(x, x) for v, x in now.items()}
+            now = dict(up) if i == 0 else {v: up.get(x, x) for v, x in now.items()} | {m.lower(): x for m, x in up.items() if m.lower() not in now}
         return now
 
     def generalize(self, value: str, level: int) -> str:
@@ -165,17 +193,21 @@ class Hierarchy:
             return df.withColumn(c, x.cast("string"))
         if level >= self.max_level:
             return df.withColumn(c, F.when(x.isNotNull(), STAR))
+        if self.starred:
+            values = df.sparkSession.read.schema("value string").parquet(self.starred)
+            out = df.join(values, F.lower(x.cast("string")) == F.col("value"), "left")
+            return out.withColumn(c, F.when(F.col("value").isNotNull(), STAR).otherwise(x.cast("string"))).drop("value")
         labels = self.table(df.sparkSession).filter(F.col("level") == level).select("value", "label")
         # The table is part of the program text, so of bounded size.
         out = df.join(F.broadcast(labels), F.lower(x.cast("string")) == F.col("value"), "left")
         return out.withColumn(c, F.coalesce("label", x.cast("string"))).drop("value", "label")
 
     def to_dict(self) -> dict:
-        return {"attribute": self.attribute, "levels": self.levels, "kind": self.kind, "numeric": list(self.numeric) if self.numeric else None, "current": self.current}
+        return {"attribute": self.attribute, "levels": self.levels, "kind": self.kind, "numeric": list(self.numeric) if self.numeric else None, "current": self.current, "starred": self.starred}
 
     @classmethod
     def from_dict(cls, d: dict) -> Hierarchy:
-        return cls(d["attribute"], d["levels"], d["kind"], tuple(d["numeric"]) if d["numeric"] else None, d["current"])
+        return cls(d["attribute"], d["levels"], d["kind"], tuple(d["numeric"]) if d["numeric"] else None, d["current"], d.get("starred"))
 
 
 def template(attribute: str, kind: str) -> Hierarchy:
@@ -264,9 +296,9 @@ class HierarchyManager:
                 lo, hi = df.agg(F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))).first()
                 self.add(numeric_hierarchy(c, lo or 0.0, hi or 0.0))
             else:
-                rare = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).filter(f"n < {least} AND v IS NOT NULL").limit(10_001).collect()
-                if len(rare) <= 10_000:
-                    self.add(categorical_hierarchy(c, {STAR: sorted(r["v"] for r in rare)}))
+                # However many values are rare: they are a table, not a list on the driver.
+                rare = df.groupBy(F.lower(F.col(c).cast("string")).alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(f"n < {least} AND value IS NOT NULL")
+                self.add(Hierarchy(c, starred=written(rare.select("value"), "rare-values")))
         return self
 
 
@@ -285,7 +317,10 @@ def mondrian(df: DataFrame, qi: list[str], k: int, name: str = "partition") -> D
     (numbers by size, others by name); all partitions are cut in the same round.
     The rounds work on distinct QI values with counts.
     """
-    from pyspark.sql import Window
+    def place(q: str) -> list[Column]:
+        """Nulls first, then by number, then by name."""
+        v = F.col(q)
+        return [v.isNotNull().cast("int").alias("_a"), F.coalesce(v.cast("string").try_cast("double"), F.lit(float("-inf"))).alias("_b"), F.coalesce(v.cast("string"), F.lit("")).alias("_s")]
 
     keys = [f"_q{i}" for i in range(len(qi))]
     base = df.groupBy(*(F.col(c).alias(q) for c, q in zip(qi, keys, strict=True))).agg(F.count(F.lit(1)).alias("_n"))
@@ -295,25 +330,24 @@ def mondrian(df: DataFrame, qi: list[str], k: int, name: str = "partition") -> D
         rounds += 1
         best = None
         for i, q in enumerate(keys):
-            # Rows of each value of the QI within each open partition, in order, to find the cut.
-            values = base.filter("_open").groupBy("_p", F.col(q).alias("_v")).agg(F.sum("_n").alias("_c"))
-            number = F.col("_v").cast("string").try_cast("double")
-            order = Window.partitionBy("_p").orderBy(F.col("_v").isNotNull(), number, F.col("_v").cast("string"))
-            run = values.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_c").over(Window.partitionBy("_p"))).withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("_p")))
+            # Rows up to each value of the QI within each open partition, over ranges of both, to find the cut.
+            values = base.filter("_open").groupBy("_p", *place(q)).agg(F.sum("_n").alias("_c")).withColumn("_one", F.lit(1).cast("long"))
+            run = materialise(prefix_sums(values, [F.col(x) for x in ("_p", "_a", "_b", "_s")], {"_to": "_c", "_at": "_one"}), f"mondrian-values-{rounds}")
+            ends = run.groupBy("_p").agg(F.min(F.col("_to") - F.col("_c")).alias("_o"), F.max("_to").alias("_e"), F.min("_at").alias("_f"), F.count(F.lit(1)).alias("_m"))
+            run = run.join(ends, "_p").select("_p", "_m", (F.col("_to") - F.col("_o")).alias("_upto"), (F.col("_e") - F.col("_o")).alias("_all"), (F.col("_at") - F.col("_f")).alias("_r"), "_a", "_b", "_s")
             good = run.filter((F.col("_upto") >= k) & (F.col("_all") - F.col("_upto") >= k))
-            cut = good.groupBy("_p").agg(F.max("_m").alias("_m"), F.min(F.struct(F.abs(2 * F.col("_upto") - F.col("_all")).alias("d"), F.col("_r").alias("r"))).alias("_x")).select("_p", "_m", F.lit(i).alias("_i"), F.col("_x.r").alias("_r"))
+            nearest = F.min(F.struct(F.abs(2 * F.col("_upto") - F.col("_all")).alias("d"), (F.col("_r")).alias("r"), "_a", "_b", "_s")).alias("_x")
+            cut = good.groupBy("_p").agg(F.max("_m").alias("_m"), nearest).select("_p", "_m", F.lit(i).alias("_i"), "_x")
             best = cut if best is None else best.unionByName(cut)
-        chosen = best.groupBy("_p").agg(F.max(F.struct(F.col("_m"), (-F.col("_i")).alias("j"), (-F.col("_r")).alias("s"))).alias("_b"))
-        chosen = materialise(chosen.select(F.col("_p").alias("_cp"), (-F.col("_b.j")).alias("_i"), (-F.col("_b.s")).alias("_r")), f"mondrian-cuts-{rounds}")
+        chosen = best.groupBy("_p").agg(F.max(F.struct(F.col("_m"), (-F.col("_i")).alias("j"), "_x")).alias("_y"))
+        chosen = materialise(chosen.select(F.col("_p").alias("_cp"), (-F.col("_y.j")).alias("_i"), F.struct("_y._x._a", "_y._x._b", "_y._x._s").alias("_cut")), f"mondrian-cuts-{rounds}")
         if chosen.isEmpty():
             break
         joined = base.join(chosen, F.col("_p") == F.col("_cp"), "left")
-        at = F.lit(None).cast("int")
+        low = F.lit(None).cast("boolean")
         for i, q in enumerate(keys):
-            order = Window.partitionBy("_p").orderBy(F.col(q).isNotNull(), F.col(q).cast("string").try_cast("double"), F.col(q).cast("string"))
-            joined = joined.withColumn(f"_d{i}", F.dense_rank().over(order))
-            at = F.when(F.col("_i") == i, F.col(f"_d{i}")).otherwise(at)
-        side = F.when(F.col("_i").isNull(), F.lit("")).when(at <= F.col("_r"), "0").otherwise("1")
+            low = F.when(F.col("_i") == i, F.struct(*place(q)) <= F.col("_cut")).otherwise(low)
+        side = F.when(F.col("_i").isNull(), F.lit("")).when(low, "0").otherwise("1")
         base = joined.select(*keys, "_n", F.concat("_p", side).alias("_p"), F.col("_i").isNotNull().alias("_open"))
         base = materialise(base, f"mondrian-{rounds}")
     from .classes import null_safe

@@ -252,12 +252,14 @@ def a18z(spark, d):
     return table(spark, d, "customer").select("c_custkey", *(H.zipcode_label(z, n).alias(f"l{n}") for n in range(1, 5)))
 
 
-_CONT = "CASE " + " ".join(f"WHEN n_name IN ({', '.join(repr(m) for m in ms)}) THEN '{c}'" for c, ms in H.CONTINENTS.items()) + " ELSE n_name END"
-
-
-@query("a18_geography", f"SELECT n_nationkey, {_CONT} AS l1, CASE WHEN {_CONT} = n_name THEN n_name ELSE 'World' END AS l2 FROM nation")
+@query("a18_geography", "SELECT n_nationkey, r_name AS l1, 'World' AS l2 FROM nation JOIN region ON n_regionkey = r_regionkey")
 def a18g(spark, d):
-    h = H.template("n_name", "geography")
+    # The nations' own hierarchy: nation, region, world.
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions: dict[str, list[str]] = {}
+    for r in both.select("n_name", "r_name").collect():
+        regions.setdefault(r["r_name"], []).append(r["n_name"])
+    h = H.Hierarchy("n_name", levels=[regions, {"World": list(regions)}])
     nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("l1"), F.col("n_name").alias("l2"))
     return h.column(h.column(nation, "l1", 1), "l2", 2)
 

@@ -163,14 +163,22 @@ def p33(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.cell_status(F.col("o_orderstatus"), F.lit("F")).alias("status"), X.attack_label((F.col("o_orderkey") % 100) / 100.0).alias("label"))
 
 
+#: Words of the supplied tables.
+TABLE_WORDS = C.Words().more(
+    direct={"key": ("custkey", "orderkey", "comment")},
+    quasi={"geography": ("nation", "nationkey"), "segment": ("segment", "mktsegment", "brand", "type", "category", "status", "orderstatus", "priority", "orderpriority"), "date": ("date", "orderdate", "shipdate")},
+    sensitive={"income": ("acctbal", "totalprice", "price")},
+)
+
+
 @query("c1_c6_column_roles")
 def c1(spark, d):
-    return C.role_table(spark, C.detect_roles(table(spark, d, "customer")))
+    return C.role_table(spark, C.detect_roles(table(spark, d, "customer"), TABLE_WORDS))
 
 
 @query("c8_heuristic_roles")
 def c8(spark, d):
-    return spark.createDataFrame(C.heuristic_roles(table(spark, d, "orders")), "column string, role string, action string")
+    return spark.createDataFrame(C.heuristic_roles(table(spark, d, "orders"), TABLE_WORDS), "column string, role string, action string")
 
 
 _LEFT, _RIGHT = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority"}, {"state": "CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE lower(o_orderstatus) END", "rank": "' ' || upper(o_orderpriority)", "year": "CAST(year(o_orderdate) AS VARCHAR)"}
@@ -204,7 +212,7 @@ UNION ALL SELECT 'c_nationkey', round(CASE WHEN n BETWEEN 0.02 AND 0.85 THEN 0.3
 UNION ALL SELECT 'c_acctbal', round(CASE WHEN b BETWEEN 0.02 AND 0.85 THEN 0.35 ELSE 0 END + 0.1, 6)::DOUBLE, 'SENSITIVE', CASE WHEN nb <= 50 THEN 'coarse' WHEN nb <= 1000 THEN 'medium' ELSE 'fine' END FROM u""",
 )
 def p16(spark, d):
-    return rounded(C.semantic_roles(table(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")))
+    return rounded(C.semantic_roles(table(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal"), TABLE_WORDS))
 
 
 _LIKE = """SELECT '{c}' AS "column", round(count(TRY_CAST(trim({c}) AS TIMESTAMP)) / count({c}), 6)::DOUBLE AS share, count(TRY_CAST(trim({c}) AS TIMESTAMP)) > 0.7 * count({c}) AS date_like
