@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stages
 before it kept. All but the last return the columns of documents.
+
+In every stage other columns may be null and may have any name, repeated rows
+are rows of their own unless the stage is about them, and an empty table gives an
+empty table. What becomes of a null or empty text, and of a null doc_id, is said
+by each stage.
 """
 
 from __future__ import annotations
@@ -14,27 +19,27 @@ from veilwright.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or far from every learned language, go."""
+    """Documents without letters (null and empty texts too), or far from every learned language, go. A null doc_id or lang is no reason to."""
     return language_id.drop_rejected(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
+    """Of equal texts the longest original stays, then that with the smallest doc_id; a null doc_id comes last. Null and empty texts are one text."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose 5-word shingles are 80 % alike the one with the smallest doc_id stays."""
+    """Of each component of documents whose 5-word shingles are 80 % alike the one with the smallest doc_id stays, a null one last. Documents without words stay."""
     return jaccard_join.keep_one(docs, shingle=5, percent=80)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; those without words stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of what stays, each proved by decoding."""
+    """Piece ids of what stays, each proved by decoding; a null text has none and counts as ''."""
     out = sentencepiece_codec.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
     return out.select("doc_id", "lang", "source", "n_pieces", "ids", "exact")
 
