@@ -227,9 +227,10 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, slack: float =
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 c, _ = codes_of([t for t, x in zip(texts, langs, strict=True) if x == lang], table)
-                last, ctx = c[ORDER - 1 :], grams_of(c)[-1][1]
-                real = last != _PAD_CODE
-                seen, n = np.unique(np.stack([ctx[real], last[real].astype(np.uint64)]), axis=1, return_counts=True)
+                key, ctx = grams_of(c)[-1]
+                real = np.flatnonzero(c[ORDER - 1 :] != _PAD_CODE)
+                _, at, n = np.unique(key[real], return_index=True, return_counts=True)
+                seen = ctx[real[at]], c[ORDER - 1 :][real[at]].astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(seen[0].view(np.int64)), pa.array(seen[1].view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "ctx", "last", "n"])
 
     # A table of the sample's n-grams: bounded by the sample, whatever the corpus.
