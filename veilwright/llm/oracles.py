@@ -58,5 +58,59 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = w.doc_id
 """
 
 
+# The table of crc32, from its polynomial, and the sum of a text's bytes.
+_CRC = "SELECT list_transform(range(0, 256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc32(text: str) -> str:
+    b = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda y: ('0x' || y)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {b}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+OP11 = rf"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC}),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) > 5 GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc32("doc_id || ':' || run")} AS h FROM runs, crc),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cut AS (SELECT word, n, left(word, i) || substr(word, i + 2) AS k, i FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a, b, nb FROM (
+    SELECT x.word AS a, y.word AS b, y.n AS nb FROM cut x JOIN cut y ON x.k = y.k AND x.i = y.i AND x.word <> y.word
+    UNION ALL SELECT x.word, y.word, y.n FROM cut x JOIN w y ON x.k = y.word
+    UNION ALL SELECT y.word, x.word, x.n FROM cut x JOIN w y ON x.k = y.word)),
+best AS (SELECT a, count(*) AS n_near, min(struct_pack(m := -nb, b := b)) AS m FROM near GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.m >= 5 * n THEN m.b END AS form, CASE WHEN -m.m >= 5 * n THEN -m.m END AS form_n FROM w LEFT JOIN best ON a = word),
+way(word, root) AS (SELECT word, word FROM f UNION SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f AS last ON last.word = way.root WHERE last.form IS NULL
+"""
+
+OP12 = """
+WITH x AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+e AS (SELECT r, vec_id, label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS q FROM x),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, o) AS nth FROM s WHERE same),
+c AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.nth ORDER BY s.score DESC, s.vec_id, s.o) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM c WHERE rank <= 3
+"""
+
+OP13 = f"""
+WITH crc AS MATERIALIZED ({_CRC}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+u AS (SELECT d.*, j, ('0x' || substr(md5(concat_ws('|', j, k)), 1, 13))::BIGINT AS bits FROM d, range(0, 17) g(j)),
+m AS (
+  SELECT r, arg_max(j, bits) FILTER (j < 16) AS shard, max(bits) FILTER (j < 16) AS bits, arg_max(j, bits) AS grown_shard FROM u GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bits, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM d JOIN m USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op3_warc": OP3, "op5_ngram_jaccard_join": OP5}
+    return {"op1_decontamination": OP1, "op2_exact_dedup": OP2, "op3_warc": OP3, "op5_ngram_jaccard_join": OP5, "op11_spelling_variants": OP11, "op12_hard_negatives": OP12, "op13_sharding": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_tokens, decontamination, exact_dedup, html_text, jaccard_join, language_id, packing, pii, sentencepiece_codec, warc
+from . import byte_tokens, decontamination, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, packing, pii, sentencepiece_codec, sharding, spelling, warc
 from .common import table
 
 
@@ -86,5 +86,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), "exact")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), slips=199)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(vectors.withColumn("label", label)))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sharding.assign(docs, "doc_id", [1.0] * 16, [1.0]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard", "order")
+    return sharding.place(rows, "doc_id", ["size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
