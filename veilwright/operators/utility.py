@@ -12,6 +12,7 @@ from ..functions.durable import materialise
 from ..functions.ranks import global_rank, prefix_sums
 from ..functions.rng import uniform
 from .anonymize import is_numeric
+from .neighbours import Tree
 
 
 def tvd(a: DataFrame, b: DataFrame, c: str) -> DataFrame:
@@ -86,57 +87,13 @@ def propensity(real: DataFrame, synthetic: DataFrame, cols: list[str], c: float
     return {"u": u, "band": band, "accuracy_train": train_acc, "accuracy_test": test, "scores": scored.drop("_u"), "histogram": histogram}
 
 
-def _cell_width(points: DataFrame, xs: list[str], span: float, levels: int = 32) -> float:
-    """The greatest width span / 2^j at which few tuples share a cell: the squares of the cells' sizes sum up to at most 8 times the tuples."""
-    n = points.count()
-    each = points.select(*xs, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_j"))
-    cells = each.groupBy("_j", *(F.floor(F.col(x) / (F.lit(span) / F.pow(F.lit(2.0), F.col("_j")))).alias(x) for x in xs)).count()
-    good = cells.groupBy("_j").agg(F.sum(F.col("count") * F.col("count")).alias("s")).filter(F.col("s") <= 8 * n).agg(F.min("_j")).first()[0]
-    return span / 2.0 ** (levels - 1 if good is None else good)
-
-
-def _nearest_other(points: DataFrame, xs: list[str], few: int = 500) -> DataFrame:
-    """(xs..., d2): the least squared distance from each distinct tuple of ``points`` (xs..., nr) with nr <= 1 to another one with nr > 0; tuples without any are left out.
-
-    Tuples are dealt to grid cells over at most three columns and meet those of
-    the cells around. A nearest within the cells' width is proved; the others go
-    on with cells twice as wide, the last ``few`` with all real tuples.
-    """
-    d2 = sum(((F.col(x) - F.col(f"r_{x}")) * (F.col(x) - F.col(f"r_{x}")) for x in xs), F.lit(0.0))
-    other = ~reduce(lambda p, q: p & q, (F.col(x) == F.col(f"r_{x}") for x in xs))
-    real = points.filter("nr > 0").select(*(F.col(x).alias(f"r_{x}") for x in xs))
-    todo = points.filter("nr <= 1").select(*xs)
-    ends = points.agg(*(F.coalesce(F.max(x) - F.min(x), F.lit(0.0)).alias(x) for x in xs), *(F.approx_count_distinct(x).alias(f"n_{x}") for x in xs)).first()
-    on = sorted(xs, key=lambda x: -ends[f"n_{x}"])[:3]
-    most = sum(ends[x] ** 2 for x in xs) ** 0.5
-    width = _cell_width(points, on, max(ends[x] for x in on)) if most > 0 and todo.count() > few else 0.0
-    found = None
-    while (left := todo.count()) > 0:
-        if left <= few or width == 0.0:
-            met = real.join(F.broadcast(todo), other)
-        else:
-            around = todo.select(*xs, *(F.floor(F.col(x) / width).alias(f"c_{x}") for x in on))
-            for x in on:
-                around = around.withColumn(f"c_{x}", F.explode(F.array(*(F.col(f"c_{x}") + k for k in (-1, 0, 1)))))
-            met = real.withColumns({f"c_{x}": F.floor(F.col(f"r_{x}") / width) for x in on}).join(around, [f"c_{x}" for x in on]).filter(other)
-        near = met.groupBy(*xs).agg(F.min(d2).alias("d2"))
-        last = left <= few or width == 0.0 or width > 2 * most
-        # A margin for the rounding of cell numbers.
-        got = materialise(near if last else near.filter(F.col("d2") <= (width * (1 - 1e-6)) ** 2), "nndr-nearest")
-        found = got if found is None else found.unionByName(got)
-        if last:
-            break
-        todo = materialise(todo.join(got.select(*xs), xs, "left_anti"), "nndr-left")
-        width *= 2
-    return points.select(*xs).limit(0).withColumn("d2", F.lit(0.0)) if found is None else found
-
-
 def nndr(real: DataFrame, synthetic: DataFrame, cols: list[str]) -> DataFrame:
     """Mean and least distance to the nearest real row, from all real rows (not themselves) and from all synthetic rows, and their ratio.
 
     Columns are standardised by the real table. Distances are found once for each
     distinct tuple and weighted by its rows; a real tuple of several rows, and a
-    synthetic one that is also real, are at distance 0.
+    synthetic one that is also real, are at distance 0. Nearest tuples come from a
+    tree of boxes, so that rows far from all real ones meet the nearest boxes only.
     """
     value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
     stats = real.agg(*(f(value[c]).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
@@ -148,8 +105,10 @@ def nndr(real: DataFrame, synthetic: DataFrame, cols: list[str]) -> DataFrame:
         return df.select(*(((F.coalesce(value[c], F.lit(mean[c])) - mean[c]) / (stats[f"s_{c}"] or 1.0) + 0.0).alias(x) for c, x in zip(cols, xs, strict=True)), F.lit(is_real).alias("is_real"))
 
     both = scaled(real, 1).unionByName(scaled(synthetic, 0))
-    points = materialise(both.groupBy(*xs).agg(F.sum("is_real").alias("nr"), F.sum(1 - F.col("is_real")).alias("ns")), "nndr-points")
-    near = points.join(_nearest_other(points, xs), xs, "left").withColumn("d", F.sqrt("d2"))
+    points = both.groupBy(*xs).agg(F.sum("is_real").alias("nr"), F.sum(1 - F.col("is_real")).alias("ns"))
+    points = materialise(points.select(F.monotonically_increasing_id().alias("id"), F.array(*xs).alias("v"), "nr", "ns"), "nndr-points")
+    others = Tree(points.filter("nr > 0")).nearest(points.filter("nr <= 1").select(F.col("id").alias("q"), "v"), 1)
+    near = points.join(others.select(F.col("q").alias("id"), F.sqrt("d2").alias("d")), "id", "left")
     near = near.withColumns({"real": F.when(F.col("nr") > 1, 0.0).when(F.col("nr") == 1, F.col("d")), "synthetic": F.when(F.col("ns") > 0, F.when(F.col("nr") > 0, 0.0).otherwise(F.col("d")))})
     out = near.agg(*(f for side, n in (("real", "nr"), ("synthetic", "ns")) for f in (F.try_divide(F.sum(F.col(side) * F.col(n)), F.sum(F.when(F.col(side).isNotNull(), F.col(n)))).alias(f"{side}_mean"), F.min(side).alias(f"{side}_least"))))
     return out.withColumn("ratio", F.try_divide(F.col("synthetic_mean"), F.col("real_mean")))
