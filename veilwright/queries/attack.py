@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
 from ..functions.rng import uniform
-from ..operators import attack, fusion, linkage
+from ..operators import attack, fusion, linkage, matching
 from ..plans import expert
 from ..registry import query, rounded, table
 from .anonymize import U
@@ -45,7 +45,20 @@ _BEST = f"{_CAND.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_GREEDY}"
 @query("d8_best_matches", f"{_BEST} SELECT i AS aux_index, j AS anon_index, round(sim, 6) AS similarity FROM best")
 def d8(spark, d):
     aux, anon = two_sides(spark, d)
-    return rounded(linkage.best_matches(linkage.candidates(aux, anon, "c_custkey", "c_custkey", LINK, BLOCK), linkage.kinds(aux, LINK)))
+    return rounded(matching.match(aux, anon, "c_custkey", "c_custkey", LINK, BLOCK))
+
+
+@query(
+    "d7_last_relaxation",
+    f"""WITH {_SIDES}, sup AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 4 = 0 THEN 100 + s_suppkey % 3 ELSE s_nationkey END AS n FROM supplier),
+pool AS (SELECT j, bn FROM b ORDER BY {U('relax', 'j')}, j LIMIT 500)
+SELECT i AS aux_index, j AS anon_index, 1 AS level FROM sup JOIN b ON n = bn UNION ALL SELECT i, j, 0 FROM sup, pool WHERE n NOT IN (SELECT bn FROM b)""",
+)
+def d7_last(spark, d):
+    """Suppliers, a quarter with nations that no customer has, against customers: every supplier gets candidates."""
+    nation = F.when(F.col("s_suppkey") % 4 == 0, 100 + F.col("s_suppkey") % 3).otherwise(F.col("s_nationkey"))
+    aux = table(spark, d, "supplier").select("s_suppkey", nation.alias("c_nationkey"))
+    return linkage.candidates(aux, two_sides(spark, d)[1], "s_suppkey", "c_custkey", ["c_nationkey"], ["c_nationkey"]).select("aux_index", "anon_index", "level")
 
 
 def pairs(spark, d):
