@@ -120,9 +120,9 @@ def generalize_level(df: DataFrame, qi: list[str], level: float, numeric: list[s
     return df
 
 
-def frequency_level(r: Column, n: Column, q: int) -> Column:
+def frequency_level(r: Column, n: Column, q: int | Column) -> Column:
     """0-based level of 1-based row number r among n, in q levels: max(1, ceil((r - 1) q / (n - 1))) - 1, in integers."""
-    num = F.lit(q).cast("long") * (r - 1)
+    num = (F.lit(q) if isinstance(q, int) else q).cast("long") * (r - 1)
     den = F.greatest(F.lit(1).cast("long"), n - 1)
     ceil = F.floor((num + den - 1) / den)
     return F.greatest(F.lit(1), ceil).cast("int") - 1

@@ -309,8 +309,46 @@ def partition_candidates(h: Hierarchy) -> list[tuple[str, str]]:
     return [(h.attribute, label) for label, ms in h.levels[h.current].items() if len(ms) > 1]
 
 
+def value_partitions(df: DataFrame, manager: HierarchyManager, qi: list[str], k: int, name: str = "partition") -> DataFrame:
+    """``df`` with the partition of each row, by splits of one value against the rest; every partition has at least k rows if the table has.
+
+    A partition is split by the first QI that has a label (at the hierarchy's current
+    level) with k rows on either side, the most frequent label first, smallest of
+    equals. QIs without a hierarchy, or at its top, are not split by. Of one QI all
+    splits follow from the labels' counts in a partition: each label of k rows
+    becomes a partition of its own, the others stay together, and if these have
+    fewer than k rows, the rarest such label (the last split) stays with them. No
+    later split makes an earlier QI splittable again, so there is one round a QI
+    for all partitions, of aggregates and joins on distinct labels.
+    """
+    from .classes import null_safe
+
+    usable = [c for c in qi if c in manager.by_name and manager.by_name[c].can_generalize_more()]
+    # Distinct values first, so a label is looked up once a value.
+    keys, labels = [f"_q{i}" for i in range(len(usable))], [f"_l{i}" for i in range(len(usable))]
+    if not usable:
+        return df.withColumn(name, F.lit("0"))
+    base = df.groupBy(*(F.col(c).alias(q) for c, q in zip(usable, keys, strict=True))).agg(F.count(F.lit(1)).alias("_n"))
+    for c, q, x in zip(usable, keys, labels, strict=True):
+        base = manager.by_name[c].column(base.withColumn(x, F.col(q)), x)
+    base = materialise(base.withColumn("_p", F.lit("0")), "value-partitions")
+    for i, x in enumerate(labels):
+        counts = base.groupBy("_p", F.coalesce(F.col(x), F.lit("")).alias("_v"), F.col(x).isNull().alias("_null")).agg(F.sum("_n").alias("_c"))
+        own = F.col("_c") >= k
+        # The rarest label of k rows: the largest of equals.
+        ends = counts.groupBy(F.col("_p").alias("_pp")).agg(F.coalesce(F.sum(F.when(~own, F.col("_c"))), F.lit(0)).alias("_rest"), F.max(F.when(own, F.struct((-F.col("_c")).alias("c"), F.col("_null").alias("n"), F.col("_v").alias("v")))).alias("_last"))
+        split = counts.join(ends, F.col("_p") == F.col("_pp")).withColumn("_kept", (F.col("_rest") > 0) & (F.col("_rest") < k) & (F.col("_v") == F.col("_last.v")) & (F.col("_null") == F.col("_last.n")))
+        # A partition of few labels, none of them split off, keeps its name.
+        part = F.when(own & ~F.col("_kept"), F.concat("_p", F.lit(f"/{i}:"), F.when(F.col("_null"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("_v"))))).otherwise(F.col("_p"))
+        split = split.select(F.col("_p").alias("_op"), F.col("_v").alias("_ov"), F.col("_null").alias("_on"), part.alias("_np"))
+        on = (F.col("_p") == F.col("_op")) & (F.coalesce(F.col(x), F.lit("")) == F.col("_ov")) & (F.col(x).isNull() == F.col("_on"))
+        base = materialise(base.join(split, on).withColumn("_p", F.col("_np")).drop("_op", "_ov", "_on", "_np"), "value-partitions")
+    named = base.select(*keys, F.col("_p").alias("_part"))
+    return df.drop(name).join(named, null_safe(df, named, list(zip(usable, keys, strict=True)))).withColumn(name, F.col("_part")).drop(*keys, "_part")
+
+
 def mondrian(df: DataFrame, qi: list[str], k: int, name: str = "partition") -> DataFrame:
-    """``df`` with the partition of each row; every partition has at least k rows if the table has.
+    """A24 by medians, for QIs without a hierarchy: ``df`` with the partition of each row; every partition has at least k rows if the table has.
 
     In each round every partition is cut at the median of the QI that has most
     distinct values in it among those whose cut leaves k rows on either side
@@ -356,4 +394,4 @@ def mondrian(df: DataFrame, qi: list[str], k: int, name: str = "partition") -> D
     return df.join(named, null_safe(df, named, list(zip(qi, keys, strict=True)))).drop(*keys)
 
 
-__all__ = ["Hierarchy", "HierarchyManager", "categorical_hierarchy", "mondrian", "numeric_hierarchy", "partition_candidates", "template"]
+__all__ = ["Hierarchy", "HierarchyManager", "categorical_hierarchy", "mondrian", "numeric_hierarchy", "partition_candidates", "template", "value_partitions"]

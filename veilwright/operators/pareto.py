@@ -57,7 +57,8 @@ def reoptimized(k: int, l: int, t: float) -> dict[str, float]:  # noqa: E741
     return {"k": min(20, k + 2), "l": min(10, l + 1), "t": max(0.1, 0.8 * t)}
 
 
-Objectives = Callable[[dict], tuple[float, float]]
+#: Both objectives of each of a list of settings, together.
+Objectives = Callable[[list[dict]], list[tuple[float, float]]]
 
 #: Ranges of the search.
 SPACE = {"k": (2, 20), "l": (2, 10), "t": (0.1, 0.5), "level": (0.0, 1.0)}
@@ -68,7 +69,7 @@ def _dominates(x: tuple, y: tuple) -> bool:
 
 
 def search(objectives: Objectives, population: int = 15, generations: int = 8, seed: int = 42) -> tuple[dict, list[tuple[dict, tuple[float, float]]]]:
-    """A small non-dominated sorting genetic search; each new setting is evaluated once. Returns the setting nearest to the ideal point, and the front."""
+    """A small non-dominated sorting genetic search; all new settings of a generation are evaluated together, each once. Returns the setting nearest to the ideal point, and the front."""
     rng = random.Random(seed)
 
     def fresh() -> dict:
@@ -82,11 +83,14 @@ def search(objectives: Objectives, population: int = 15, generations: int = 8, s
 
     known: dict[tuple, tuple[float, float]] = {}
 
+    def learn(xs: list[dict]) -> list[dict]:
+        new = {key: x for x in xs if (key := tuple(x[n] for n in SPACE)) not in known}
+        if new:
+            known.update(zip(new, objectives(list(new.values())), strict=True))
+        return xs
+
     def value(x: dict) -> tuple[float, float]:
-        key = tuple(x[n] for n in SPACE)
-        if key not in known:
-            known[key] = objectives(x)
-        return known[key]
+        return known[tuple(x[n] for n in SPACE)]
 
     def ranked(xs: list[dict]) -> list[dict]:
         left, out = list(xs), []
@@ -100,9 +104,9 @@ def search(objectives: Objectives, population: int = 15, generations: int = 8, s
             left = [x for x in left if all(x is not y for y in front)]
         return out
 
-    people = [fresh() for _ in range(population)]
+    people = learn([fresh() for _ in range(population)])
     for _ in range(generations):
-        people = ranked(people + [child(rng.choice(people), rng.choice(people)) for _ in range(population)])[:population]
+        people = ranked(people + learn([child(rng.choice(people), rng.choice(people)) for _ in range(population)]))[:population]
     front = [x for x in people if not any(_dominates(value(y), value(x)) for y in people)]
     lo, hi = ([f(value(x)[i] for x in front) for i in (0, 1)] for f in (min, max))
 
@@ -113,30 +117,72 @@ def search(objectives: Objectives, population: int = 15, generations: int = 8, s
     return best, [(x, value(x)) for x in front]
 
 
+def _labels(base: DataFrame, c: str, levels: DataFrame) -> DataFrame:
+    """(_level, _v, _g): the group of each distinct value of a QI at each level, as ``anonymize.generalize_level`` has it; level 0 keeps values."""
+    from ..functions.ranks import prefix_sums
+    from .anonymize import OTHER, frequency_level, is_numeric, level_bins
+
+    own = F.col("_v").cast("string")
+    values = base.groupBy(F.col(c).alias("_v")).agg(F.sum("_n").alias("_c"))
+    if is_numeric(base, c):
+        from ..functions.expressions import bin_right_closed
+
+        x = F.col("_v").cast("double")
+        ends = base.agg(F.min(F.col(c).cast("double")).alias("_lo"), F.max(F.col(c).cast("double")).alias("_hi"))
+        bins = F.element_at(F.create_map(*(y for r in levels.collect() for y in (F.lit(r[0]), F.lit(level_bins(r[0]) if r[0] > 0 else 1)))), F.col("_level"))
+        label = bin_right_closed(x, F.col("_lo"), F.col("_hi"), bins).cast("string")
+        return values.join(F.broadcast(ends)).join(F.broadcast(levels)).select("_level", "_v", F.when(F.col("_level") > 0, label).otherwise(own).alias("_g"))
+    known = values.filter("_v IS NOT NULL")
+    number = F.col("_v").cast("string").try_cast("double")
+    facts = known.agg(F.count(F.lit(1)).alias("_u"), (F.sum(F.when(number.isNotNull(), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("_num"), F.sum("_c").alias("_all"))
+    row = facts.first()
+    if (row["_num"] or 0) > 0.8 and row["_u"] > 5:
+        # By the rows up to a value.
+        run = prefix_sums(known, [number, own], {"_to": "_c"}).select(F.col("_v").alias("_rv"), F.col("_to").alias("_r"))
+        cut = F.element_at(F.create_map(*(y for r in levels.collect() for y in (F.lit(r[0]), F.lit(max(3, int(row["_u"] * (1 - 0.7 * r[0]))))))), F.col("_level"))
+        label = F.concat(F.lit("Level_"), frequency_level(F.col("_r"), F.lit(row["_all"]), cut).cast("string"))
+        ranked = values.join(run, F.col("_v").eqNullSafe(F.col("_rv")), "left").drop("_rv")
+        return ranked.join(F.broadcast(levels)).select("_level", "_v", F.when((F.col("_level") > 0) & F.col("_r").isNotNull(), label).otherwise(own).alias("_g"))
+    least = F.greatest(F.lit(1.0), F.lit(float(row["_all"] or 0)) * (0.2 - 0.15 * F.col("_level")))
+    label = F.when((F.col("_level") > 0) & F.col("_v").isNotNull() & (F.col("_c") < least), OTHER).otherwise(own)
+    return values.join(F.broadcast(levels)).select("_level", "_v", label.alias("_g"))
+
+
 def measured_objectives(df: DataFrame, qi: list[str]) -> Objectives:
-    """Risk .5 (1 - suppressed share) ... as 1 / least class, and mean entropy loss, of generalisation at a level with suppression below k.
+    """Risk as 1 / least class that is kept, and half the mean entropy loss of the QIs plus half the suppressed share, of generalisation at a level with suppression below k.
 
-    Every evaluation reads the distinct QI values with their counts only.
+    The settings of a call are rows: the distinct QI values with their counts, read
+    once, are grouped at every level of the settings in one pass, and each setting
+    is an aggregate of its level's groups. Nothing is collected but two numbers a
+    setting.
     """
     from ..functions.durable import materialise
-    from .anonymize import generalize_level
 
     base = materialise(df.groupBy(*qi).agg(F.count(F.lit(1)).alias("_n")), "search")
-    n = base.agg(F.sum("_n")).first()[0] or 1
-
-    def entropy(x: DataFrame, c: str) -> float:
-        counts = x.groupBy(c).agg(F.sum("_n").alias("m"))
-        return counts.agg(-F.sum(F.col("m") / n * F.log2(F.col("m") / n + 1e-10))).first()[0] or 0.0
-
-    before = {c: entropy(base, c) for c in qi}
-
-    def evaluate(x: dict) -> tuple[float, float]:
-        g = generalize_level(base, qi, x["level"]) if x["level"] > 0 else base
-        g = materialise(g.groupBy(*qi).agg(F.sum("_n").alias("_n")), "search-step")
-        kept = g.agg(F.min(F.when(F.col("_n") >= x["k"], F.col("_n"))).alias("s"), F.sum(F.when(F.col("_n") < x["k"], F.col("_n")).otherwise(0)).alias("gone")).first()
-        risk = 1 / kept["s"] if kept["s"] else 0.0
-        loss = sum(1 - entropy(g, c) / before[c] if before[c] > 0 else 0.0 for c in qi) / len(qi)
-        return risk, 0.5 * loss + 0.5 * (kept["gone"] or 0) / n
+    spark, n = df.sparkSession, base.agg(F.sum("_n")).first()[0] or 1
+    keys = [f"_g{i}" for i in range(len(qi))]
+
+    def evaluate(settings: list[dict]) -> list[tuple[float, float]]:
+        levels = sorted({0.0, *(float(x["level"]) for x in settings)})
+        table = spark.createDataFrame([(x,) for x in levels], "_level double")
+        rows = base.join(F.broadcast(table))
+        for c, key in zip(qi, keys, strict=True):
+            labels = _labels(base, c, table).select(F.col("_level").alias("_at"), "_v", F.col("_g").alias(key))
+            rows = rows.join(labels, (F.col("_level") == F.col("_at")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_at", "_v")
+        groups = materialise(rows.groupBy("_level", *keys).agg(F.sum("_n").alias("_n")), "search-groups")
+        some = spark.createDataFrame([(i, float(x["level"]), x["k"]) for i, x in enumerate(settings)], "_i int, _level double, _k int")
+        # As many rows as settings.
+        kept = groups.join(F.broadcast(some), "_level").groupBy("_i").agg(F.min(F.when(F.col("_n") >= F.col("_k"), F.col("_n"))).alias("s"), F.sum(F.when(F.col("_n") < F.col("_k"), F.col("_n")).otherwise(0)).alias("gone"))
+        each = groups.select("_level", "_n", F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(k).alias("v")) for i, k in enumerate(keys)))).alias("x")).groupBy("_level", "x.c", "x.v").agg(F.sum("_n").alias("m"))
+        share = F.col("m") / n
+        entropy = {(r["_level"], r["c"]): r["h"] for r in each.groupBy("_level", "c").agg((-F.sum(share * F.log2(share + 1e-10))).alias("h")).collect()}
+        got = {r["_i"]: r for r in kept.collect()}
+
+        def loss(level: float) -> float:
+            parts = [1 - entropy[level, i] / entropy[0.0, i] if entropy.get((0.0, i), 0.0) > 0 else 0.0 for i in range(len(qi))]
+            return sum(parts) / len(qi)
+
+        return [(1 / got[i]["s"] if i in got and got[i]["s"] else 0.0, 0.5 * loss(float(x["level"])) + 0.5 * (got[i]["gone"] or 0 if i in got else 0) / n) for i, x in enumerate(settings)]
 
     return evaluate
 
@@ -144,4 +190,5 @@ def measured_objectives(df: DataFrame, qi: list[str]) -> Objectives:
 def grid_search(objectives: Objectives) -> dict:
     """The best of four settings by the sum of both objectives."""
     points = [{"k": k, "l": 2, "t": 0.3, "level": g} for k in (3, 10) for g in (0.3, 0.7)]
-    return min(points, key=lambda x: (sum(objectives(x)), x["k"]))
+    values = objectives(points)
+    return min(zip(points, values, strict=True), key=lambda x: (sum(x[1]), x[0]["k"]))[0]

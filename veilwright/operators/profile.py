@@ -131,6 +131,39 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def sample_values(df: DataFrame, n: int = 5, chars: int | None = 50) -> DataFrame:
+    """(column, samples): up to ``n`` distinct non-null values of each column, those of least md5, cut to ``chars``; in that order.
+
+    The same on any partitioning. Each task sends its ``n`` least of a column, and
+    the least of these are taken, so that a column of very many values is never
+    sorted in one task.
+    """
+    key = F.md5(F.col("value").cast("binary"))
+    values = value_counts(df, df.columns).select("column", "value", key.alias("_h"))
+    best = values.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("_h", "value"))).filter(F.col("_r") <= n)
+    text = F.col("value") if chars is None else F.substring("value", 1, chars)
+    found = best.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("_r", text.alias("v")))).alias("_s")).select("column", F.col("_s.v").alias("samples"))
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+def column_summaries(df: DataFrame) -> DataFrame:
+    """P3 with 5 samples as one text, and P4's: (column, logical_type, total_rows, missing, missing_pct, n_unique, samples, values, min, max, mean, std); the last four of numbers only."""
+    cols = df.columns
+    kinds = infer_types(df)
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.trim(F.col(c).cast("string")).try_cast("double")
+        aggs += [F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}")]
+    figures = _stack(df.agg(*aggs), cols, {n: "double" for n in ("min", "max", "mean", "std")})
+    out = profiling_stats(df).join(kinds, "column").join(figures, "column")
+    # A row a column.
+    out = out.join(F.broadcast(sample_values(df, 5, 50).select("column", F.array_join("samples", ", ").alias("samples"))), "column")
+    out = out.join(F.broadcast(sample_values(df, 10, None).select("column", F.col("samples").alias("values"))), "column")
+    number = F.col("logical_type").isin("integer", "float")
+    return out.select("column", "logical_type", "total_rows", "missing", "missing_pct", "n_unique", "samples", "values", *(F.when(number, F.col(n)).alias(n) for n in ("min", "max", "mean", "std")))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if is_numeric(df, c)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
-from itertools import product
+from itertools import combinations, product
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
@@ -201,17 +201,76 @@ class Pipeline:
         return df
 
 
-def generate_pipelines(qi: list[str], recommended: list[str], n: int = 5) -> list[Pipeline]:
-    """Single methods and pairs of them over a grid of parameters, n at most; pairs are copies, none is changed later."""
-    grid = [dict(zip(("k", "l", "t", "level"), x, strict=True)) for x in product((3, 5, 10), (2, 3), (0.2, 0.3, 0.5), (0.3, 0.5, 0.7))]
-    known = [m for m in recommended if m in TRANSFORMS and m in ("generalization", "suppression", "k_anonymity", "local_suppression", "pram", "microaggregation", "bucketization")]
+def _grid(rows: int) -> list[dict]:
+    """Parameters to vary: k up to a tenth of the rows and 20 (three of them), l, t and level."""
+    most = max(2, min(20, rows // 10))
+    ks = sorted(k for k in {2, 3, 5, 10, most // 2, most} if 2 <= k <= most)[:3]
+    return [dict(zip(("k", "l", "t", "level"), x, strict=True)) for x in product(ks, (2, 3), (0.1, 0.2, 0.3), (0.3, 0.5, 0.7))]
+
+
+#: What a step of a method takes from the parameters; methods that protect sensitive columns say so.
+_TAKES = {"k_anonymity": ("k",), "l_diversity": ("l",), "t_closeness": ("t",), "hybrid": ("k", "l", "t", "level"), "generalization": ("level",), "local_suppression": ("k",)}
+_FIXED = {"microaggregation": {"group": 3}, "pram": {"rate": 0.05, "seed": 42}, "suppression": {"threshold": 5}, "psu_aggregation": {"least": 5}}
+
+
+def _step(method: str, qi: list[str], g: dict, **more) -> Step:
+    return Step(method, list(qi), {k: g[k] for k in _TAKES.get(method, ())} | dict(_FIXED.get(method, {})) | more)
+
+
+def _single(method: str, qi: list[str], g: dict) -> list[Step]:
+    """A method with what it builds on: diversity on generalisation, closeness on both."""
+    before = {"l_diversity": ("generalization", "k_anonymity"), "t_closeness": ("generalization", "k_anonymity")}.get(method, ())
+    return [_step(m, qi, g) for m in (*before, method)]
+
+
+def rule_steps(rule: Rule, qi: list[str], g: dict) -> list[Step]:
+    """The steps that a rule asks for: its own first method that can run, coarse for high cardinality, and k-anonymity or diversity after it where the rule is about classes or sensitive values."""
+    words = tokens(rule.name)
+    first = next((m for m in rule.methods if m in TRANSFORMS and m not in ("hybrid", "synthetic_data")), "k_anonymity")
+    if "psu" in words or "household" in words:
+        return [_step("psu_aggregation", qi, g), _step("k_anonymity", qi, g)]
+    if "cardinality" in words:
+        return [_step("generalization", qi, g, level=0.8), _step("suppression", qi, g)]
+    if words & {"sensitive", "diversity"}:
+        return [_step("k_anonymity", qi, g), _step("l_diversity", qi, g)]
+    if words & {"rare", "unique"}:
+        return [_step("suppression", qi, g), _step("k_anonymity", qi, g)]
+    return [_step(first, qi, g)] + ([_step("k_anonymity", qi, g)] if first != "k_anonymity" else [])
+
+
+def generate_pipelines(qi: list[str], recommended: list[str], n: int = 5, triggered: list[str] | None = None, rows: int = 1000, rules: list[Rule] | None = None) -> list[Pipeline]:
+    """Exactly ``n`` pipelines, no two with the same steps.
+
+    First single methods, then pairs of them on a generalisation, then what the
+    ``triggered`` rules ask for, all with the first settings of a grid; then the
+    same with the other settings; and where that is not enough, k is raised from
+    pipeline to pipeline. Without a method that can run, k-anonymity is taken.
+    Steps are built anew each time, so that no two pipelines share one.
+    """
+    grid = _grid(rows)
+    known = list(dict.fromkeys(m for m in recommended if m in TRANSFORMS and m not in ("hybrid", "synthetic_data"))) or ["k_anonymity"]
+    fired = [r for name in dict.fromkeys(triggered or []) for r in rules or rule_base() if r.name == name]
+    kinds: list[tuple[str, Callable[[dict], list[Step]]]] = [(m, lambda g, m=m: _single(m, qi, g)) for m in known]
+    kinds += [(f"{a}+{b}", lambda g, a=a, b=b: [_step(m, qi, g) for m in dict.fromkeys(("generalization", a, b))]) for a, b in combinations(known, 2)]
+    kinds += [(r.name, lambda g, r=r: rule_steps(r, qi, g)) for r in fired]
     out: list[Pipeline] = []
-    for i, m in enumerate(known):
-        out.append(Pipeline(f"{m}", [Step(m, list(qi), dict(grid[i % len(grid)]))]))
-    for i, (a, b) in enumerate((a, b) for a in known for b in known if a < b):
-        g = grid[(len(known) + i) % len(grid)]
-        out.append(Pipeline(f"{a}+{b}", [Step(a, list(qi), dict(g)), Step(b, list(qi), dict(g))]))
-    return out[:n]
+    seen: set[str] = set()
+
+    def add(name: str, steps: list[Step]) -> None:
+        key = repr([asdict(s) for s in steps])
+        if key not in seen and len(out) < n:
+            seen.add(key)
+            out.append(Pipeline(name, steps))
+
+    for i, g in enumerate(grid):
+        for name, make in kinds:
+            add(name if i == 0 else f"{name} {i + 1}", make(g))
+    k = max(g["k"] for g in grid)
+    while len(out) < n:
+        k += 1
+        for name, make in [*kinds, ("k_anonymity", lambda g: _single("k_anonymity", qi, g))]:
+            add(f"{name} k={k}", make(grid[0] | {"k": k}))
+    return out
 
 
 @dataclass
@@ -224,31 +283,66 @@ class Execution:
     parameters: dict
 
 
-def execute(df: DataFrame, qi: list[str], sensitive: list[str], primary: str = "k_anonymity", k: int = 5, l: int = 2, t: float = 0.3, most: int = 5, key: str | None = None, with_t: bool = False) -> Execution:  # noqa: E741
-    """Anonymise and validate until all constraints hold, ``most`` times at most; after a failure the generalisation is raised."""
+def all_checks(df: DataFrame, qi: list[str], sensitive: list[str], k: int, l: int, t: float, with_t: bool = True) -> list[dict]:  # noqa: E741
+    """R21 of all sensitive columns: k and every column's l from one aggregate over the classes, and each column's t; a row a constraint with its column."""
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(qi)]
+    classes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_s"), *(F.count_distinct(c).alias(f"_l{i}") for i, c in enumerate(sensitive)))
+    needs = [("_s", k), *((f"_l{i}", l) for i in range(len(sensitive)))]
+    row = classes.agg(F.count(F.lit(1)).alias("n"), *(x for c, need in needs for x in (F.min(c).alias(f"least{c}"), F.count_if(F.col(c) >= need).alias(f"good{c}")))).first()
+
+    def told(name: str, column: str | None, need: float, actual, good: int) -> dict:
+        return {"constraint": name, "column": column, "required": float(need), "actual": None if actual is None else float(actual), "compliant_classes": good, "total_classes": row["n"], "rate": good / row["n"] if row["n"] else None, "valid": good == row["n"]}
+
+    out = [told("k_anonymity", None, k, row["least_s"], row["good_s"])]
+    out += [told("l_diversity", c, l, row[f"least_l{i}"], row[f"good_l{i}"]) for i, c in enumerate(sensitive)]
+    for c in sensitive if with_t else []:
+        x = risk.class_distances(df, qi, c).agg(F.max("distance").alias("m"), F.count_if(F.col("distance") > t + 1e-12).alias("bad")).first()
+        out.append(told("t_closeness", c, t, x["m"], row["n"] - x["bad"]))
+    return out
+
+
+def execute(df: DataFrame, qi: list[str], sensitive: list[str], primary: str = "k_anonymity", k: int = 5, l: int = 2, t: float = 0.3, most: int = 5, key: str | None = None, with_t: bool = False, level: float = 0.5) -> Execution:  # noqa: E741
+    """Anonymise the original anew and validate, until what the method promises holds, ``most`` times at most.
+
+    Each time: PSU recoding, numbers binned and rare values starred at ``level``, the
+    primary method (for every sensitive column), microaggregation of numeric
+    sensitive columns, then the checks of all sensitive columns. After a failure
+    the least class size is raised by 1, up to 15, and for what suppression can't
+    mend the level by 0.1, up to 0.9. k is always promised, l and t by their methods
+    and by hybrid, t also ``with_t``.
+    """
+    missing = [c for c in [*qi, *sensitive] if c not in df.columns]
+    if missing or not qi:
+        raise ValueError(f"no columns {missing}" if missing else "no quasi-identifiers")
     unit = psu_column(df, qi)
-    level, now, checks, i = 0.0, df, [], 0
+    number = [c for c in qi if is_numeric(df, c)]
+    rest = [c for c in qi if c not in number]
+    wanted = {"k_anonymity"} | ({"l_diversity"} if primary in ("l_diversity", "hybrid") else set()) | ({"t_closeness"} if with_t or primary in ("t_closeness", "hybrid") else set())
+    group = max(3, df.count() // 100)
+    required, now, checks, i = k, df, [], 0
     for i in range(1, most + 1):
         now = anonymize.psu(df, unit) if unit and unit in qi else df
-        if level:
-            now = materialise(anonymize.generalize_level(now, qi, level), "execute")
-        if primary == "l_diversity" and sensitive:
-            now = anonymize.l_diversity(anonymize.k_anonymity(now, qi, k), qi, sensitive[0], l)
-        elif primary == "t_closeness" and sensitive:
-            now = anonymize.t_closeness(anonymize.k_anonymity(now, qi, k), qi, sensitive[0], t)
-        elif primary == "hybrid":
+        if level > 0:
+            now = anonymize.numeric_binning(now, number, max(2, int(10 * (1 - level) + 2))) if number else now
+            now = anonymize.suppress_rare(now, rest) if rest else now
+        if primary == "hybrid":
             now = anonymize.hybrid(now, qi, sensitive, k, l, t)
-        elif primary == "pram" and key:
-            now = anonymize.k_anonymity(anonymize.pram(now, qi, key), qi, k)
+        elif primary == "pram" and key and rest:
+            now = anonymize.pram(now, rest, key, 0.05)
         else:
             now = anonymize.k_anonymity(now, qi, k)
+        for c in sensitive if primary in ("l_diversity", "t_closeness") else []:
+            now = anonymize.l_diversity(now, qi, c, l) if primary == "l_diversity" else anonymize.t_closeness(now, qi, c, t)
+        for c in (c for c in sensitive if c not in qi and is_numeric(now, c)):
+            now = anonymize.microaggregate(now, [c], group, key)
         now = materialise(now, "executed")
-        found = risk.constraint_checks(now, qi, sensitive[0] if sensitive and primary in ("l_diversity", "t_closeness", "hybrid") else None, k, l, t)
-        checks = [r.asDict() for r in found.collect()]
-        wanted = {"k_anonymity"} | ({"l_diversity"} if primary in ("l_diversity", "hybrid") else set()) | ({"t_closeness"} if primary in ("t_closeness", "hybrid") else set())
-        if all(c["valid"] for c in checks if c["constraint"] in wanted):
+        checks = all_checks(now, qi, sensitive, required, l, t, "t_closeness" in wanted)
+        failed = {c["constraint"] for c in checks if not c["valid"]} & wanted
+        if not failed or i == most:
             break
-        level = min(1.0, level + 0.25)
+        k = min(15, k + 1) if k < 15 else k
+        if failed - {"k_anonymity"}:
+            level = min(0.9, level + 0.1)
     ratio = risk.suppression_ratio(now, qi).first()[0]
     return Execution(now, all(c["valid"] for c in checks if c["constraint"] in wanted), i, checks, ratio, {"k": k, "l": l, "t": t, "level": level})
 

@@ -70,7 +70,8 @@ class PrivacyContext:
         return hierarchy.HierarchyManager().auto(self.df, self.qi).k_anonymity(self.df, self.qi, k)
 
     def pipelines(self, n: int = 5) -> list[expert.Pipeline]:
-        return expert.generate_pipelines(self.qi, list(self.analyze()[1].methods), n)
+        known, advice = self.analyze()
+        return expert.generate_pipelines(self.qi, list(advice.methods), n, advice.triggered, known["n"])
 
     def optimize(self, population: int = 15, generations: int = 8, seed: int = 42) -> tuple[dict, list]:
         return pareto.search(pareto.measured_objectives(self.df, self.qi), population, generations, seed)

@@ -271,6 +271,24 @@ def a21(spark, d):
     return h.column(h.column(part, "l1", 1), "l2", 2)
 
 
+@query(
+    "a24_value_partitions",
+    """WITH b AS (SELECT p_partkey, p_brand, p_size, CAST(p_brand AS VARCHAR) AS x, (p_size // 10 * 10) || '-' || (p_size // 10 * 10 + 9) AS y, '0' AS p FROM part),
+c AS (SELECT *, count(*) OVER (PARTITION BY p, x) AS c FROM b),
+l AS (SELECT p, arg_max(x, (-c, x)) FILTER (c >= 20) AS last, count(*) FILTER (c < 20) AS rest FROM c GROUP BY p),
+d AS (SELECT c.* EXCLUDE (p, c), CASE WHEN c >= 20 AND NOT (rest BETWEEN 1 AND 19 AND x = last) THEN p || '/0:=' || x ELSE p END AS p FROM c JOIN l USING (p)),
+e AS (SELECT *, count(*) OVER (PARTITION BY p, y) AS c FROM d),
+m AS (SELECT p, arg_max(y, (-c, y)) FILTER (c >= 20) AS last, count(*) FILTER (c < 20) AS rest FROM e GROUP BY p)
+SELECT p_partkey, p_brand, p_size, CASE WHEN c >= 20 AND NOT (rest BETWEEN 1 AND 19 AND y = last) THEN p || '/1:=' || y ELSE p END AS partition FROM e JOIN m USING (p)""",
+)
+def a24_value(spark, d):
+    m = H.HierarchyManager()
+    m.add(H.categorical_hierarchy("p_brand", {}))
+    m.add(H.template("p_size", "age"))
+    m.set_level("p_size", 2)
+    return H.value_partitions(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), m, ["p_brand", "p_size"], 20)
+
+
 @query("a24_mondrian")
 def a24(spark, d):
     return H.mondrian(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "p_size"], 20)

@@ -38,6 +38,15 @@ def p2(spark, d):
 def p3(spark, d):
     return P.profiling_stats(part(spark, d))
 
+_SAMPLED = "SELECT '{c}' AS \"column\", array_to_string(list(left(v, 50) ORDER BY r) FILTER (r <= 5), ', ') AS samples, array_to_string(list(v ORDER BY r), '|') AS ten FROM (SELECT v, row_number() OVER (ORDER BY md5(v), v) AS r FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM lineitem WHERE {c} IS NOT NULL)) WHERE r <= 10"
+
+
+@query("p3_p4_samples", _each(["l_orderkey", "l_returnflag", "l_shipdate", "l_linenumber"], _SAMPLED))
+def p3_samples(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_shipdate").cast("string").alias("l_shipdate"), "l_linenumber")
+    five, ten = P.sample_values(x), P.sample_values(x, 10, None)
+    return five.select("column", F.array_join("samples", ", ").alias("samples")).join(ten.select("column", F.array_join("samples", "|").alias("ten")), "column")
+
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount"]
 _P5 = """SELECT '{c}' AS "column", count(*) AS n, count({c}) AS present, round(min({c}), 6)::DOUBLE AS min, round(max({c}), 6)::DOUBLE AS max, round(avg({c}), 6)::DOUBLE AS mean, round(stddev_samp({c}), 6)::DOUBLE AS std,
@@ -51,6 +60,17 @@ def p5(spark, d):
     return rounded(P.numeric_summary(table(spark, d, "lineitem").select(*_NUM)))
 
 
+@query(
+    "p4_column_summaries",
+    _each(
+        ["p_size", "p_brand"],
+        "SELECT '{c}' AS \"column\", CASE WHEN '{c}' = 'p_size' THEN 'integer' ELSE 'string' END AS logical_type, count(*) AS total_rows, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 2)::DOUBLE AS missing_pct, count(DISTINCT {c}) AS n_unique, round(min(TRY_CAST({c} AS DOUBLE)), 6) AS min, round(max(TRY_CAST({c} AS DOUBLE)), 6) AS max, round(avg(TRY_CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(TRY_CAST({c} AS DOUBLE)), 6) AS std FROM part",
+    ),
+)
+def p4(spark, d):
+    return rounded(P.column_summaries(table(spark, d, "part").select("p_size", "p_brand")).drop("samples", "values"))
+
+
 _CAT = ["p_brand", "p_type"]
 
 

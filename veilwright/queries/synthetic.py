@@ -141,7 +141,7 @@ def x13(spark, d):
 @query("x9_parameter_search")
 def x9(spark, d):
     c = table(spark, d, "customer")
-    best, front = pareto.search(pareto.measured_objectives(c, ["c_nationkey", "c_mktsegment"]), 5, 2)
+    best, front = pareto.search(pareto.measured_objectives(c, ["c_nationkey", "c_mktsegment"]))
     return rounded(spark.createDataFrame([(x["k"], x["l"], x["t"], x["level"], float(v[0]), float(v[1]), x == best) for x, v in front], "k int, l int, t double, level double, risk double, loss double, best boolean"))
 
 
