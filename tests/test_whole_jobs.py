@@ -73,12 +73,13 @@ def test_every_pair_is_explained(spark):
         assert mean["x_match"] > mean["y_match"]
 
 
-def test_emd_equals_a_walk_along_all_values(spark):
+@pytest.mark.parametrize(("few", "names"), [(100_000, ["g", "h"]), (2, ["g", "h"]), (100_000, ["Q", "r"]), (2, ["c", "class_size"])])
+def test_emd_equals_a_walk_along_all_values(spark, few, names):
     rng = random.Random(12)
     rows = [(rng.choice(["a", "b", "c", None]), rng.choice([1, 2]), rng.choice([3.0, -1.5, 20.0, 7.0, 0.25, 100.0]) if rng.random() < 0.9 else None) for _ in range(300)]
     rows += [("lone", 1, 7.0), ("odd", 9, None)]
-    df = spark.createDataFrame(rows, "g string, h int, v double")
-    got = {(r.g, r.h): r.distance for r in risk.class_distances(df, ["g", "h"], "v", "emd").collect()}
+    df = spark.createDataFrame(rows, f"{names[0]} string, {names[1]} int, v double")
+    got = {(r[0], r[1]): r.distance for r in risk.class_distances(df, names, "v", "emd", few=few).collect()}
     values = sorted({v for _, _, v in rows if v is not None})
     known = [(g, h, v) for g, h, v in rows if v is not None]
     want = {}
@@ -97,3 +98,11 @@ def test_quantiles_equal_numpy(spark):
     got = {r.key: list(r)[1:] for r in quantiles(value_ranks(rows), shares).collect()}
     assert all(np.allclose(got[k], np.quantile(vs, shares)) for k, vs in data.items()) and len(got) == 4
     assert quantiles(value_ranks(rows.limit(0)), [0.5]).count() == 0
+
+
+def test_many_classes_of_one_row_are_dealt_evenly(spark):
+    df = spark.range(30_000).selectExpr("id as q", "cast(id % 17 as double) as v")
+    for few in (100_000, 3):
+        got = risk.class_distances(df, ["q"], "v", "emd", few=few)
+        assert got.count() == 30_000 and got.select("distance").distinct().count() <= 17
+    assert risk.class_distances(df.filter("q < 0"), ["q"], "v", "emd").count() == 0

@@ -59,6 +59,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote; only when all that reads it has itself been written."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

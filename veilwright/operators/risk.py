@@ -6,10 +6,14 @@ once, and their number is what the second step grows with.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.durable import materialise
 from ..functions.ranks import prefix_sums
@@ -135,7 +139,11 @@ def constraint_checks(df: DataFrame, qi: list[str], sensitive: str | None = None
     return out
 
 
-def class_distances(df: DataFrame, qi: list[str], sensitive: str, kind: str = "tvd", nulls: str = KEEP) -> DataFrame:
+#: Distinct sensitive values that are sent to tasks; with more of them the EMD is merged in ranges.
+FEW_VALUES = 100_000
+
+
+def class_distances(df: DataFrame, qi: list[str], sensitive: str, kind: str = "tvd", nulls: str = KEEP, few: int = FEW_VALUES) -> DataFrame:
     """(qi..., class_size, distance) of each class's sensitive distribution to that of all rows; null values don't count.
 
     tvd: half the sum of |p - q|. A class is joined to the values that it has;
@@ -143,58 +151,97 @@ def class_distances(df: DataFrame, qi: list[str], sensitive: str, kind: str = "t
     emd: the sum of |P - Q| over the ordered values (numbers by size, others by
     name), divided by 2 (m - 1), by 2 if m is 1, at most 1; see ``_emd``.
     """
-    rows = usable(df, qi, nulls).filter(F.col(sensitive).isNotNull())
-    cells = rows.groupBy(*qi, F.col(sensitive).alias("_v")).agg(F.count(F.lit(1)).alias("c"))
     keys = [f"_k{i}" for i in range(len(qi))]
-    sizes = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(qi, keys, strict=True))).agg(F.count(F.lit(1)).alias("class_size"))
-    cells = cells.join(sizes, null_safe(cells, sizes, list(zip(qi, keys, strict=True)))).drop(*keys)
-    values = rows.groupBy(F.col(sensitive).alias("_w")).agg(F.count(F.lit(1)).alias("g"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    p = F.col("c") / F.col("class_size")
-    if kind == "tvd":
-        q = values.join(F.broadcast(total)).select("_w", (F.col("g") / F.col("n")).alias("q"))
-        x = cells.join(q, F.col("_v") == F.col("_w"))
-        return x.groupBy(*qi, "class_size").agg((0.5 * (F.sum(F.abs(p - F.col("q"))) + 1 - F.sum("q"))).alias("distance"))
-    return _emd(cells, values.join(F.broadcast(total)), qi)
+    # Under names of their own, no column of the table clashes with those made here.
+    rows = usable(df, qi, nulls).select(*(F.col(c).alias(k) for c, k in zip(qi, keys, strict=True)), F.col(sensitive).alias("_v")).filter("_v IS NOT NULL")
+    cells = materialise(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "cells")
+    total = cells.agg(F.sum("_c").alias("_n"))
+    values = cells.groupBy(F.col("_v").alias("_w")).agg(F.sum("_c").alias("_g")).join(F.broadcast(total))
+    if kind == "emd":
+        # A class has at most as many cells as there are values.
+        small = values.limit(few + 1).count() <= few
+        out = (_emd_of_few if small else _emd)(_sized(cells, keys), values, keys)
+    else:
+        q = values.select("_w", (F.col("_g") / F.col("_n")).alias("_q"))
+        p = F.col("_c") / F.col("_s")
+        x = _sized(cells, keys).join(q, F.col("_v") == F.col("_w"))
+        out = x.groupBy(*keys, "_s").agg((0.5 * (F.sum(F.abs(p - F.col("_q"))) + 1 - F.sum("_q"))).alias("_d"))
+    return out.select(*(F.col(k).alias(c) for c, k in zip(qi, keys, strict=True)), F.col("_s").alias("class_size"), F.col("_d").alias("distance"))
+
+
+def _sized(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells`` with the rows _s of their class."""
+    own = [f"_o{i}" for i in range(len(keys))]
+    sizes = cells.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.sum("_c").alias("_s"))
+    return cells.join(sizes, null_safe(cells, sizes, list(zip(keys, own, strict=True)))).drop(*own)
 
 
-def _emd(cells: DataFrame, values: DataFrame, qi: list[str]) -> DataFrame:
-    """(qi..., class_size, distance) from (qi..., _v, c, class_size) and (_w, g, n).
+def _order() -> list[Column]:
+    return [F.coalesce(F.col("_w").cast("string").try_cast("double"), F.lit(0.0)), F.col("_w").cast("string")]
+
+
+def _emd_of_few(cells: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., _s, _d) where the values are few enough for every task: one sort of each class's cells, no other.
 
     Between two values that a class has next to each other its own share P is
-    constant, while Q, the share of all rows up to a value, rises. So the sum of
-    |P - Q| over the values between is known from the running sum of Q at both ends
-    and at the place where Q passes P, which a merge of all P and Q in ranges of
-    their order finds. Work and shuffles follow the number of (class, value)
-    cells; nothing is sent along with every class.
+    constant, so the sum of |P - Q| over the values between follows from the running
+    sum of Q at both ends and at the place where Q passes P.
+    """
+    ordered = values.orderBy(*_order()).select("_w", "_g", "_n").collect()
+    ranks = cells.sparkSession.createDataFrame([(r["_w"], i) for i, r in enumerate(ordered)], T.StructType([T.StructField("_w", values.schema["_w"].dataType), T.StructField("_r", T.LongType())]))
+    q = np.cumsum([r["_g"] for r in ordered], dtype=float) / (ordered[0]["_n"] if ordered else 1)
+    sums = np.r_[0.0, np.cumsum(q)]
+    m = len(q)
+    by = Window.partitionBy(*keys).orderBy("_r")
+    x = cells.join(F.broadcast(ranks), F.col("_v") == F.col("_w"))
+    x = x.select(*keys, "_s", F.col("_r").alias("_from"), F.lead("_r", 1, m).over(by).cast("long").alias("_to"), (F.row_number().over(by) == 1).alias("_first"), (F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_s")).alias("_p"))
+
+    schema = T.StructType([*(x.schema[k] for k in keys), x.schema["_s"], T.StructField("_x", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high, p, first = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_from", "_to", "_p", "_first"))
+            at = np.clip(np.searchsorted(q, p, side="right"), low, high)
+            part = p * (at - low) - (sums[at] - sums[low]) + (sums[high] - sums[at]) - p * (high - at)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("_s"), pa.array(part + np.where(first, sums[low], 0.0))], names=[f.name for f in schema.fields])
+
+    return x.mapInArrow(run, schema).groupBy(*keys, "_s").agg(F.least(F.lit(1.0), F.sum("_x") / (2 * max(1, m - 1))).alias("_d"))
+
+
+def _emd(cells: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_emd_of_few`` for any number of values: Q's place for P comes from a merge of all P and Q in ranges of their order.
+
+    Work and shuffles follow the number of (class, value) cells; nothing is sent along
+    with every class. Cells of one share are dealt over ranges by a hash of their class.
     """
-    order = [F.coalesce(F.col("_w").cast("string").try_cast("double"), F.lit(0.0)), F.col("_w").cast("string")]
-    ranked = prefix_sums(values.withColumn("_one", F.lit(1).cast("long")), order, {"_G": "g", "r": "_one"})
-    ranked = materialise(ranked.select("_w", "r", (F.col("_G") / F.col("n")).alias("Q")), "emd-values")
-    ranked = materialise(prefix_sums(ranked, [F.col("r")], {"A": "Q"}), "emd-sums")
-    ends = ranked.agg(F.coalesce(F.max("r"), F.lit(0)).alias("m"), F.coalesce(F.max("A"), F.lit(0.0)).alias("all")).first()
+    ranked = prefix_sums(values.withColumn("_one", F.lit(1).cast("long")), _order(), {"_G": "_g", "_r": "_one"})
+    ranked = materialise(ranked.select("_w", "_r", (F.col("_G") / F.col("_n")).alias("_Q")), "emd-values")
+    ranked = materialise(prefix_sums(ranked, [F.col("_r")], {"_A": "_Q"}), "emd-sums")
+    ends = ranked.agg(F.coalesce(F.max("_r"), F.lit(0)).alias("m"), F.coalesce(F.max("_A"), F.lit(0.0)).alias("all")).first()
     x = cells.join(ranked, F.col("_v") == F.col("_w")).drop("_v", "_w").withColumn("_one", F.lit(1).cast("long"))
-    x = materialise(prefix_sums(x, [*(F.col(c) for c in qi), F.col("r")], {"_cum": "c", "_pos": "_one"}), "emd-cells")
-    keys = [f"_k{i}" for i in range(len(qi))]
-    first = x.groupBy(*(F.col(c).alias(k) for c, k in zip(qi, keys, strict=True))).agg(F.min(F.col("_cum") - F.col("c")).alias("_start"), F.min(F.struct("r", (F.col("A") - F.col("Q")).alias("before"))).alias("_first"))
+    x = materialise(prefix_sums(x, [*(F.col(k) for k in keys), F.col("_r")], {"_cum": "_c", "_pos": "_one"}), "emd-cells")
+    own = [f"_o{i}" for i in range(len(keys))]
+    first = x.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.min(F.struct("_r", (F.col("_A") - F.col("_Q")).alias("before"))).alias("_first"))
     first = materialise(first, "emd-classes")
-    later = x.select((F.col("_pos") - 1).alias("_p"), (F.col("r") - 1).alias("_to"), (F.col("A") - F.col("Q")).alias("_A_to"), *(F.col(c).alias(f"_n{i}") for i, c in enumerate(qi)))
-    y = x.join(first, null_safe(x, first, list(zip(qi, keys, strict=True)))).drop(*keys, "_first")
-    y = y.join(later, (F.col("_pos") == F.col("_p")) & null_safe(y, later, [(c, f"_n{i}") for i, c in enumerate(qi)]), "left")
+    later = x.select((F.col("_pos") - 1).alias("_p"), (F.col("_r") - 1).alias("_to"), (F.col("_A") - F.col("_Q")).alias("_A_to"), *(F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)))
+    y = x.join(first, null_safe(x, first, list(zip(keys, own, strict=True)))).drop(*own, "_first")
+    y = y.join(later, (F.col("_pos") == F.col("_p")) & null_safe(y, later, [(k, f"_l{i}") for i, k in enumerate(keys)]), "left")
     y = y.select(
-        *qi, "class_size", (F.col("r") - 1).alias("_from"), (F.col("A") - F.col("Q")).alias("_A_from"), F.coalesce("_to", F.lit(ends["m"])).alias("_to"), F.coalesce("_A_to", F.lit(ends["all"])).alias("_A_to"),
-        ((F.col("_cum") - F.col("_start")) / F.col("class_size")).alias("_at"), F.lit(0).cast("long").alias("_q"), F.lit(0.0).alias("_share"),
+        *keys, "_s", (F.col("_r") - 1).alias("_from"), (F.col("_A") - F.col("_Q")).alias("_A_from"), F.coalesce("_to", F.lit(ends["m"])).alias("_to"), F.coalesce("_A_to", F.lit(ends["all"])).alias("_A_to"),
+        ((F.col("_cum") - F.col("_start")) / F.col("_s")).alias("_at"), F.lit(0).cast("long").alias("_q"), F.lit(0.0).alias("_share"),
     )
-    points = ranked.select(F.col("Q").alias("_at"), F.lit(1).cast("long").alias("_q"), F.col("Q").alias("_share"))
-    merged = prefix_sums(y.unionByName(points, allowMissingColumns=True), [F.col("_at"), F.col("_q")], {"_x": "_q", "_A_x": "_share"}).filter("_q = 0")
+    points = ranked.select(F.col("_Q").alias("_at"), F.lit(1).cast("long").alias("_q"), F.col("_Q").alias("_share"))
+    both = y.unionByName(points, allowMissingColumns=True)
+    # Points before cells of the same share, as Q <= P counts as passed; it changes no sum.
+    merged = prefix_sums(both, [F.col("_at"), -F.col("_q"), F.xxhash64(*keys)], {"_x": "_q", "_A_x": "_share"}).filter("_q = 0")
     low, high, p = F.col("_from"), F.col("_to"), F.col("_at")
     split = F.least(F.greatest(F.col("_x"), low), high)
     at_split = F.when(F.col("_x") <= low, F.col("_A_from")).when(F.col("_x") >= high, F.col("_A_to")).otherwise(F.col("_A_x"))
     part = p * (split - low) - (at_split - F.col("_A_from")) + (F.col("_A_to") - at_split) - p * (high - split)
-    sums = merged.groupBy(*qi, "class_size").agg(F.sum(part).alias("_sum"))
-    out = sums.join(first, null_safe(sums, first, list(zip(qi, keys, strict=True))))
+    sums = merged.groupBy(*keys, "_s").agg(F.sum(part).alias("_sum"))
+    out = sums.join(first, null_safe(sums, first, list(zip(keys, own, strict=True))))
     total = F.col("_sum") + F.col("_first.before")
-    return out.select(*qi, "class_size", F.least(F.lit(1.0), total / (2 * max(1, ends["m"] - 1))).alias("distance"))
+    return out.select(*keys, "_s", F.least(F.lit(1.0), total / (2 * max(1, ends["m"] - 1))).alias("_d"))
 
 
 def suppression_ratio(df: DataFrame, qi: list[str], star: str = "*") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from ..functions.durable import materialise
+from ..functions.durable import cuts_dir, exists, materialise
 from ..functions.rng import uniform
 from ..operators import attack, fusion, linkage, matching
 from ..plans import expert
@@ -129,16 +131,16 @@ def m4(spark, d):
     return rounded(spark.createDataFrame([(r["pr_auc"], r["roc_auc"], r["f1"])], "pr_auc double, roc_auc double, f1 double"))
 
 
-_ATTACKS: dict[tuple[str, str], tuple] = {}
-
-
 def attacked(spark, d):
-    """The pairs and the attack on them, once for all queries of an application; fewer trees than the operator's default."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _ATTACKS:
-        p = pairs(spark, d)
-        _ATTACKS[key] = p, attack.run_attack(p, trees=10)
-    return _ATTACKS[key]
+    """The pairs and the attack on them, kept in a folder of this application's tables for the queries that follow; fewer trees than the operator's default.
+
+    Where the folder was cleared, they are made again; the query that makes them takes longer than the others.
+    """
+    at = f"{cuts_dir(spark)}/attack-{hashlib.md5(d.encode()).hexdigest()}"
+    if not exists(spark, f"{at}/attack"):
+        pairs(spark, d).write.mode("overwrite").parquet(f"{at}/pairs")
+        attack.run_attack(spark.read.parquet(f"{at}/pairs"), trees=10).save(at)
+    return spark.read.parquet(f"{at}/pairs"), attack.Attack.load(at)
 
 
 @query("m3_m5_attack_models")
