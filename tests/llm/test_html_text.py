@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from veilwright.llm import html_text as H
 
@@ -90,3 +91,80 @@ def test_dataframe(spark):
     assert H.extract(rows.limit(0)).count() == 0
     twice = rows.unionByName(rows).withColumnRenamed("n_chars", "text")
     assert sorted(r.text[:4] for r in H.extract(twice).collect()) == ["", "", "Head", "Head"]
+
+
+def test_broken_pages_are_read_in_one_pass():
+    for piece in ("<a ", '<a href="', "<script", "<svg>", "</svg", "<svg></svg", '<a ">"', "<a '\">\"' ", "<section>", "<", "<!", "<!--", "<noscript", "<header><h1>", "<p class=\"a'>"):
+        took = []
+        for size in (100_000, 400_000):
+            page = "<article><p>Hello there.</p>" + piece * (size // len(piece)) + "</div>" * (size // 10)
+            began = time.perf_counter()
+            assert H.main_text(page).startswith("Hello there."), piece
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 0.3, (piece, took)
+
+
+def test_tags_are_those_of_a_plain_scan():
+    """The remembered scans change nothing: each tag is found as by a scan of its own."""
+    rng = random.Random(4)
+
+    def plain_end(page, at):
+        quote = None
+        for i in range(at, len(page)):
+            if quote:
+                quote = None if page[i] == quote else quote
+            elif page[i] == ">":
+                return i
+            elif page[i] in "\"'":
+                quote = page[i]
+        return -1
+
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a ", "<b", ">", '"', "'", "x", " ", "</a", "<!", "<"]) for _ in range(rng.randint(1, 30)))
+        tokens = H.Tokens(page)
+        for at in sorted(rng.sample(range(len(page)), min(len(page), 8))):
+            assert tokens._tag_end(at) == plain_end(page, at), (page, at)
+
+
+def test_scripts_without_spaces():
+    for lines in (["关于城市的历史", "这座城市建于一千年前，位于河流的两岸，人口超过三百万。它是该地区的经济和文化中心。", "城市的北部是山区，南部是平原，气候温和，四季分明，适合居住。"], ["都市の歴史", "この都市は千年前に建てられ、川の両岸に位置し、人口は三百万人を超えています。", "北部は山地で、南部は平野です。気候は温暖で、四季がはっきりしています。"]):
+        page = f"<body><div><a href=a>首页</a> <a href=b>新闻</a></div><h1>{lines[0]}</h1><p>{lines[1]}</p><p>{lines[2]}</p><div><a href=c>条款</a></div></body>"
+        assert H.main_text(page).split("\n") == lines
+
+
+def test_unmarked_pages_by_all_cuts():
+    """The text is that of the least of all cuts of the costs and edges."""
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        parts = [rng.choice([f"<p>{PROSE}</p>", "<p>Yes.</p>", "<h2>Part</h2>", "<div><a href=x>Go there</a></div>", "<div>Copyright 2020 Acme</div>", f"<div>{PROSE}</div>", f'<div class="share-price">{PROSE}</div>', '<div class="ad">Buy it.</div>']) for _ in range(n)]
+        page = "<body>" + "".join(parts) + "</body>"
+        kept, marked = H._written(page)
+        weights = tuple(w + rng.uniform(-0.3, 0.3) for w in H.WEIGHTS)
+        both = [H.costs(x, b, marked, weights) for b, x in kept]
+
+        def value(side):
+            total = sum(c if s else b for (b, c), s in zip(both, side, strict=True))
+            last = {}
+            for k, (b, _) in enumerate(kept):
+                if k and side[k] != side[k - 1]:
+                    total += H.NEXT if kept[k - 1][0].region == b.region else H.NEXT / 4
+                if b.parent in last and side[k] != side[last[b.parent]]:
+                    total += H.KIN
+                last[b.parent] = k
+            return total
+
+        lines = H.main_text(page, weights).split("\n")
+        best = min(itertools.product([False, True], repeat=len(kept)), key=value)
+        text = [x for (_, x), s in zip(kept, best, strict=True) if s]
+        assert "\n".join(text).split("\n") == lines
+
+
+def test_weights_are_fitted_on_marked_pages(spark):
+    page = f"<body><nav><a href=a>Home</a></nav><div class=ad>Now</div><article><h1>Title of it</h1><p>{PROSE}</p><p>{PROSE}</p></article></body>"
+    rows = spark.createDataFrame([(i, page.replace("Now", f"Now {i}").replace("Title", f"Title {i}").replace("Home", f"Home {i}")) for i in range(80)] + [(99, None), (100, "<p>Unmarked page.</p>")], "page_id long, html string")
+    w = H.fit_weights(rows)
+    assert w != H.WEIGHTS and w[1] > 0 and w[3] < 0 and H.fit_weights(rows.repartition(7)) == w
+    assert H.fit_weights(rows.limit(5)) == H.fit_weights(rows.limit(0)) == H.WEIGHTS
+    # Each region's costs are bounded; looks and neighbours are weighed with them.
+    assert H.REGION < H.LOOKS + H.OUTSIDE + 2 * (H.NEXT + H.KIN)

@@ -28,7 +28,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = html_text.extract(pages, weights=html_text.fit_weights(pages))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
