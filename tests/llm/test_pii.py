@@ -66,7 +66,7 @@ def brute(rows):
     for (c, w), d in dct.items():
         nt = sum(w in x for x in words_of.values())
         nct, nc = len(d), len(held[c])
-        if nct >= pii.SHARE * nt and math.log2(nct * n / (nc * nt)) >= -math.log2(nc / n) / pii.ALPHA - 1e-9:
+        if math.log2(nct * n / (nc * nt)) >= -math.log2(nc / n) / pii.ALPHA - 1e-9:
             told.add((c, w))
     for i, c, w, p, q in near:
         if (c, w) in told:

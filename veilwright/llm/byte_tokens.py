@@ -42,8 +42,8 @@ CHUNK, OVERLAP = 1 << 16, 512
 FINE, FINE_OVERLAP = 1024, 64
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 _SPACE, _SOLID = re.compile(r"\s"), re.compile(r"\S")
-#: White space on whose class all libraries agree.
-_PLAIN_SPACE = frozenset(" \t\n\r")
+#: White space on whose class all libraries agree: Unicode's property, which the four separators from U+001C on have not.
+_PLAIN_SPACE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 
 
 def _kind(c: str) -> str:

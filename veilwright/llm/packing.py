@@ -2,10 +2,11 @@
 
 Documents are tokenised in a map; one with more than ``seq_len`` tokens is cut
 into consecutive segments, so that nothing is lost. Segments are dealt to shards
-by a hash of document, segment number and tokens; the number of shards follows the
+by a hash of document, segment number, tokens and, for equal rows, the number of the
+copy; the number of shards follows the
 bytes of the corpus, so a shard is of bounded size however many documents there
-are, and neither a repeated id nor a repeated text makes one larger than others
-(rows that repeat both are dealt to one shard). Within a shard, segments are
+are, and neither a repeated id, nor a repeated text, nor a repeated row makes one
+larger than others. Within a shard, segments are
 taken by decreasing length and each goes to the row with the least room that is
 enough, which a segment tree over room finds in log(seq_len) steps.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_tokens import SPECIAL_ID, loaded
+from .common import materialise
 
 SEQ_LEN = 2048
 SHARD_BYTES = 16_000_000
@@ -84,8 +86,14 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def segments(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
     """(doc_id, part, n, ids): token ids as unsigned 16-bit little-endian bytes. Null and empty texts have no segment."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("copy"))
+    return _segments(docs, ranks_path, pattern, seq_len).drop("copy")
 
-    def made(doc: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+
+def _segments(docs: DataFrame, ranks_path: str, pattern: str, seq_len: int) -> DataFrame:
+    """(doc_id, copy, part, n, ids) of (doc_id, text, copy)."""
+
+    def made(doc: pa.Array, copy: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(x) for x in ids], np.int64)
         parts = -(-n // seq_len)
         row = np.repeat(np.arange(len(ids)), parts)
@@ -95,7 +103,8 @@ def segments(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         ends = np.concatenate(([0], 2 * np.cumsum(size))).astype(np.int32)
         data = pa.py_buffer(np.concatenate([np.zeros(0, np.uint16), *ids]))
         cells = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), data])
-        return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32)), cells], names=["doc_id", "part", "n", "ids"])
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([doc.take(at), copy.take(at), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32)), cells], names=["doc_id", "copy", "part", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(ranks_path, pattern)
@@ -106,15 +115,32 @@ def segments(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                 ids.append(tokens.encode(text.as_py()))
                 size += len(ids[-1])
                 if size > BATCH_TOKENS:
-                    yield made(b.column(0)[first : k + 1], ids)
+                    yield made(b.column(0)[first : k + 1], b.column(2)[first : k + 1], ids)
                     ids, first, size = [], k + 1, 0
-            yield made(b.column(0)[first:], ids)
+            yield made(b.column(0)[first:], b.column(2)[first:], ids)
 
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    more = [T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())]
+    more = [T.StructField("copy", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())]
     return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *more]))
 
 
+def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, copy): ``docs`` with a number for each of several equal rows, 0 for rows that occur once.
+
+    Rows are counted by hashes, combined before the shuffle; only texts of ids and
+    hashes that occur more than once are grouped, again with equal rows combined
+    first, so that a row with a third of the table is never gathered.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    key = {"_h": F.xxhash64("doc_id", "text")}
+    many = materialise(docs.select(key["_h"].alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h"), "repeated")
+    if many.isEmpty():
+        return docs.withColumn("copy", F.lit(0).cast("long"))
+    docs = docs.withColumns(key)
+    once = docs.join(many, "_h", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("copy"))
+    equal = docs.join(many, "_h", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    return once.unionByName(equal.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")))
+
+
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_bytes: int = SHARD_BYTES, pad_id: int = SPECIAL_ID) -> DataFrame:
     """Packed rows: shard, row, n_tokens, input_ids, cu_seqlens, doc_ids, parts.
 
@@ -143,7 +169,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(table.schema.field("doc_id").type), pa.list_(pa.int32()))
         return pa.table({"shard": pa.array([shard] * len(out["row"]), pa.int64()), **{k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)}})
 
-    dealt = segments(docs, ranks_path, pattern, id_col, text_col, seq_len).withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "ids"), F.lit(shards)).cast("long"))
+    # A row that occurs very often is dealt to all shards by its copies' numbers.
+    dealt = _segments(_copies(docs, id_col, text_col), ranks_path, pattern, seq_len)
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "ids", "copy"), F.lit(shards)).cast("long")).drop("copy")
     ints = T.ArrayType(T.IntegerType())
     fields = {"shard": T.LongType(), "row": T.IntegerType(), "n_tokens": T.IntegerType(), "input_ids": T.BinaryType(), "cu_seqlens": ints, "doc_ids": T.ArrayType(dealt.schema["doc_id"].dataType), "parts": ints}
     schema = T.StructType([T.StructField(k, v) for k, v in fields.items()])
