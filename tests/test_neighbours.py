@@ -90,7 +90,7 @@ def lof(x, k):
 def test_outlier_factor_of_many_tuples(spark):
     rng = np.random.default_rng(4)
     took = []
-    for n in (10_000, 20_000):
+    for n in (6_000, 12_000):
         x = rng.normal(size=(n, 3))
         df = spark.createDataFrame([tuple(map(float, r)) for r in x], "id double, d double, n double")  # names that the operator uses itself
         began = time.perf_counter()

@@ -87,4 +87,6 @@ def correlation(a: Column, b: Column) -> Column:
     x, y = a.cast("double"), b.cast("double")
     x, y = F.when(y.isNotNull() & ~F.isnan(y), x), F.when(x.isNotNull() & ~F.isnan(x), y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    # The deviation of a constant may be a rounding error above 0.
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

@@ -388,6 +388,12 @@ def mask(c: Column) -> Column:
     return F.concat(F.substring(c.cast("string"), 1, 1), F.lit("***"))
 
 
+def rounded_to(c: Column, step: int = 1000) -> Column:
+    """To the nearest multiple of ``step``, halves away from zero."""
+    # Adding 0 makes one of the two zeros.
+    return F.round(c.cast("double") / step) * step + 0.0
+
+
 # Methods of the catalogue.
 
 

@@ -131,6 +131,32 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def missing_report(df: DataFrame) -> DataFrame:
+    """(column, missing, missing_pct) of each column, and of all cells under a null name; one aggregate."""
+    cols = df.columns
+    row = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)))
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"), F.col("n").alias("of")) for i, c in enumerate(cols)))
+    total = F.struct(F.lit(None).cast("string").alias("column"), sum((F.col(f"m{i}") for i in range(len(cols))), F.lit(0).cast("long")).alias("missing"), (F.col("n") * len(cols)).alias("of"))
+    out = row.select(F.explode(F.concat(each, F.array(total)) if cols else F.array(total)).alias("x")).select("x.*")
+    return out.select("column", "missing", F.coalesce(F.round(100 * F.try_divide(F.col("missing"), F.col("of")), 2), F.lit(0.0)).alias("missing_pct"))
+
+
+#: Bytes of a value of fixed width.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def memory_and_types(df: DataFrame) -> DataFrame:
+    """(dtype, n_columns, bytes): columns and bytes of values by type; text and binary by its bytes, fixed widths by their non-null rows, others by their text."""
+    def size(c: str, kind: str) -> Column:
+        x = F.col(c)
+        width = WIDTHS.get(kind.split("(")[0], 16 if kind.startswith("decimal") else None)
+        return F.count(x) * width if width else F.coalesce(F.sum(F.octet_length(x if kind in ("string", "binary") else F.to_json(F.struct(x)))), F.lit(0))
+
+    row = df.agg(*(size(c, k).alias(f"b{i}") for i, (c, k) in enumerate(df.dtypes)))
+    each = F.array(*(F.struct(F.lit(k.split("(")[0] if k.startswith("decimal") else k).alias("dtype"), F.col(f"b{i}").cast("long").alias("b")) for i, (_, k) in enumerate(df.dtypes)))
+    return row.select(F.explode(each).alias("x")).groupBy("x.dtype").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("x.b").alias("bytes"))
+
+
 def sample_values(df: DataFrame, n: int = 5, chars: int | None = 50) -> DataFrame:
     """(column, samples): up to ``n`` distinct non-null values of each column, those of least md5, cut to ``chars``; in that order.
 

@@ -43,6 +43,16 @@ def k_metrics(df: DataFrame, qi: list[str], nulls: str = KEEP) -> DataFrame:
     return out.select("*", pct.alias("unique_record_pct"), F.round(100 * F.col("unique_records") / F.col("total_classes"), 2).alias("unique_class_pct"), level.alias("risk_level"))
 
 
+def validated(df: DataFrame, qi: list[str], nulls: str = KEEP) -> DataFrame:
+    """The metrics of ``k_metrics`` with a level by k alone, UNDEFINED for a table without classes, and what it means; the riskiest classes are ``riskiest_classes``."""
+    x = k_metrics(df, qi, nulls).drop("risk_level").withColumn("k", F.coalesce("k", F.lit(0)))
+    k = F.col("k")
+    level = F.when(k == 0, "UNDEFINED").when(k == 1, "CRITICAL").when(k < 3, "HIGH").when(k < 5, "MEDIUM").otherwise("LOW")
+    share = F.format_string("%.2f", F.coalesce("unique_record_pct", F.lit(0.0)))
+    told = F.when(k == 0, "no class of records").when(k == 1, F.concat(share, F.lit(" % of the records are unique"))).otherwise(F.concat(F.lit("every record shares its class with at least "), (k - 1).cast("string"), F.lit(" others")))
+    return x.withColumns({"risk_level": level, "description": told})
+
+
 def riskiest_classes(df: DataFrame, qi: list[str], n: int = 10, nulls: str = KEEP) -> DataFrame:
     """The n smallest classes with a level each; ties by the QI values."""
     return equivalence_classes(df, qi, nulls).withColumn("risk_level", size_level(_s())).orderBy(_s(), *(F.col(c).asc_nulls_first() for c in qi)).limit(n)

@@ -39,7 +39,7 @@ class PrivacyContext:
         return ctx, classify.role_table(self.df.sparkSession, roles)
 
     def validate_risk(self) -> DataFrame:
-        return risk.k_metrics(self.df, self.qi, self.nulls)
+        return risk.validated(self.df, self.qi, self.nulls)
 
     def search_combinations(self, most: int = 3) -> DataFrame:
         return risk.combination_search(self.df, self.qi, most, self.nulls)

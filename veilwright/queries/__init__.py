@@ -1,3 +1,3 @@
 """Queries over the supplied tables, one module per group of operators."""
 
-from . import anonymize, attack, profile, risk, streaming, synthetic  # noqa: F401
+from . import anonymize, attack, fused, profile, risk, streaming, synthetic  # noqa: F401

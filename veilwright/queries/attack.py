@@ -213,7 +213,22 @@ def m8(spark, d):
     return rounded(attack.top_features(attack.contributions(a, p)[1]))
 
 
-@query("x1_x5_recommendations")
+# The rules that the profile of this table can meet, with what each reads from it; the others need settings or columns that it lacks.
+_X1 = f"""WITH oc AS ({OC}), g AS (SELECT count(*) AS s FROM oc GROUP BY c_nationkey, c_mktsegment), n AS (SELECT count(*) AS n, count(DISTINCT c_nationkey) AS dn, count(DISTINCT c_mktsegment) AS dm FROM oc),
+z AS (SELECT count(*) AS u, max(c) / sum(c) AS f FROM (SELECT count(*) AS c FROM oc GROUP BY o_orderpriority)), k AS (SELECT min(s) AS k, count(*) AS classes, coalesce(sum(s) FILTER (s < 5), 0) AS rare FROM g),
+m AS (SELECT avg(CASE WHEN c < 0.05 * n THEN 1.0 ELSE 0 END) AS rare_values FROM (SELECT count(*) AS c FROM oc GROUP BY c_mktsegment), n),
+r(hit, severity, methods) AS (
+  SELECT greatest(dn, dm) > 0.9 * n, 'High', ['generalization', 'suppression'] FROM n UNION ALL SELECT dn > 10, 'High', ['generalization', 'microaggregation', 'top_bottom_coding'] FROM n
+  UNION ALL SELECT u < 3, 'High', ['l_diversity', 't_closeness', 'differential_privacy'] FROM z UNION ALL SELECT f > 0.5, 'High', ['t_closeness', 'differential_privacy'] FROM z
+  UNION ALL SELECT k < 5, 'High', ['k_anonymity', 'microaggregation', 'generalization'] FROM k UNION ALL SELECT rare > 0.1 * n, 'High', ['suppression', 'generalization', 'microaggregation'] FROM k, n
+  UNION ALL SELECT classes > 0.05 * n, 'High', ['suppression', 'generalization', 'data_swapping'] FROM k, n UNION ALL SELECT true, 'High', ['pram', 'generalization', 'suppression']
+  UNION ALL SELECT rare_values > 0.05, 'High', ['local_suppression', 'suppression'] FROM m UNION ALL SELECT dn > 0.5 * n, 'Medium', ['bucketization', 'generalization'] FROM n UNION ALL SELECT true, 'High', ['hashing', 'attribute_suppression']),
+h AS (SELECT methods FROM r WHERE hit UNION ALL SELECT ['hybrid'] FROM r HAVING count(*) FILTER (hit AND severity = 'High') >= 3),
+s AS (SELECT method, count(*) AS freq, CASE WHEN method = 'k_anonymity' THEN CASE WHEN k < 3 THEN 0.95 ELSE 0.8 END WHEN method = 'pram' THEN CASE WHEN (SELECT CASE WHEN dm < 0.01 * n THEN 0.3 WHEN dm < 0.05 * n THEN 0.4 WHEN dm < 0.2 * n THEN 0.8 ELSE 1.0 END + CASE WHEN dm <= 3 THEN 0.3 WHEN dm <= 10 THEN 0.6 WHEN dm <= 50 THEN 0.8 ELSE 1.0 END FROM n) > 1.0 THEN 1.0 ELSE 0.95 END WHEN method = 'differential_privacy' THEN 1.0 ELSE 0.8 END AS sure FROM (SELECT unnest(methods) AS method FROM h), k GROUP BY method, k)
+SELECT method, (freq + 10 * sure)::DOUBLE AS score, row_number() OVER (ORDER BY sure >= 0.95 DESC, freq + 10 * sure DESC, method) = 1 AS is_primary FROM s"""
+
+
+@query("x1_x5_recommendations", _X1)
 def x1(spark, d):
     p = expert.full_profile(ordered(spark, d), QI, "o_orderpriority")
     r = expert.recommend(p)

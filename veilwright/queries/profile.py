@@ -191,12 +191,25 @@ TABLE_WORDS = C.Words().more(
 )
 
 
-@query("c1_c6_column_roles")
+# The rules of names as plain cases: a word of 9 in its category scores 1 / 9 + .3, one of 2 scores 1 / 2 + .3.
+_ROLES = """u AS (SELECT count(DISTINCT c_custkey) / count(*) AS k, count(DISTINCT c_name) / count(*) AS n, count(DISTINCT c_mktsegment) / count(*) AS m, count(DISTINCT c_nationkey) / count(*) AS x FROM customer),
+c1 AS (SELECT 'c_custkey' AS "column", CASE WHEN k > 0.95 THEN 'DIRECT_IDENTIFIER' ELSE 'NON_SENSITIVE' END AS role, CASE WHEN k > 0.95 THEN least(1.0, 0.95 + 0.1) ELSE 0.5 END AS confidence, 'word of the name, nearly unique' AS reasons FROM u
+UNION ALL SELECT 'c_name', CASE WHEN n > 0.95 THEN 'DIRECT_IDENTIFIER' ELSE 'NON_SENSITIVE' END, CASE WHEN n > 0.95 THEN least(1.0, 0.95 + 0.1) ELSE 0.5 END, 'word of the name, nearly unique' FROM u
+UNION ALL SELECT 'c_mktsegment', 'QUASI_IDENTIFIER', least(1, 1.2 * (1 / 9 + 0.3) + CASE WHEN m > 0.1 AND m < 0.9 THEN 0.1 ELSE 0 END), 'words of the name' FROM u
+UNION ALL SELECT 'c_nationkey', 'QUASI_IDENTIFIER', least(1, 1.2 * (1 / 2 + 0.3) + CASE WHEN x > 0.1 AND x < 0.9 THEN 0.1 ELSE 0 END), 'words of the name' FROM u
+UNION ALL SELECT 'c_acctbal', 'SENSITIVE', least(1, 1.3 * (1 / 9 + 0.3) + 0.2), 'words of the name' FROM u)"""
+
+
+@query("c1_c6_column_roles", f'WITH {_ROLES} SELECT "column", role, round(confidence, 4)::DOUBLE AS confidence, reasons FROM c1')
 def c1(spark, d):
     return C.role_table(spark, C.detect_roles(table(spark, d, "customer"), TABLE_WORDS))
 
 
-@query("c8_heuristic_roles")
+_C8 = """SELECT '{c}' AS "column", CASE WHEN regexp_matches('{c}', '(^|_)(id|name|email|phone|nic|passport)(_|$)') OR (typeof(any_value({c})) IN ('VARCHAR', 'DATE') AND count(DISTINCT {c}) > 0.9 * count({c})) THEN 'Direct Identifier'
+WHEN regexp_matches('{c}', '(^|_)(acctbal|totalprice|price|income|salary)$') THEN 'Sensitive' WHEN regexp_matches('{c}', '(^|_)(orderstatus|orderpriority|orderdate|nationkey|mktsegment)$') THEN 'Quasi-identifier' ELSE 'Non-sensitive' END AS role FROM orders"""
+
+
+@query("c8_heuristic_roles", "SELECT *, CASE role WHEN 'Direct Identifier' THEN 'drop' WHEN 'Non-sensitive' THEN 'resample' ELSE 'synthesize' END AS action FROM (" + _each(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], _C8) + ")")
 def c8(spark, d):
     return spark.createDataFrame(C.heuristic_roles(table(spark, d, "orders"), TABLE_WORDS), "column string, role string, action string")
 
@@ -219,7 +232,7 @@ def c17(spark, d):
     return C.recommend_strategy(part(spark, d), ["p_brand", "p_size", "p_type"], [], ["p_partkey"])
 
 
-@query("c18_role_counts")
+@query("c18_role_counts", f"WITH {_ROLES} SELECT role, count(*) AS n_columns, round(avg(round(confidence, 4)), 6)::DOUBLE AS avg_confidence FROM c1 GROUP BY role")
 def c18(spark, d):
     return rounded(C.role_counts(c1(spark, d)))
 
