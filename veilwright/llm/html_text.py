@@ -73,8 +73,8 @@ _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 #: Log odds that a block is content: constant, logarithm of its words (at most 50), end of a sentence, share of links, heading,
 #: paragraph. Taken where no page tells; ``fit_weights`` gives those of a table.
 WEIGHTS = (-2.6, 1.2, 1.0, -5.0, 1.6, 1.2)
-#: Blocks that the weights are fitted on at most, and the largest log odds of what a block looks like.
-SAMPLE_BLOCKS, LOOKS = 50_000, 4.0
+#: Pages and blocks that the weights are fitted on at most, and the largest log odds of what a block looks like.
+SAMPLE_PAGES, SAMPLE_BLOCKS, LOOKS = 4_000, 50_000, 4.0
 
 
 class Element:
@@ -460,10 +460,13 @@ def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
 def fit_weights(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_BLOCKS) -> tuple[float, ...]:
     """Weights of the looks by logistic regression over blocks of pages that mark their content: blocks of content regions against those of boilerplate regions.
 
-    At most ``sample`` blocks are read, those of least hash of their text; with fewer
-    than 100 of a kind the fixed weights stay. The regions label the blocks and are
-    no part of their looks.
+    About ``SAMPLE_PAGES`` distinct pages are read, those of least hash, and of their
+    blocks ``sample`` at most; with fewer than 100 of a kind the fixed weights stay.
+    The regions label the blocks and are no part of their looks.
     """
+    # A page that occurs very often is one page.
+    share = min(1.0, SAMPLE_PAGES / max(1, pages.count()))
+    pages = pages.select(html_col).filter(F.pmod(F.xxhash64(html_col), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
