@@ -106,3 +106,15 @@ def test_many_classes_of_one_row_are_dealt_evenly(spark):
         got = risk.class_distances(df, ["q"], "v", "emd", few=few)
         assert got.count() == 30_000 and got.select("distance").distinct().count() <= 17
     assert risk.class_distances(df.filter("q < 0"), ["q"], "v", "emd").count() == 0
+
+
+def test_two_threads_leave_the_setting_as_it_was(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from veilwright.functions import durable
+
+    before = spark.conf.get(durable._CLEANUP, None)
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: durable.materialise(spark.range(n).groupBy((F.col("id") % 3).alias("k")).count(), "threads").count(), [5, 600, 7, 900, 3, 800]))
+    assert got == [3] * 6 and spark.conf.get(durable._CLEANUP, None) == before and not durable._writers and not durable._before
+    assert durable.exists(spark, durable.cuts_dir(spark)) and not durable.exists(spark, durable.cuts_dir(spark) + "/none")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_lock = threading.Lock()
+_writers: dict[int, int] = {}
+_before: dict[int, str | None] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,18 +39,34 @@ def written(df: DataFrame, tag: str) -> str:
     """Where ``df`` is written: a folder of its own. Its shuffle files, which nobody reads again, go when it is written."""
     spark = df.sparkSession
     path = f"{cuts_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return path
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting holds while any thread writes; the first one in sets it, the last one out puts back what was there."""
+    key = spark._jsparkSession.hashCode()
+    with _lock:
+        if not _writers.get(key):
+            _before[key] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writers[key] = _writers.get(key, 0) + 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[key] -= 1
+            if not _writers[key]:
+                del _writers[key]
+                before = _before.pop(key)
+                if before is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` and read it back: computed once, the same for every reader, safe from lost executors.
 

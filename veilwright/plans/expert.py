@@ -353,6 +353,39 @@ def remediation(checks: list[dict]) -> list[str]:
     return [f"{c['constraint']}: {c['total_classes'] - c['compliant_classes']} classes fail; {text[c['constraint']]}" for c in checks if not c["valid"]]
 
 
+#: What mends a violation, gentlest first.
+REMEDIES = {
+    "k_anonymity": ["generalise quasi-identifiers further", "suppress rare combinations", "raise k"],
+    "l_diversity": ["enforce a higher l", "generalise quasi-identifiers further", "suppress rare sensitive values"],
+    "t_closeness": ["enforce a lower t", "generalise quasi-identifiers further", "perturb the sensitive column"],
+}
+ANEW = "optimise anew with stricter parameters"
+
+
+def post_validation(after: DataFrame, before: DataFrame, qi: list[str], sensitive: list[str], k: int = 5, l: int = 2, t: float = 0.2) -> DataFrame:  # noqa: E741
+    """(constraint, column, required, actual, met, failing_classes, actions) of an anonymised table; t is the distance of its classes to the original's distribution.
+
+    k once, l and t for each sensitive column. Where more than one constraint fails,
+    optimising anew is one of the actions. Values of the anonymised table that the
+    original lacks count with a share of 0; nulls of a sensitive column don't count.
+    """
+    rows = [(c["constraint"], c["column"], c["required"], c["actual"], c["valid"], c["total_classes"] - c["compliant_classes"]) for c in all_checks(after, qi, sensitive, k, l, t, with_t=False)]
+    keys = [f"_k{i}" for i in range(len(qi))]
+    for c in sensitive:
+        cells = after.filter(F.col(c).isNotNull()).groupBy(*(F.col(q).alias(x) for q, x in zip(qi, keys, strict=True)), F.col(c).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        known = before.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("_w")).agg(F.count(F.lit(1)).alias("_g"))
+        total = known.agg(F.sum("_g").alias("_n"))
+        share = known.join(F.broadcast(total)).select("_w", (F.col("_g") / F.col("_n")).alias("_q"))
+        sized = risk._sized(materialise(cells, "validated"), keys)
+        q = F.coalesce("_q", F.lit(0.0))
+        d = sized.join(share, F.col("_v") == F.col("_w"), "left").groupBy(*keys).agg((0.5 * (F.sum(F.abs(F.col("_c") / F.col("_s") - q)) + 1 - F.sum(q))).alias("_d"))
+        x = d.agg(F.max("_d").alias("m"), F.count_if(F.col("_d") > t + 1e-12).alias("bad")).first()
+        rows.append(("t_closeness", c, float(t), x["m"], not x["bad"], x["bad"]))
+    again = [ANEW] if sum(not r[4] for r in rows) > 1 else []
+    schema = "constraint string, column string, required double, actual double, met boolean, failing_classes long, actions array<string>"
+    return after.sparkSession.createDataFrame([(*r, [] if r[4] else REMEDIES[r[0]] + again) for r in rows], schema)
+
+
 @dataclass
 class KnowledgeBase:
     """Rules, methods, recommendations and their history."""

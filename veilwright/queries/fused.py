@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions.durable import materialise
 from ..operators import anonymize, attack, fusion, profile, risk, synthetic
+from ..plans import expert
 from ..registry import query, rounded, table
 from .risk import OC, QI, ordered
 
@@ -145,3 +146,18 @@ def y4(spark, d):
     bins = spark.createDataFrame([(0, 0.0, 10.0, 0.25), (1, 10.0, 30.0, 0.75)], "bin int, lo double, hi double, p double")
     out = synthetic.sample_marginal(o.select(F.col("o_orderkey").alias("id")), shares, "x", False)
     return rounded(synthetic.sample_marginal(out, bins, "y", True).select("id", "x", "y"))
+
+
+@query(
+    "r23_post_validation",
+    f"""WITH o AS ({OC}), a AS (SELECT c_nationkey // 5 AS g, c_mktsegment AS m, CASE WHEN o_orderkey % 97 = 0 THEN 'other' ELSE o_orderpriority END AS p FROM o),
+c AS (SELECT g, m, p, count(*) AS c FROM a GROUP BY ALL), s AS (SELECT g, m, count(*) AS s, count(DISTINCT p) AS l FROM a GROUP BY ALL), q AS (SELECT o_orderpriority AS p, count(*) / (SELECT count(*) FROM o) AS q FROM o GROUP BY 1),
+v AS (SELECT p FROM q UNION SELECT p FROM c), d AS (SELECT g, m, 0.5 * sum(abs(coalesce(c, 0) / s - coalesce(q, 0))) AS d FROM s CROSS JOIN v LEFT JOIN c USING (g, m, p) LEFT JOIN q USING (p) GROUP BY g, m),
+r AS (SELECT 'k_anonymity' AS "constraint", NULL AS "column", 100.0::DOUBLE AS required, min(s)::DOUBLE AS actual, count(*) FILTER (s < 100) AS failing_classes, 3 AS n FROM s UNION ALL SELECT 'l_diversity', 'o_orderpriority', 6.0, min(l), count(*) FILTER (l < 6), 3 FROM s UNION ALL SELECT 't_closeness', 'o_orderpriority', 0.02, max(d), count(*) FILTER (d > 0.02 + 1e-12), 3 FROM d)
+SELECT "constraint", "column", required, round(actual, 6) AS actual, failing_classes = 0 AS met, failing_classes, CASE WHEN failing_classes = 0 THEN 0 ELSE n + CASE WHEN (SELECT count(*) FROM r WHERE failing_classes > 0) > 1 THEN 1 ELSE 0 END END AS n_actions FROM r""",
+)
+def r23(spark, d):
+    o = ordered(spark, d)
+    after = o.select(F.floor(F.col("c_nationkey") / 5).alias("g"), F.col("c_mktsegment").alias("m"), F.when(F.col("o_orderkey") % 97 == 0, "other").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    out = expert.post_validation(after, o, ["g", "m"], ["o_orderpriority"], 100, 6, 0.02)
+    return rounded(out.withColumn("n_actions", F.size("actions")).drop("actions"))
