@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwright.functions.ranks import quantiles, value_ranks
+from veilwright.functions.ranks import exact_quantiles, quantiles, value_ranks
 from veilwright.operators import attack, linkage, risk, utility
 
 
@@ -98,6 +98,14 @@ def test_quantiles_equal_numpy(spark):
     got = {r.key: list(r)[1:] for r in quantiles(value_ranks(rows), shares).collect()}
     assert all(np.allclose(got[k], np.quantile(vs, shares)) for k, vs in data.items()) and len(got) == 4
     assert quantiles(value_ranks(rows.limit(0)), [0.5]).count() == 0
+    for few in (100_000, 3):
+        got = {r.key: list(r)[1:] for r in exact_quantiles(rows, shares, 16, few).collect()}
+        assert all(np.allclose(got[k], np.quantile(vs, shares)) for k, vs in data.items()) and len(got) == 4
+    assert exact_quantiles(rows.limit(0), [0.5]).count() == 0
+    odd = spark.createDataFrame([("a", v) for v in (1.0, float("nan"), 3.0, float("inf"), -float("inf"), 2.0, 2.0)] + [("b", 5.0)] * 3, "key string, x double")
+    for p in (0.0, 0.5, 0.75):
+        one, other = ({r.key: r.q0 for r in x.collect()} for x in (exact_quantiles(odd, [p]), quantiles(value_ranks(odd), [p])))
+        assert one == other or all(one[k] == other[k] or one[k] != one[k] for k in other)
 
 
 def test_many_classes_of_one_row_are_dealt_evenly(spark):

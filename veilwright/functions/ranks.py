@@ -70,6 +70,44 @@ def quantiles(ranks: DataFrame, shares: list[float]) -> DataFrame:
     return got.select("key", *((F.col(f"lo{i}") * (1 - F.col(f"part{i}")) + F.col(f"hi{i}") * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(shares))))
 
 
+def _at(shares: list[float], n: Column) -> list[tuple[int, str, Column]]:
+    """(share's number, side, 0-based place) of the two neighbours of each quantile among n rows."""
+    return [(i, side, f(F.lit(float(p)) * (n - 1)).cast("long")) for i, p in enumerate(shares) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+
+
+def exact_quantiles(rows: DataFrame, shares: list[float], bins: int = 4096, few: int = 100_000) -> DataFrame:
+    """(key, q0, q1, ...): as ``quantiles(value_ranks(rows), shares)``, without sorting all values.
+
+    Rows (key, x) are counted in ``bins`` equal ranges of each key, which says in
+    which range a quantile lies and how many rows are below; only rows of those
+    ranges are looked at again, each range sorted on its own. A range of more than
+    ``few`` rows, where most values crowd, is ranked by ``value_ranks``. ``rows`` is
+    read three times. NaN counts as the largest value; nulls are left out.
+    """
+    rows = rows.filter("key IS NOT NULL AND x IS NOT NULL").select("key", "x", F.isnan(F.col("x").cast("double")).alias("_nan"))
+    ends = rows.groupBy(F.col("key").alias("_k")).agg(F.min(F.when(~F.col("_nan"), F.col("x"))).alias("_lo"), F.max(F.when(~F.col("_nan"), F.col("x"))).alias("_hi"))
+    ends = materialise(ends, "value-ends")
+    place = F.nanvl((F.col("x").cast("double") - F.col("_lo")) / F.nullif(F.col("_hi").cast("double") - F.col("_lo"), F.lit(0.0)) * bins, F.lit(0.0))
+    bin_ = F.when(F.col("_nan"), bins).otherwise(F.least(F.lit(bins - 1), F.coalesce(F.floor(place), F.lit(0)))).cast("int")
+    placed = rows.join(ends, F.col("key") == F.col("_k")).select("key", "x", bin_.alias("bin"))
+    counts = materialise(placed.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("c")), "value-bins")
+    # At most ``bins`` + 1 rows a key.
+    run = counts.withColumn("below", F.sum("c").over(Window.partitionBy("key").orderBy("bin")) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy("key")))
+    hit = F.array_distinct(F.array(*(F.when((at >= F.col("below")) & (at < F.col("below") + F.col("c")), F.lit(1)).otherwise(0) for _, _, at in _at(shares, F.col("n")))))
+    wanted = materialise(run.filter(F.array_contains(hit, 1)).select(F.col("key").alias("_k"), F.col("bin").alias("_b"), "c", "below", "n"), "value-targets")
+    inside = placed.join(wanted, (F.col("key") == F.col("_k")) & (F.col("bin") == F.col("_b")))
+    values = inside.groupBy("key", "bin", "x", "below", "n", "c").agg(F.count(F.lit(1)).alias("m"))
+    light = values.filter(F.col("c") <= few).withColumn("upto", F.sum("m").over(Window.partitionBy("key", "bin").orderBy("x")))
+    ranked = light.select("key", "x", "m", "n", (F.col("below") + F.col("upto")).alias("upto"))
+    if not wanted.filter(F.col("c") > few).isEmpty():
+        heavy = value_ranks(inside.filter(F.col("c") > few).select(F.struct("key", "bin").alias("key"), "x")).withColumnRenamed("n", "m")
+        heavy = heavy.join(wanted, (F.col("key.key") == F.col("_k")) & (F.col("key.bin") == F.col("_b")))
+        ranked = ranked.unionByName(heavy.select(F.col("key.key").alias("key"), "x", "m", "n", (F.col("below") + F.col("upto")).alias("upto")))
+    got = ranked.groupBy("key").agg(F.max("n").alias("_n"), *(F.max(F.when((F.col("upto") - F.col("m") <= at) & (at < F.col("upto")), F.col("x"))).alias(f"{side}{i}") for i, side, at in _at(shares, F.col("n"))))
+    part = [F.lit(float(p)) * (F.col("_n") - 1) for p in shares]
+    return got.select("key", *((F.col(f"lo{i}") * (1 - (x - F.floor(x))) + F.col(f"hi{i}") * (x - F.floor(x))).alias(f"q{i}") for i, x in enumerate(part)))
+
+
 def column_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(key, x): the values of numeric columns under the columns' names."""
     return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("x")) for c in cols))).alias("_r")).select("_r.*")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
 from ..functions.expressions import bin_right_closed, correlation
-from ..functions.ranks import column_values, global_rank, prefix_sums, quantiles, value_ranks
+from ..functions.ranks import column_values, exact_quantiles, global_rank, prefix_sums
 from ..functions.rng import laplace, uniform
 from .classes import equivalence_classes, null_safe, with_class_size
 
@@ -400,7 +400,7 @@ def rounded_to(c: Column, step: int = 1000) -> Column:
 @transform("top_bottom_coding")
 def top_bottom(df: DataFrame, cols: list[str], low: float = 5, high: float = 95) -> DataFrame:
     """Values beyond the percentiles become the percentiles."""
-    cut = quantiles(value_ranks(column_values(df, cols)), [low / 100, high / 100])
+    cut = exact_quantiles(column_values(df, cols), [low / 100, high / 100])
     edges = cut.agg(*(F.max(F.when(F.col("key") == c, F.col(q))).alias(f"_{n}_{c}") for c in cols for n, q in (("lo", "q0"), ("hi", "q1"))))
     out = df.join(F.broadcast(edges))
     out = out.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))) for c in cols})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import materialise
 from ..functions.expressions import correlation
-from ..functions.ranks import column_values, quantiles, value_ranks
+from ..functions.ranks import column_values, exact_quantiles
 from .anonymize import NUMERIC, is_numeric
 
 # Patterns of personal data by category.
@@ -197,8 +197,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column null share, extremes, moments, quartiles, outliers beyond 1.5 and 3 interquartile ranges.
 
-    Quartiles are exact, from the distinct values in ranges of their order; outliers
-    are counted over the same distinct values.
+    Quartiles are exact; no column is sorted (``ranks.exact_quantiles``).
     """
     cols = cols or numeric_columns(df)
     aggs = []
@@ -207,12 +206,12 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         aggs += [F.count(F.lit(1)).alias(f"n_{i}"), F.count(x).alias(f"present_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}")]
     fields = {"n": "long", "present": "long", "min": "double", "max": "double", "mean": "double", "std": "double"}
     a = _stack(df.agg(*aggs), cols, fields)
-    ranks = value_ranks(column_values(df, cols))
-    q = materialise(quantiles(ranks, [0.25, 0.5, 0.75]).select(F.col("key").alias("column"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")), "quartiles")
+    values = column_values(df, cols).filter("x IS NOT NULL")
+    q = materialise(exact_quantiles(values, [0.25, 0.5, 0.75]).select(F.col("key").alias("column"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")), "quartiles")
     x, iqr = F.col("x"), F.col("q3") - F.col("q1")
-    outs = [F.sum(F.when((x < F.col("q1") - w * iqr) | (x > F.col("q3") + w * iqr), F.col("r.n")).otherwise(0)).alias(name) for name, w in (("outliers", 1.5), ("extreme", 3.0))]
+    outs = [F.count_if((x < F.col("q1") - w * iqr) | (x > F.col("q3") + w * iqr)).alias(name) for name, w in (("outliers", 1.5), ("extreme", 3.0))]
     # One row a column on the other side.
-    b = ranks.alias("r").join(F.broadcast(q), F.col("key") == F.col("column")).groupBy("column", "q1", "median", "q3").agg(*outs)
+    b = values.join(F.broadcast(q), F.col("key") == F.col("column")).groupBy("column", "q1", "median", "q3").agg(*outs)
     none = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("outliers", "extreme")]
     a = a.join(b, "column", "left").select("column", *fields, "q1", "median", "q3", *none)
     pct = F.coalesce(F.try_divide(100.0 * F.col("outliers"), F.col("present")), F.lit(0.0))
