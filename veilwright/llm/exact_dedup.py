@@ -4,7 +4,9 @@ Every text is cut into blocks of a fixed number of bytes. The distinct blocks
 are sorted and get integer names; adjacent names are paired, the distinct pairs
 are sorted and named again, and so on, until one name stands for each document.
 Two documents have the same (level, name) exactly if their texts are equal: a
-name is given to a content, never to a hash of it.
+name is given to a content, never to a hash of it. Names are sorted within hash
+partitions, not over all of them: a partition's number is part of a name, which
+keeps names distinct and the same for equal contents.
 
 Scale: the content of the blocks is shuffled once, after map-side combination
 (a block that a third of the rows share reaches the naming once per map task).
