@@ -75,15 +75,6 @@ def a6(spark, d):
     return A.local_suppression(table(spark, d, "part").select("p_partkey", *_L), _L)
 
 
-@query(
-    "a7_k_anonymity",
-    # At this scale the first level (9 ranges of nations; no segment is rare) is enough for k = 8.
-    f"SELECT c_custkey, {_bin('c_nationkey', 9, 'Range_', 'customer')} AS c_nationkey, CASE WHEN count(*) OVER (PARTITION BY c_mktsegment) < greatest(1, 0.1625 * count(*) OVER ()) THEN 'Other' ELSE c_mktsegment END AS c_mktsegment FROM customer",
-)
-def a7(spark, d):
-    return A.k_anonymity(table(spark, d, "customer").select("c_custkey", *QI), QI, 8)
-
-
 def _generalised(src: str, keep: str, qi: list[str], numeric: list[str], level: float) -> str:
     """A5 in SQL: numbers in equal ranges, rare values of others together."""
     share = 0.2 - 0.15 * level
@@ -127,6 +118,11 @@ def _k_anonymous(name: str, src: str, keep: str, qi: list[str], numeric: list[st
     return _first_good(name, src, keep, qi, numeric, levels, lambda t: f"(SELECT min(n) FROM (SELECT count(*) AS n FROM {t} GROUP BY {_list(qi)})) >= {k}", rest)
 
 
+@query("a7_k_anonymity", f"WITH {_k_anonymous('k', 'customer', 'c_custkey', QI, ['c_nationkey'], 8)} SELECT c_custkey, c_nationkey, c_mktsegment FROM k")
+def a7(spark, d):
+    return A.k_anonymity(table(spark, d, "customer").select("c_custkey", *QI), QI, 8)
+
+
 def _distinct(v: str, qi: list[str], t: str, name: str) -> str:
     """A table of the number of distinct v by some QIs."""
     return f"(SELECT {_list(qi)}, count(DISTINCT {v}) AS {name} FROM {t} GROUP BY {_list(qi)})" if qi else f"(SELECT count(DISTINCT {v}) AS {name} FROM {t})"
