@@ -326,7 +326,7 @@ def r24(spark, d):
 
 @query(
     "r25_modified_rows",
-    "WITH s AS (SELECT c_nationkey AS n, c_mktsegment AS m, count(*) AS s FROM customer GROUP BY ALL) SELECT CAST(sum(s) FILTER (s < 12) AS BIGINT) AS modified_rows, count(*) AS combinations_before, count(*) FILTER (s >= 12) + 1 AS combinations_after, round(100.0 * (1 - (count(*) FILTER (s >= 12) + 1) / count(*)), 2) AS combination_reduction_pct FROM s",
+    "WITH s AS (SELECT c_nationkey AS n, c_mktsegment AS m, count(*) AS s FROM customer GROUP BY ALL) SELECT CAST(coalesce(sum(s) FILTER (s < 12), 0) AS BIGINT) AS modified_rows, count(*) AS combinations_before, count(*) FILTER (s >= 12) + max(CASE WHEN s < 12 THEN 1 ELSE 0 END) AS combinations_after, round(100.0 * (1 - (count(*) FILTER (s >= 12) + max(CASE WHEN s < 12 THEN 1 ELSE 0 END)) / count(*)), 2) AS combination_reduction_pct FROM s",
 )
 def r25(spark, d):
     c = table(spark, d, "customer").select("c_custkey", *QI)
