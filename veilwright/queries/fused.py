@@ -92,7 +92,9 @@ def r8(spark, d):
 
 @query("r26_risk_improvement", "SELECT o_orderkey, greatest(0, round(1 - CAST(o_totalprice AS DOUBLE) / 200000, 6)) AS improvement FROM orders")
 def r26(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", risk.improvement(F.lit(0.0), F.round(F.col("o_totalprice").cast("double") / 200000 - 1, 6)).alias("improvement"))
+    # Halves by the double itself, as SQL rounds it; ``round`` goes by its shortest decimal text.
+    x = (1 - F.col("o_totalprice").cast("double") / 200000) * 1e6
+    return table(spark, d, "orders").select("o_orderkey", risk.improvement(F.signum(x) * F.floor(F.abs(x) + 0.5) / 1e6, F.lit(0.0)).alias("improvement"))
 
 
 _GAPS = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders"
