@@ -72,6 +72,43 @@ def test_rows_far_away_meet_few_chunks(spark, monkeypatch):
     assert met[1] < 0.25 * 2 * n * chunks
 
 
+def counting(monkeypatch):
+    """Rows of the tables of chunks that queries meet: first each one's nearest, then all others within its radius."""
+    met, down = [], Tree._down
+
+    def counted(self, *args):
+        out = down(self, *args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(Tree, "_down", counted)
+    return met
+
+
+def test_rows_on_levels_meet_no_more_chunks_in_larger_tables(spark, monkeypatch):
+    """One column has few values, as a nation, so that near rows are those of the same level."""
+    met = counting(monkeypatch)
+    rng = np.random.default_rng(7)
+    for n in (3_000, 12_000):
+        x, q = (np.column_stack([rng.uniform(-1.7, 1.7, n), rng.integers(0, 25, n) / 7.2]) for _ in range(2))
+        got = {r.q: r.d2 for r in Tree(frame(spark, x, "id"), 32, 8).nearest(frame(spark, q, "q"), 1, same=True).collect()}
+        want = np.concatenate([neighbours._squares(q[i : i + 500], x).min(1) for i in range(0, n, 500)])
+        assert len(got) == n and all(got[i] == d for i, d in enumerate(want))
+        assert met[-2] == n and met[-1] < 2 * n
+
+
+def test_few_rows_apart_have_a_radius(spark, monkeypatch):
+    """Rows whose cell has fewer than k others meet only what a box with k others reaches."""
+    met = counting(monkeypatch)
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(3000, 2)), [30, 0] + rng.normal(size=(4, 2)), [0, -40] + rng.normal(size=(3, 2))])
+    got = {}
+    for r in Tree(frame(spark, x, "id"), 16, 4).nearest(frame(spark, x, "q"), 7).orderBy("q", "r").collect():
+        got.setdefault(r.q, []).append((r.id, r.d2))
+    assert got == brute(x, x, 7, False)
+    assert met[-1] < 0.1 * len(x) * len(x) / 16
+
+
 def lof(x, k):
     at, near = np.zeros((len(x), k), int), np.zeros((len(x), k))
     for i in range(0, len(x), 1000):
