@@ -29,3 +29,11 @@ def test_where_every_class_is_large(spark, tmp_path, name, t, key):
 def test_improvements_that_end_in_a_half(spark, tmp_path):
     got, want = both(spark, tmp_path, "r26_risk_improvement", {"orders": "SELECT i AS o_orderkey, CAST((2 * i + 1) / 10 AS DECIMAL(15, 2)) AS o_totalprice FROM range(0, 1200000, 37) r(i)"})
     assert got == want and any(x for _, x in got)
+
+
+def test_every_candidate_of_the_last_relaxation_is_a_pair(spark, tmp_path):
+    tables = {"customer": f"SELECT x.* REPLACE (c_custkey + 1000000 * r.i AS c_custkey) FROM '{SF}/customer.parquet' x, range(3) r(i)", "supplier": f"SELECT * FROM '{SF}/supplier.parquet'"}
+    got, want = both(spark, tmp_path, "d7_last_relaxation", tables)
+    # A quarter of the suppliers has a nation that no customer has, and meets 500 customers; the others meet all of their nation.
+    n, alone = duckdb.connect().execute(f"SELECT (SELECT count(*) FROM '{tmp_path}/supplier.parquet' JOIN '{tmp_path}/customer.parquet' ON s_nationkey = c_nationkey WHERE s_suppkey % 4 > 0), count(*) FILTER (s_suppkey % 4 = 0) FROM '{tmp_path}/supplier.parquet'").fetchall()[0]
+    assert got == want and len(got) == len(set(got)) == n + 500 * alone and alone
