@@ -93,3 +93,11 @@ def test_long_texts_and_parts_of_a_task_change_nothing(spark):
 
 def test_empty_table(spark):
     assert spelling.spelling_groups(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_no_side_of_a_join_is_broadcast(spark):
+    """The steps of a search are many times its words, which Spark's estimates don't show."""
+    df = spark.createDataFrame([("aaaaaa", 1), ("aaaaaaa", 5)], "word string, n long")
+    for x in (spelling.near_words(df), spelling.variants(df)):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

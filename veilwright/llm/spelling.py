@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffled
 
 #: Letter groups, and how many of them make a level of the trie.
 GROUPS, SPAN = 12, 4
@@ -125,9 +125,9 @@ def near_words(words: DataFrame) -> DataFrame:
         seen = at.select("word", "n", "last", F.explode(_steps(F.col("node"), F.col("state"), _counts(word, k))).alias("s")).select("word", "n", "last", "s.*")
         if k < levels[-1]:
             there = trie.select(F.col(f"n{k + 1}").alias("node")).distinct()
-            at = seen.join(there, "node")
+            at = seen.join(shuffled(there), "node")
     leaves = trie.select(F.col(f"n{GROUPS // SPAN}").alias("node"), F.col("word").alias("b"), F.col("n").alias("nb"))
-    met = seen.withColumnsRenamed({"word": "a", "n": "na"}).join(leaves, "node")
+    met = seen.withColumnsRenamed({"word": "a", "n": "na"}).join(shuffled(leaves), "node")
     # A pair that shares its first half is found there; words of equal counts find each other, so one way is enough.
     half = F.floor(F.length("a") / 2).cast("int")
     once = (~F.col("last") | (F.col("a").substr(F.lit(1), half) != F.col("b").substr(F.lit(1), half))) & ((F.col("state") != 0) | (F.col("a") < F.col("b")))
@@ -145,17 +145,17 @@ def variants(words: DataFrame, times: int = 5) -> DataFrame:
     pairs = materialise(near_words(words), "near-words")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
     best = both.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("nb")).alias("m"), "b")).alias("best"))
-    out = words.join(best, "word", "left").withColumn("form", F.when(-F.col("best.m") >= times * F.col("n"), F.col("best.b")))
+    out = words.join(shuffled(best), "word", "left").withColumn("form", F.when(-F.col("best.m") >= times * F.col("n"), F.col("best.b")))
     out = out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form", F.when(F.col("form").isNotNull(), -F.col("best.m")).alias("form_n"))
     out = materialise(out, "forms")
     up = materialise(out.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         further = up.select(F.col("word").alias("at"), F.col("root").alias("to"))
-        step = materialise(up.join(further, F.col("root") == F.col("at"), "left").select("word", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")), "roots")
+        step = materialise(up.join(shuffled(further), F.col("root") == F.col("at"), "left").select("word", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")), "roots")
         up = step.drop("moved")
         if step.filter("moved").isEmpty():
             break
-    return out.join(up, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(shuffled(up), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 6, at_least: int = 5, times: int = 5, slips: int | None = None) -> DataFrame:
