@@ -163,3 +163,17 @@ def test_bitmaps_bound_the_overlap_from_above():
 def test_sets_are_of_whole_texts():
     text = " ".join(f"x{k}" for k in range(50_000))
     assert [len(s) for s in J.sets_of(pa.array([text, None, "a a a a a"]))] == [49_998, 0, 1]
+
+
+def test_parts_of_signatures_and_tiles_lose_no_link(spark, monkeypatch):
+    """All are sent part by part, and what a step has used up goes before the next."""
+    for name, value in (("PASS_ROWS", 400), ("PASS_BYTES", 3000), ("PASS_COPIES", 0)):
+        monkeypatch.setattr(J, name, value)
+    tags, gone, kept, drop = [], [], J.materialise, J.drop_cut
+    monkeypatch.setattr(J, "materialise", lambda df, tag: (tags.append(tag), kept(df, tag))[1])
+    monkeypatch.setattr(J, "drop_cut", lambda df: (gone.append({f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in df.inputFiles()}), drop(df))[1])
+    rows = corpus(3)
+    got = J.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert tags.count("common-signatures") == J.PASSES and 3 < tags.count("tile-links")
+    assert {"shingle-sets", "common-signatures", "shared-signatures", "held-signatures", "named"} <= set().union(*gone)

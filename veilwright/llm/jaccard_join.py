@@ -24,8 +24,9 @@
    and what passes is intersected exactly as sorted arrays. Only links between
    components are returned, never all pairs.
 
-Scale: 16 bytes per signature, about 0.17 signatures a word, shuffled twice;
-words and sets are never exploded. Joins are on tables read back from the
+Scale: 16 bytes per signature, about 0.17 signatures a word, shuffled twice,
+part by part of their hash range, so that a sixth of them lies on disk at a time;
+tiles of sets are sent out in parts, too. Words and sets are never exploded. Joins are on tables read back from the
 shared folder, so AQE splits hot keys. Links are joined into components by
 contraction of the edge table.
 """
@@ -33,6 +34,7 @@ contraction of the edge table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ TILE_BYTES = 32_000_000
 BAND_RATIO = 1.5
 #: The low bits of a signature: the three tags of a set differ in them.
 KIND = 3
+#: Signatures, and bytes of sets sent to tiles, that are shuffled at once; the most passes over signatures, and bytes of tiles as a multiple of those of their sets.
+PASS_ROWS, PASS_BYTES, PASSES, PASS_COPIES = 2_000_000, 64_000_000, 6, 2
 #: Classes of text hashes by which texts are sorted out before a shuffle.
 SLOTS = 1 << 22
 
@@ -287,7 +291,7 @@ def _tiled(members: DataFrame, arrays: DataFrame, percent: int, tile: int, tile_
     rows = members.join(main, "g").select("g", "c", "n", "label", low.alias("band"), (F.col("label") == F.col("main")).cast("int").alias("big"))
     rows = materialise(rows, "members")
     subs = F.ceil(F.greatest(F.count(F.lit(1)) / tile, 8 * F.sum("n") / tile_bytes)).alias("subs")
-    counts = materialise(rows.groupBy("g", "band", "big").agg(subs), "tile-counts")
+    counts = materialise(rows.groupBy("g", "band", "big").agg(subs, (8 * F.sum("n")).alias("bytes")), "tile-counts")
     tiles = counts.select("g", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1), lambda i: F.struct(F.col("band").alias("band"), F.col("big").alias("big"), i.alias("sub")))).alias("t"))
     near = (F.abs(F.col("l.band") - F.col("r.band")) <= 1) & (F.col("l.big") + F.col("r.big") < 2) & (F.col("l") <= F.col("r"))
     pairs = tiles.select("g", F.col("t").alias("l")).join(tiles.select("g", F.col("t").alias("r")), "g").filter(near)
@@ -297,7 +301,11 @@ def _tiled(members: DataFrame, arrays: DataFrame, percent: int, tile: int, tile_
     sides = materialise(sides.select("g", "p", "l", "r", "side.t", "side.left"), "tile-pairs")
     sub = F.pmod(F.xxhash64("c"), F.col("subs"))
     placed = rows.join(counts, ["g", "band", "big"]).select("g", "c", "label", F.struct("band", "big", sub.alias("sub")).alias("t"))
-    placed = placed.join(sides, ["g", "t"]).join(arrays, "c").select("p", "g", "l", "r", "left", "label", "c", "s")
+    # How many bytes all tile pairs get, against those of the sets.
+    each = counts.select("g", "band", "big", (F.col("bytes") / F.col("subs")).alias("each"))
+    sent = sides.select("g", "t.band", "t.big").join(each, ["g", "band", "big"]).agg(F.sum("each")).first()[0] or 0
+    own = counts.agg(F.sum("bytes")).first()[0] or 0
+    passes = 1 + int(sent // max(PASS_BYTES, PASS_COPIES * own))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("left", "descending"), ("c", "ascending")])
@@ -307,7 +315,29 @@ def _tiled(members: DataFrame, arrays: DataFrame, percent: int, tile: int, tile_
         out = tile_links(rows[:split], None if same else rows[split:], percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return placed.groupBy("p", "g", "l", "r").applyInArrow(run, "a long, b long")
+    def links(k: int) -> DataFrame:
+        some = placed.join(sides.filter(F.pmod("p", F.lit(passes)) == k), ["g", "t"])
+        found = some.join(arrays, "c").select("p", "g", "l", "r", "left", "label", "c", "s")
+        return materialise(found.groupBy("p", "g", "l", "r").applyInArrow(run, "a long, b long"), "tile-links")
+
+    return reduce(DataFrame.unionByName, [links(k) for k in range(passes)])
+
+
+def _common(sets: DataFrame) -> DataFrame:
+    """(sig, c, kind): the signatures that several classes of ``sets`` have; a part of the hash range after the other, the shuffle files of each go before the next."""
+    passes = min(PASSES, 1 + (sets.agg(F.sum(F.size("sigs"))).first()[0] or 0) // PASS_ROWS)
+    kind = F.col("sig").bitwiseAND(F.lit(KIND).cast("long"))
+    parts = []
+    for k in range(passes):
+        emitted = sets.select(F.explode("sigs").alias("sig"), "c")
+        if passes > 1:
+            # The low bits are those of the tag.
+            emitted = emitted.filter(F.pmod(F.shiftright("sig", 2), F.lit(passes)) == k)
+        shared = emitted.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
+        shared = materialise(shared, "shared-signatures")
+        parts.append(materialise(emitted.join(shared, "sig").select("sig", "c", kind.alias("kind")).distinct(), "common-signatures"))
+        drop_cut(shared)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -328,17 +358,16 @@ def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_byt
     else:
         raise ValueError("no seed gives distinct names")
     rows = materialise(sets.drop("sigs"), "rows")
-    emitted = sets.select(F.explode("sigs").alias("sig"), "c")
-    shared = emitted.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
-    shared = materialise(shared, "shared-signatures")
-    kind = F.col("sig").bitwiseAND(F.lit(KIND).cast("long"))
-    some = materialise(emitted.join(shared, "sig").select("sig", "c", kind.alias("kind")).distinct(), "common-signatures")
+    common = _common(sets)
     drop_cut(sets)
-    enough = some.groupBy("c", "kind").agg(F.count(F.lit(1)).alias("k")).join(classes.select("c", "n"), "c")
+    enough = common.groupBy("c", "kind").agg(F.count(F.lit(1)).alias("k")).join(classes.select("c", "n"), "c")
     enough = materialise(_with_enough(enough, percent), "classes-with-enough")
-    some = some.join(enough, ["c", "kind"]).select("sig", "c")
+    some = common.join(enough, ["c", "kind"]).select("sig", "c")
     shared = some.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig", "lo")
-    held = materialise(some.join(materialise(shared, "shared-by-enough"), "sig").select("sig", "c", "lo"), "held-signatures")
+    shared = materialise(shared, "shared-by-enough")
+    held = materialise(some.join(shared, "sig").select("sig", "c", "lo"), "held-signatures")
+    drop_cut(shared)
+    drop_cut(common)
     # The smallest class with which a class shares most signatures; what else it may link with is left to the tiles.
     star = held.filter("c > lo").groupBy("c", "lo").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "lo")).alias("m"))
     star = materialise(star.select(F.col("c").alias("a"), F.col("m.lo").alias("b")), "star-pairs")
@@ -351,14 +380,17 @@ def _components(docs: DataFrame, shingle: int, percent: int, tile: int, tile_byt
 
     # Signatures whose classes aren't all of one component yet.
     named = materialise(held.join(labels, "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label")), "named")
+    drop_cut(held)
     still = named.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("c").alias("hub")).filter("l1 < l2").select("sig", "hub")
     left = materialise(named.join(still, "sig").select("c", "label", "hub").distinct(), "open")
+    drop_cut(named)
     if left.isEmpty():
+        drop_cut(arrays)
         return rows, classes, labels
     groups = components(left, "c", "hub")
     members = left.select("c", "label").distinct().join(groups, F.col("c") == F.col("node")).join(reps.select("c", "n"), "c")
     more = _tiled(materialise(members.select(F.col("component").alias("g"), "c", "n", "label"), "open-members"), arrays, percent, tile, tile_bytes)
-    joined = components(materialise(more, "tile-links"))
+    joined = components(more)
     # A label that is joined to others is a class too, so it has a row of its own unless it stands alone.
     labels = labels.unionByName(left.select("c", "label").distinct().join(labels.select("c"), "c", "left_anti"))
     labels = labels.join(joined, F.col("label") == F.col("node"), "left").select("c", F.coalesce("component", "label").alias("label"))
