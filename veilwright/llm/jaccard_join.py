@@ -57,7 +57,7 @@ BAND_RATIO = 1.5
 #: The low bits of a signature: the three tags of a set differ in them.
 KIND = 3
 #: Signatures, and bytes of sets sent to tiles, that are shuffled at once; the most passes over signatures, and bytes of tiles as a multiple of those of their sets.
-PASS_ROWS, PASS_BYTES, PASSES, PASS_COPIES = 2_000_000, 64_000_000, 6, 2
+PASS_ROWS, PASS_BYTES, PASSES, PASS_COPIES = 8_000_000, 256_000_000, 6, 2
 #: Classes of text hashes by which texts are sorted out before a shuffle.
 SLOTS = 1 << 22
 
